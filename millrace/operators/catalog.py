@@ -87,3 +87,43 @@ def ordered_names(ids, names, drop=("", "0", "-1"), sign: str = r"\|"):
 def stale(pack_season, pack_patch, season, patch):
     """The pack belongs to another season or patch; no pack is not stale."""
     return F.coalesce(~pack_season.eqNullSafe(season) | ~pack_patch.eqNullSafe(patch), F.lit(False)) & pack_season.isNotNull()
+
+
+def required_sources(sources: DataFrame, ids: list[str], checked_at: str) -> DataFrame:
+    """The named sources in the given order with a new check date; a missing one is an error."""
+    wanted = sources.sparkSession.createDataFrame(list(enumerate(ids)), "at int, id string")
+    found = inner_or_raise(wanted, sources, ["id"], "source")
+    return found.withColumn("checkedAt", F.lit(checked_at)).orderBy("at").drop("at")
+
+
+def official_url(url, host: str, prefix: str):
+    """An https address on this host below this path, without user, port or query."""
+    parsed = lambda part: F.try_parse_url(url, F.lit(part))
+    return F.coalesce(
+        (parsed("PROTOCOL") == "https") & (parsed("AUTHORITY") == host) & F.startswith(parsed("PATH"), F.lit(prefix)) & parsed("QUERY").isNull() & ~F.contains(parsed("PATH"), F.lit("..")),
+        F.lit(False),
+    )
+
+
+def art_references(heroes: DataFrame, units: DataFrame, host: str, prefix: str) -> DataFrame:
+    """Two image references for each catalogue hero, from the current feed.
+
+    Every hero must be in the feed with the same name and price, and every address
+    be official and used once; else the catalogue is not fresh and nothing is built.
+    """
+    feed = units.select(F.concat(F.lit("hero-"), "id").alias("id"), F.col("name").alias("_name"), F.col("price").try_cast("int").alias("_cost"), "picture", "heroPaint")
+    both = inner_or_raise(heroes.select("id", "name", "cost"), feed, ["id"], "hero in the current feed")
+    if old := both.where(~(F.col("name").eqNullSafe(F.col("_name")) & F.col("cost").eqNullSafe(F.col("_cost")))).select("id").limit(3).collect():
+        raise InvalidData("the catalog is stale for " + ", ".join(r["id"] for r in old))
+    variants = F.array(F.struct(F.lit("card").alias("variantId"), F.col("picture").alias("url")), F.struct(F.lit("splash").alias("variantId"), F.col("heroPaint").alias("url")))
+    refs = both.select(F.col("id").alias("heroId"), F.explode(variants).alias("v")).select("heroId", "v.variantId", "v.url")
+    if bad := refs.where(~official_url(F.col("url"), host, prefix)).select("heroId").limit(3).collect():
+        raise InvalidData("unexpected image address for " + ", ".join(r["heroId"] for r in bad))
+    if refs.groupBy("url").count().where("count > 1").head(1):
+        raise InvalidData("one image address is used twice")
+    return refs
+
+
+def active_pack(meta: DataFrame):
+    """State of the stored pack: its season, patch and size, or the empty state."""
+    return meta.agg(F.max("seasonId").alias("seasonId"), F.max("patch").alias("patch"), F.coalesce(F.max("referenceCount"), F.lit(0)).alias("referenceCount"), (F.count("*") > 0).alias("present"))
