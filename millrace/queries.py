@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import numbers, text
-from .operators import catalog, evaluation, etl, history, ordering, quiz, selection, validation, vision
+from .operators import catalog, etl, evaluation, history, ordering, quiz, selection, validation, vision
+from .streaming import history_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -582,6 +583,88 @@ def decisions(spark, sf_dir):
     return done.select("c", "status", F.col("matches")[0]["heroId"].alias("best"))
 
 
+@query("""
+SELECT time_bucket(INTERVAL '5 minutes', ts) AS start, user_id AS player, count(*) AS answered, count(*) FILTER (value > 50) AS correct,
+  CAST(floor(count(*) FILTER (value > 50) * 100.0::DOUBLE / count(*) + 0.5) AS BIGINT) AS rate FROM events GROUP BY ALL""")
+def live_scores(spark, sf_dir):
+    """The streaming aggregation, run over the whole table as one batch."""
+    e = table(spark, sf_dir, "events").select("ts", F.col("user_id").alias("player"), (F.col("value") > 50).alias("correct"))
+    return history_stream.live_scores(e)
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey, floor((l_partkey % 300) * (960 / 480.0::DOUBLE) + 0.5)::INT AS x, floor((l_suppkey % 200) * (540 / 360.0::DOUBLE) + 0.5)::INT AS y,
+  floor(l_quantity * (960 / 480.0::DOUBLE) + 0.5)::INT AS width, floor(l_quantity * (540 / 360.0::DOUBLE) + 0.5)::INT AS height FROM lineitem""")
+def scaled_boxes(spark, sf_dir):
+    box = F.struct((F.col("l_partkey") % 300).alias("x"), (F.col("l_suppkey") % 200).alias("y"), F.col("l_quantity").alias("width"), F.col("l_quantity").alias("height"))
+    to = vision.scaled_box(box, F.lit(480.0), F.lit(960), F.lit(360.0), F.lit(540))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", to.alias("b")).select("l_orderkey", "l_linenumber", "l_partkey", "b.*")
+
+
+@query("""SELECT (i // 7 + 1)::INT AS "row", (i % 7 + 1)::INT AS "column", (i % 7) * 40.0::DOUBLE + CASE WHEN (i // 7 + 1) % 2 = 0 THEN 20 ELSE 0 END AS "left", (i // 7) * 40.0::DOUBLE AS top FROM range(28) t(i)""")
+def cell_offsets(spark, sf_dir):
+    """Places of the 28 cells; even rows are shifted."""
+    return selection.cell_offsets(selection.board(spark), 40.0)
+
+
+@query("""
+WITH first_name AS (SELECT s_nationkey, min(s_suppkey) AS s_suppkey FROM supplier GROUP BY s_nationkey)
+SELECT c_custkey, coalesce(a.s_suppkey, f.s_suppkey) AS hero FROM customer LEFT JOIN supplier a ON c_custkey = a.s_suppkey LEFT JOIN first_name f ON f.s_nationkey = c_nationkey""")
+def by_id_then_name(spark, sf_dir):
+    """A lookup by key, else by name, the first of that name."""
+    heroes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("name"), F.col("s_suppkey").alias("ordinal"))
+    found = catalog.by_id_then_name(table(spark, sf_dir, "customer"), heroes, "c_custkey", "c_nationkey")
+    return found.select("c_custkey", F.col("hero.id").alias("hero"))
+
+
+def _formations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as formations of their lines; heavy lines carry, returned lines have an item."""
+    li = table(spark, sf_dir, "lineitem")
+    member = F.struct(
+        "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_quantity") > 40).alias("isCarry"),
+        F.when(F.col("l_returnflag") == "R", F.array("l_partkey")).otherwise(F.array().cast("array<bigint>")).alias("items"),
+    )
+    return li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(member)).alias("members"))  # a few lines an order
+
+
+@query("""
+SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R')::INT AS equipped, arg_min(l_partkey, (l_linenumber, l_partkey, l_suppkey)) FILTER (l_quantity > 40) AS carry FROM lineitem GROUP BY l_orderkey""")
+def carries_and_equipment(spark, sf_dir):
+    f = _formations(spark, sf_dir)
+    return f.select("l_orderkey", F.size(selection.equipped(F.col("members"))).alias("equipped"), selection.first_carry(F.col("members"))["l_partkey"].alias("carry"))
+
+
+@query("""
+SELECT s_suppkey, section, label, text FROM (
+  SELECT s_suppkey, unnest([{'section': 'early', 'label': 'Early', 'text': s_name}, {'section': 'late', 'label': 'Late', 'text': CASE WHEN s_acctbal < 0 THEN '  ' ELSE s_acctbal::INT::VARCHAR END}], recursive := true) FROM supplier)
+WHERE trim(text) <> ''""")
+def guide_sections(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    late = F.when(F.col("s_acctbal") < 0, "  ").otherwise(F.rint("s_acctbal").cast("int").cast("string"))
+    rows = s.select(F.col("s_suppkey").alias("id"), F.struct(F.col("s_name").alias("early"), late.alias("late")).alias("guide"))
+    return selection.guide_sections(rows, {"early": "Early", "late": "Late"}).withColumnRenamed("id", "s_suppkey")
+
+
+@query("""SELECT l_orderkey, min(l_partkey) AS x, min(l_suppkey) AS y, max(l_partkey) - min(l_partkey) AS width, max(l_suppkey) - min(l_suppkey) AS height FROM lineitem GROUP BY l_orderkey""")
+def bounding_boxes(spark, sf_dir):
+    points = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("x"), F.col("l_suppkey").alias("y"))
+    return vision.bounding_box(points, ["l_orderkey"])
+
+
+@query("""SELECT user_id, count(*) FILTER (value > 40) AS inliers, count(*) FILTER (value > 40) >= 12 AND count(*) FILTER (value > 40) / count(*) >= 0.55 AS accepted FROM events GROUP BY user_id""")
+def inlier_gate(spark, sf_dir):
+    n = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("value") > 40).alias("inliers"), F.count("*").alias("n"))
+    return n.select("user_id", "inliers", vision.enough_inliers(F.col("inliers"), F.col("n")).alias("accepted"))
+
+
+@query("""SELECT o_orderkey, o_totalprice FROM orders WHERE (o_orderstatus, o_orderpriority) IN (SELECT o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders))""")
+def gated_rows(spark, sf_dir):
+    """Rows pass only if a one-row state agrees with them."""
+    o = table(spark, sf_dir, "orders")
+    meta = o.agg(F.min_by(F.struct("o_orderstatus", "o_orderpriority"), "o_orderkey").alias("m")).select("m.*")
+    return catalog.gated(o, meta, ["o_orderstatus", "o_orderpriority"]).select("o_orderkey", "o_totalprice")
+
+
 @query()
 def question_set(spark, sf_dir):
     """Twenty questions; the order is a function of the seed, so it is tested by its properties."""
