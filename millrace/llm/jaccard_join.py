@@ -43,10 +43,10 @@ _SEEDS = [np.uint64(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF) for k in range(
 
 
 class _WordHashes(dict):
-    """Hashes of the words a worker has met; emptied when it holds 500,000."""
+    """Hashes of the words a worker has met; emptied when it holds 150,000."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word) - (1 << 63)
         return h

@@ -46,10 +46,10 @@ def _shape(word: str) -> str:
 
 
 class _Words(dict):
-    """Packed (shape bucket, word hash) of the words a worker has met; emptied when it holds 500,000."""
+    """Packed (shape bucket, word hash) of the words a worker has met; emptied when it holds 200,000."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         shape = zlib.crc32(_shape(word).encode()) % SHAPE_TERMS
         packed = self[word] = (zlib.crc32(word.encode()) << 16) | shape

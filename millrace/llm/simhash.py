@@ -31,10 +31,10 @@ _GOLDEN, _MIX_A, _MIX_B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0x94D049BB
 
 
 class _WordHashes(dict):
-    """Hashes of the words a worker has met; emptied when it holds 500,000."""
+    """Hashes of the words a worker has met; emptied when it holds 200,000."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word.encode()) - (1 << 63)
         return h
