@@ -262,52 +262,76 @@ def links(table: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -
         """Each entry in its own block and, for smaller sets to find it, in the next."""
         return frame.withColumn("home", F.explode(F.array(F.col("block"), F.col("block") + 1)))
 
-    at = common.stored(placed(grouped), "placed")
-    heads = (
-        blocks(at)
-        .groupBy("member", "home", "leader", "component")
-        .agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("pos").alias("pos"))
-    )
-    open_blocks = heads.groupBy("member", "home").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    heads = heads.join(open_blocks.select("member", "home"), ["member", "home"], "left_semi")
-    x, y = heads.alias("x"), heads.alias("y")
-    roomy = F.col("x.n_max") + F.col("y.n_max")
-    met = (
-        x.join(y, (F.col("x.member") == F.col("y.member")) & (F.col("x.home") == F.col("y.home")) & (F.col("x.leader") < F.col("y.leader")))
-        .where(
-            (F.col("x.component") != F.col("y.component"))
+    def headed(frame: DataFrame) -> DataFrame:
+        """What each leader's followers have in common in a block, where followers of several components meet."""
+        heads = (
+            blocks(frame)
+            .groupBy("member", "home", "leader", "component")
+            .agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("pos").alias("pos"), F.max("far").alias("reach"))
+        )
+        several = heads.groupBy("member", "home").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+        return heads.join(several.select("member", "home"), ["member", "home"], "left_semi")
+
+    def meeting(heads: DataFrame) -> DataFrame:
+        """Pairs of leaders whose followers' sizes and positions in a block allow a link."""
+        x, y = heads.alias("x"), heads.alias("y")
+        roomy = F.col("x.n_max") + F.col("y.n_max")
+        together = (
+            (F.col("x.member") == F.col("y.member"))
+            & (F.col("x.home") == F.col("y.home"))
+            & (F.col("x.leader") < F.col("y.leader"))
+            & (F.col("x.component") != F.col("y.component"))
             & (F.col("x.n_max") * threshold.down >= F.col("y.n_min") * threshold.up)
             & (F.col("y.n_max") * threshold.down >= F.col("x.n_min") * threshold.up)
             & (F.col("x.pos") + F.col("y.pos") <= roomy - 2 * threshold.overlap(roomy) + 2)
         )
-        .select(F.col("x.leader").alias("a"), F.col("y.leader").alias("b"))
-        .distinct()
-    )
+        return x.join(y, together).select(
+            "x.member", "x.home", F.col("x.leader").alias("a"), F.col("y.leader").alias("b"), F.col("x.reach").alias("reach_a"), F.col("y.reach").alias("reach_b")
+        )
+
+    at = common.stored(placed(grouped), "placed")
+    met = meeting(headed(at)).select("a", "b").distinct()
     leader_pairs = common.stored(verified(met, texts, width).select("a", "b", "inter", "n_a", "n_b", "distance"), "leaders")
     second = leader_pairs.where(is_link).select("a", "b")
 
-    # Round 3: followers of leaders that the triangle inequality leaves open.
+    # Round 3: followers of leaders that the triangle inequality leaves open, in the blocks where they meet.
     reach = at.groupBy("leader").agg(F.max("far").alias("reach"))
     left_open = (
         leader_pairs.where(~is_link)
         .join(reach.select(F.col("leader").alias("a"), F.col("reach").alias("reach_a")), "a")
         .join(reach.select(F.col("leader").alias("b"), F.col("reach").alias("reach_b")), "b")
         .where((F.col("reach_a") + F.col("reach_b") > 0) & (F.col("reach_a") + F.col("reach_b") + threshold.distance + 1e-9 >= F.col("distance")))
-        .select(F.col("a").alias("leader_a"), F.col("b").alias("leader_b"), F.col("distance").alias("apart"))
+        .select("a", "b", (F.col("distance") - threshold.distance - 1e-9).alias("gap"))
     )
     left_open = common.stored(left_open, "open")
     third = None
     if left_open.head(1):
         joined = components(star.select("a", "b").union(second))
         at = common.stored(placed(joined), "placed")
+        meets = (
+            meeting(headed(at))
+            .join(left_open, ["a", "b"])
+            .where(F.col("reach_a") + F.col("reach_b") >= F.col("gap"))
+            .select("member", "home", F.col("a").alias("leader_a"), F.col("b").alias("leader_b"), "reach_b", "gap")
+        )
         p, q = blocks(at).alias("p"), blocks(at).alias("q")
+        m = meets.alias("m")
+        near = p.join(
+            m,
+            (F.col("p.member") == F.col("m.member"))
+            & (F.col("p.home") == F.col("m.home"))
+            & (F.col("p.leader") == F.col("m.leader_a"))
+            & (F.col("p.far") + F.col("m.reach_b") >= F.col("m.gap")),
+        )
         members = (
-            p.join(left_open, F.col("p.leader") == F.col("leader_a"))
-            .join(q, (F.col("p.member") == F.col("q.member")) & (F.col("p.home") == F.col("q.home")) & (F.col("q.leader") == F.col("leader_b")))
-            .where(
-                (F.col("p.component") != F.col("q.component"))
-                & (F.col("p.far") + F.col("q.far") + threshold.distance + 1e-9 >= F.col("apart"))
-                & threshold.may_link(F.col("p.n"), F.col("p.pos"), F.col("q.n"), F.col("q.pos"))
+            near.join(
+                q,
+                (F.col("p.member") == F.col("q.member"))
+                & (F.col("p.home") == F.col("q.home"))
+                & (F.col("q.leader") == F.col("m.leader_b"))
+                & (F.col("p.component") != F.col("q.component"))
+                & (F.col("p.far") + F.col("q.far") >= F.col("m.gap"))
+                & threshold.may_link(F.col("p.n"), F.col("p.pos"), F.col("q.n"), F.col("q.pos")),
             )
             .select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
             .distinct()
