@@ -43,4 +43,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_preference_chat": preference_chat.ORACLE_SQL}
+    return {"op2_preference_chat": preference_chat.ORACLE_SQL, "op5_jaccard_join": jaccard_join.ORACLE_SQL}

@@ -91,6 +91,16 @@ def test_threshold_is_met_exactly(spark):
     assert [r["component_id"] for r in jaccard_join.classes_of(rows, 3, 90, 100).orderBy("doc_id").collect()] == [0, 0, 2]
 
 
+def test_classes_equal_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    want = {r[0]: r[1:] for r in con.sql(jaccard_join.ORACLE_SQL).fetchall()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_query(spark, "/root/testdata/sf0.001").collect()}
+    assert got == want
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 40)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
