@@ -267,7 +267,7 @@ def links(table: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -
         heads = (
             blocks(frame)
             .groupBy("member", "home", "leader", "component")
-            .agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("pos").alias("pos"), F.max("far").alias("reach"))
+            .agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("pos").alias("pos"), F.max("far").alias("reach"), F.count("*").alias("entries"))
         )
         several = heads.groupBy("member", "home").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
         return heads.join(several.select("member", "home"), ["member", "home"], "left_semi")
@@ -285,8 +285,16 @@ def links(table: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -
             & (F.col("y.n_max") * threshold.down >= F.col("x.n_min") * threshold.up)
             & (F.col("x.pos") + F.col("y.pos") <= roomy - 2 * threshold.overlap(roomy) + 2)
         )
+        few = F.col("x.entries") <= F.col("y.entries")
         return x.join(y, together).select(
-            "x.member", "x.home", F.col("x.leader").alias("a"), F.col("y.leader").alias("b"), F.col("x.reach").alias("reach_a"), F.col("y.reach").alias("reach_b")
+            "x.member",
+            "x.home",
+            F.col("x.leader").alias("a"),
+            F.col("y.leader").alias("b"),
+            (F.col("x.reach") + F.col("y.reach")).alias("reach"),
+            F.when(few, F.col("x.leader")).otherwise(F.col("y.leader")).alias("small"),
+            F.when(few, F.col("y.leader")).otherwise(F.col("x.leader")).alias("large"),
+            F.when(few, F.col("y.reach")).otherwise(F.col("x.reach")).alias("large_reach"),
         )
 
     at = common.stored(placed(grouped), "placed")
@@ -308,32 +316,27 @@ def links(table: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -
     if left_open.head(1):
         joined = components(star.select("a", "b").union(second))
         at = common.stored(placed(joined), "placed")
-        meets = (
-            meeting(headed(at))
-            .join(left_open, ["a", "b"])
-            .where(F.col("reach_a") + F.col("reach_b") >= F.col("gap"))
-            .select("member", "home", F.col("a").alias("leader_a"), F.col("b").alias("leader_b"), "reach_b", "gap")
-        )
-        p, q = blocks(at).alias("p"), blocks(at).alias("q")
-        m = meets.alias("m")
+        # the side with fewer entries in the block is unfolded first
+        meets = meeting(headed(at)).join(left_open, ["a", "b"]).where(F.col("reach") >= F.col("gap")).select("member", "home", "small", "large", "large_reach", "gap")
+        p, q, m = blocks(at).alias("p"), blocks(at).alias("q"), meets.alias("m")
         near = p.join(
             m,
             (F.col("p.member") == F.col("m.member"))
             & (F.col("p.home") == F.col("m.home"))
-            & (F.col("p.leader") == F.col("m.leader_a"))
-            & (F.col("p.far") + F.col("m.reach_b") >= F.col("m.gap")),
+            & (F.col("p.leader") == F.col("m.small"))
+            & (F.col("p.far") + F.col("m.large_reach") >= F.col("m.gap")),
         )
         members = (
             near.join(
                 q,
                 (F.col("p.member") == F.col("q.member"))
                 & (F.col("p.home") == F.col("q.home"))
-                & (F.col("q.leader") == F.col("m.leader_b"))
+                & (F.col("q.leader") == F.col("m.large"))
                 & (F.col("p.component") != F.col("q.component"))
                 & (F.col("p.far") + F.col("q.far") >= F.col("m.gap"))
                 & threshold.may_link(F.col("p.n"), F.col("p.pos"), F.col("q.n"), F.col("q.pos")),
             )
-            .select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
+            .select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"))
             .distinct()
         )
         third = common.stored(verified(members, texts, width).where(is_link).select("a", "b"), "third")
@@ -384,6 +387,7 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     kept = classes_of(docs).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(_small(kept), "doc_id", "left_semi").union(docs.where("doc_id IS NULL")).select(*docs.columns)
 
+
 #: The same classes, written anew for DuckDB.
 ORACLE_SQL = r"""
 WITH RECURSIVE w AS (

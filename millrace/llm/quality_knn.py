@@ -23,9 +23,9 @@ from pyspark.sql import types as T
 from . import common
 
 #: The most labelled rows that are fitted: those with the lowest hashed ids.
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 2000
 SHAPE_TERMS = 1024
-WORD_TERMS = 1024
+WORD_TERMS = 512
 #: Words tell the language more than the quality, so they weigh less.
 WORD_SHARE = 0.3
 LATENT = 64
@@ -84,7 +84,7 @@ class Voter:
         rows = max(1, len(terms))
         idf = np.log((1 + rows) / (1 + (terms > 0).sum(axis=0))) + 1
         idf[SHAPE_TERMS:] *= WORD_SHARE
-        weighted = terms.astype(np.float64) * idf
+        weighted = terms * idf.astype(np.float32)
         _, axes = np.linalg.eigh(weighted.T @ weighted)
         self.project = (idf[:, None] * axes[:, ::-1][:, :LATENT]).astype(np.float32)
         self.labels = labels.astype(np.float32)
