@@ -179,8 +179,10 @@ def _small(frame: DataFrame) -> DataFrame:
     return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Exact (a, b, inter, n_a, n_b) of pairs of ids; texts are (id, text) of all ids in them."""
+def verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """Exact (a, b, inter, n_a, n_b) of pairs of ids of ``docs``; only texts of ids in a pair are moved."""
+    needed = common.stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "needed")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(_small(needed), "id", "left_semi")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last_id, last = None, None
@@ -219,12 +221,14 @@ def links(table: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -
     classes = common.stored(classes, "classes")
     reps = classes.select(F.col("rep").alias("doc_id"), "s1", "s2")
     first = table.join(_small(reps), ["doc_id", "s1", "s2"], "left_semi")
-    postings = first.select(F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("pos", "member"))
+    # each entry also knows the member before it in its set
+    steps = F.transform("prefix", lambda m, i: F.struct(m.alias("member"), F.get("prefix", i - 1).alias("prev")))
+    postings = first.select(F.col("doc_id").alias("id"), "n", F.posexplode(steps).alias("pos", "step")).select("id", "n", "pos", "step.*")
 
     # Members under which only one set is indexed lead to no pair.
     shared = common.stored(postings.groupBy("member").agg(F.count("*").alias("c")).where("c > 1").select("member"), "shared")
     lists = common.stored(
-        postings.join(_small(shared), "member").select("member", "id", "n", "pos", threshold.size_block(F.col("n")).alias("block")), "lists"
+        postings.join(_small(shared), "member").select("member", "id", "n", "pos", "prev", threshold.size_block(F.col("n")).alias("block")), "lists"
     )
 
     # Round 1: every set against the leader that most of its lists' blocks name.
@@ -238,11 +242,7 @@ def links(table: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -
         .agg(F.max_by("lead", F.struct("times", -F.col("lead"))).alias("lead"))
     )
     star_pairs = common.stored(named.select(F.col("id").alias("a"), F.col("lead").alias("b")), "pairs")
-    candidates = lists.select("id").distinct()
-    texts = common.stored(
-        docs.select(F.col("doc_id").alias("id"), "text").join(_small(common.stored(candidates, "candidates")), "id", "left_semi"), "texts"
-    )
-    star = common.stored(verified(star_pairs, texts, width).where(is_link).select("a", "b", "distance"), "star")
+    star = common.stored(verified(star_pairs, docs, width).where(is_link).select("a", "b", "distance"), "star")
     grouped = components(star)
 
     # Round 2: leaders whose followers meet in a block, unless their sets are joined already.
@@ -251,7 +251,7 @@ def links(table: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -
             lists.join(star.select(F.col("a").alias("id"), F.col("b").alias("leader"), "distance"), "id", "left")
             .join(component, "id", "left")
             .select(
-                "member", "id", "n", "pos", "block",
+                "member", "id", "n", "pos", "prev", "block",
                 F.coalesce("leader", "id").alias("leader"),
                 F.coalesce("distance", F.lit(0.0)).alias("far"),
                 F.coalesce("component", "id").alias("component"),
@@ -297,9 +297,9 @@ def links(table: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -
             F.when(few, F.col("y.reach")).otherwise(F.col("x.reach")).alias("large_reach"),
         )
 
-    at = common.stored(placed(grouped), "placed")
-    met = meeting(headed(at)).select("a", "b").distinct()
-    leader_pairs = common.stored(verified(met, texts, width).select("a", "b", "inter", "n_a", "n_b", "distance"), "leaders")
+    at = common.stored(placed(grouped).drop("prev"), "placed")
+    met = common.stored(meeting(headed(at)).select("a", "b").distinct(), "met")
+    leader_pairs = common.stored(verified(met, docs, width).select("a", "b", "inter", "n_a", "n_b", "distance"), "leaders")
     second = leader_pairs.where(is_link).select("a", "b")
 
     # Round 3: followers of leaders that the triangle inequality leaves open, in the blocks where they meet.
@@ -315,7 +315,8 @@ def links(table: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -
     third = None
     if left_open.head(1):
         joined = components(star.select("a", "b").union(second))
-        at = common.stored(placed(joined), "placed")
+        open_leaders = common.stored(left_open.select(F.col("a").alias("leader")).union(left_open.select("b")).distinct(), "open_leaders")
+        at = common.stored(placed(joined).join(_small(open_leaders), "leader", "left_semi"), "placed")
         # the side with fewer entries in the block is unfolded first
         meets = meeting(headed(at)).join(left_open, ["a", "b"]).where(F.col("reach") >= F.col("gap")).select("member", "home", "small", "large", "large_reach", "gap")
         p, q, m = blocks(at).alias("p"), blocks(at).alias("q"), meets.alias("m")
@@ -333,13 +334,17 @@ def links(table: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -
                 & (F.col("p.home") == F.col("q.home"))
                 & (F.col("q.leader") == F.col("m.large"))
                 & (F.col("p.component") != F.col("q.component"))
+                # a pair meets once for each run of members that both sets have one after the other
+                & (F.col("p.home") == F.greatest("p.block", "q.block"))
+                & F.coalesce(F.col("p.prev") != F.col("q.prev"), F.lit(True))
                 & (F.col("p.far") + F.col("q.far") >= F.col("m.gap"))
                 & threshold.may_link(F.col("p.n"), F.col("p.pos"), F.col("q.n"), F.col("q.pos")),
             )
             .select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"))
             .distinct()
         )
-        third = common.stored(verified(members, texts, width).where(is_link).select("a", "b"), "third")
+        members = common.stored(members, "members")
+        third = common.stored(verified(members, docs, width).where(is_link).select("a", "b"), "third")
     return classes, [star.select("a", "b"), second] + ([third] if third is not None else [])
 
 
