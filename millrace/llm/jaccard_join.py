@@ -35,7 +35,7 @@ from .components import components
 #: sharper; any number gives the same links.
 COUNTER_BITS = 20
 COUNTER_BLOCK = 4096
-#: Tables of ids of at most so many rows are broadcast (about 32 MB); larger ones are joined by shuffle.
+#: Tables of ids of at most so many rows are broadcast (about 32 MB a column of 8 bytes); larger ones are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 
 _GOLDEN, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -247,15 +247,14 @@ def links(table: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -
 
     # Round 2: leaders whose followers meet in a block, unless their sets are joined already.
     def placed(component: DataFrame) -> DataFrame:
-        return (
-            lists.join(star.select(F.col("a").alias("id"), F.col("b").alias("leader"), "distance"), "id", "left")
-            .join(component, "id", "left")
-            .select(
-                "member", "id", "n", "pos", "prev", "block",
-                F.coalesce("leader", "id").alias("leader"),
-                F.coalesce("distance", F.lit(0.0)).alias("far"),
-                F.coalesce("component", "id").alias("component"),
-            )
+        """The entries with their set's leader, distance to it and component; sets that joined nothing lead themselves."""
+        followed = star.select(F.col("a").alias("id"), F.col("b").alias("leader"), "distance")
+        marks = common.stored(component.join(followed, "id", "left"), "marks")
+        return lists.join(_small(marks), "id", "left").select(
+            "member", "id", "n", "pos", "prev", "block",
+            F.coalesce("leader", "id").alias("leader"),
+            F.coalesce("distance", F.lit(0.0)).alias("far"),
+            F.coalesce("component", "id").alias("component"),
         )
 
     def blocks(frame: DataFrame) -> DataFrame:
