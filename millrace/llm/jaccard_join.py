@@ -117,7 +117,7 @@ def member_levels(docs: DataFrame, width: int) -> np.ndarray:
             for text in batch["text"]:
                 held.append((shingle_set(text, width) & mask).astype(np.int64))
                 many += len(held[-1])
-                if many > 2_000_000:
+                if many > 500_000:
                     total += np.bincount(np.concatenate(held), minlength=size)
                     held, many = [], 0
         if many:
