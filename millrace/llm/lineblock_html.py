@@ -4,8 +4,9 @@ Markup is stripped to lines, one for each block of the page. A line's weight is
 its text length; links and marked boilerplate weigh nothing. Sums of weights
 over a sliding window of lines rise at a surge point, where running text
 begins, and fall to nothing at a dive point; the text between them is kept.
-Where a page marks its article, the window runs over the article's lines alone
-and any text is a surge, so that short paragraphs are not lost.
+An article tag raises the weight of its lines, so that any of them is a surge
+and short paragraphs are not lost. Where the articles hold most of a page's
+text, the other lines weigh less, so that only long ones among them count.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Lines in a window, and the characters in it that make a surge on unmarked pages.
+#: Lines in a window, and the weight in it that makes a surge.
 WINDOW_LINES = 3
 SURGE_CHARS = 86
+#: What a line outside the articles weighs less, where these hold most of the text.
+OUTSIDE_LESS = SURGE_CHARS // 2
 #: Above this share of link text a line weighs nothing.
 LINK_SHARE = 0.5
 
@@ -57,7 +60,7 @@ _WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+|\d+")
 
 
 def _boilerplate(tag: str, attributes: str, in_main: bool) -> bool:
-    if tag in _NEVER:
+    if tag in _NEVER and tag != "article":
         return False
     if tag in _SKIPPED or (tag == "header" and not in_main):
         return True
@@ -71,8 +74,11 @@ def _boilerplate(tag: str, attributes: str, in_main: bool) -> bool:
             return True
         if name == "role" and value.lower() in _ROLES:
             return True
-        if name in ("class", "id") and any(w.lower() in _WORDS for w in _WORD.findall(value)):
-            return True
+        if name in ("class", "id"):
+            # an article's other words tell of its subject or layout (category-social, has-sidebar)
+            words = [w for token in value.split() for w in _WORD.findall(token)[:1]] if tag == "article" else _WORD.findall(value)
+            if any(w.lower() in _WORDS for w in words):
+                return True
     return False
 
 
@@ -149,15 +155,11 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 
 def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
-    marked = [line for line in lines if line[2]]
-    if marked:
-        lines, surge = marked, 0
-        weights = [len(text) for text, _, _ in lines]
-    else:
-        surge = SURGE_CHARS
-        weights = [weight for _, weight, _ in lines]
+    marked = sum(len(text) for text, _, in_main in lines if in_main)
+    less = OUTSIDE_LESS if marked >= sum(weight for _, weight, in_main in lines if not in_main) else 0
+    weights = [len(text) + SURGE_CHARS if in_main else max(0, weight - less) for text, weight, in_main in lines]
     window = [sum(weights[i : i + WINDOW_LINES]) for i in range(len(weights))] + [0]
-    surge = min(surge, max(window) - 1)  # on a page with little text, its fullest window
+    surge = min(SURGE_CHARS, max(window) - 1)  # on a page with little text, its fullest window
     kept: list[str] = []
     i = 0
     while i < len(weights):

@@ -167,6 +167,32 @@ def test_main_text(page, text):
     assert lineblock_html.main_text(page) == text
 
 
+def paragraphs(name):
+    return [f"{name} {k} " + "long text " * 12 + "end." for k in range(4)]
+
+
+def marked_up(lines):
+    return "".join(f"<p>{x}</p>" for x in lines)
+
+
+def test_text_outside_an_article_is_kept():
+    body = paragraphs("body")
+    teaser = "<article><h3><a href=1>Read this too</a></h3></article>"
+    for page in (f"<div>{marked_up(body)}</div>{teaser}", f"{teaser}<div>{marked_up(body)}</div>"):
+        got = lineblock_html.main_text(page).split("\n")
+        assert [x for x in got if x != "Read this too"] == body
+    # a long first paragraph before the article counts, short lines around it do not
+    page = f"<div>Posted today</div><p>{body[0]}</p><article><h1>T</h1><p>ok</p>{marked_up(body[1:])}</article><div>All rights reserved</div>"
+    assert lineblock_html.main_text(page) == "\n".join([body[0], "T", "ok", *body[1:]])
+
+
+@pytest.mark.parametrize("attributes", ["class=comment", "class='depth-1 comment-item'", "id='relatedPosts'", "role=complementary", "hidden"])
+def test_articles_marked_as_boilerplate(attributes):
+    body, other = paragraphs("body"), paragraphs("reader")
+    page = f"<article class='post category-social has-sidebar'>{marked_up(body)}</article><article {attributes}>{marked_up(other)}</article>"
+    assert lineblock_html.main_text(page) == "\n".join(body)
+
+
 def test_pages_operator(spark):
     rows = spark.createDataFrame([(1, "<article><p>x</p></article>", "old"), (2, None, "old"), (3, "<article>" + "<p>é1</p>" * 20_000, "old")], "page_id long, html string, text string")
     got = {r["page_id"]: r["text"] for r in lineblock_html.extract(rows).collect()}
