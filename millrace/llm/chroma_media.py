@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -125,40 +125,81 @@ def _keys(frame: DataFrame, name: str) -> DataFrame:
     ).select(name, "at", "k.k1", "k.k2")
 
 
+def _single_keys(frame: DataFrame, name: str) -> DataFrame:
+    """An entry for each frame under its code alone, for what is too short to have keys of two codes."""
+    return frame.select(F.col(name), F.posexplode("codes").alias("at", "code"))
+
+
+def _hits(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """(query_id, class_id, q_at, at) of equal keys; where either side is too short for keys of two codes, of equal codes."""
+
+    def met(q: DataFrame, c: DataFrame, on: list[str]) -> DataFrame:
+        return q.withColumnRenamed("at", "q_at").join(c, on).select("query_id", "class_id", "q_at", "at")
+
+    short = F.size("codes") <= KEY_STEP
+    return (
+        met(_keys(queries, "query_id"), _keys(index, "class_id"), ["k1", "k2"])
+        .union(met(_single_keys(queries.where(short), "query_id"), _single_keys(index, "class_id"), ["code"]))
+        .union(met(_single_keys(queries.where(~short), "query_id"), _single_keys(index.where(short), "class_id"), ["code"]))
+    )
+
+
 def aligned(queries: DataFrame, index: DataFrame, most_bit_error: float = MOST_BIT_ERROR) -> DataFrame:
     """Best alignment of each query class with each recording class it meets.
 
     ``queries`` is (query_id, codes), ``index`` (class_id, codes, n_copies).
     Returns query_id, class_id, offset_frames (where in the recording the query
-    begins), votes, bit_error, n_copies. Ties of votes go to the smallest offset.
-    Equal recordings and equal queries are classes, never multiplied out.
+    begins), votes, bit_error, n_copies. The bit error is computed at every offset
+    that has a vote; of those within ``most_bit_error`` the one with the most votes
+    is taken, ties going to the smallest offset. Equal recordings are one class,
+    never multiplied out. Recordings and queries of any length that has codes are
+    found: up to KEY_STEP codes by their single codes.
     """
     votes = (
-        _keys(queries, "query_id")
-        .withColumnRenamed("at", "q_at")
-        .join(_keys(index, "class_id"), ["k1", "k2"])
+        _hits(queries, index)
         .groupBy("query_id", "class_id", (F.col("at") - F.col("q_at")).alias("offset_frames"))
         .agg(F.count("*").alias("votes"))
         .groupBy("query_id", "class_id")
-        .agg(F.max_by(F.struct("offset_frames", "votes"), F.struct("votes", -F.col("offset_frames"))).alias("v"))
+        .agg(F.collect_list(F.struct("offset_frames", "votes")).alias("voted"))
     )
     q = queries.select("query_id", F.col("codes").alias("q_codes"))
-    lo, hi = F.greatest(F.lit(0), -F.col("offset_frames")), F.least(F.size("q_codes"), F.size("codes") - F.col("offset_frames"))
-    errors = F.aggregate(
-        F.sequence(lo + 1, hi),
-        F.lit(0).cast("long"),
-        lambda acc, i: acc + F.bit_count(F.element_at("q_codes", i).bitwiseXOR(F.element_at("codes", (i + F.col("offset_frames")).cast("int")))),
-    )
+
+    def judged(v: Column) -> Column:
+        offset = v["offset_frames"]
+        lo, hi = F.greatest(F.lit(0), -offset), F.least(F.size("q_codes"), F.size("codes") - offset)
+        bits = F.aggregate(
+            F.sequence(lo + 1, hi),
+            F.lit(0).cast("long"),
+            lambda acc, i: acc + F.bit_count(F.element_at("q_codes", i).bitwiseXOR(F.element_at("codes", (i + offset).cast("int")))),
+        )
+        return F.struct(v["votes"].alias("votes"), (-offset).alias("before"), (bits / (32.0 * (hi - lo))).alias("bit_error"))
+
     return (
-        votes.select("query_id", "class_id", "v.*")
-        .join(q, "query_id")
+        votes.join(q, "query_id")
         .join(index, "class_id")
-        .withColumn("bit_error", errors / (32.0 * (hi - lo)))
-        .where(F.col("bit_error") <= most_bit_error)
-        .select("query_id", "class_id", "offset_frames", "votes", "bit_error", "n_copies")
+        .withColumn("best", F.array_max(F.filter(F.transform("voted", judged), lambda v: v["bit_error"] <= most_bit_error)))
+        .where("best IS NOT NULL")
+        .select("query_id", "class_id", (-F.col("best.before")).alias("offset_frames"), "best.votes", "best.bit_error", "n_copies")
     )
 
 
+def with_members(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs and, as rows without a query, who belongs to the classes in them.
+
+    A member row holds its recording against its class: offset and bit error are
+    zero, votes are null, member_id is the recording. In pairs member_id is null.
+    A class in many pairs is listed once.
+    """
+    found = members.join(pairs.select("class_id", "n_copies").distinct(), "class_id")
+    none = F.lit(None)
+    return pairs.withColumn("member_id", none.cast("long")).unionByName(
+        found.select(
+            none.cast("long").alias("query_id"), "class_id", F.lit(0).alias("offset_frames"), none.cast("long").alias("votes"),
+            F.lit(0.0).alias("bit_error"), "n_copies", F.col("id").alias("member_id"),
+        )
+    )
+
+
 def melody(values: np.ndarray, seed: int = 0, noise: float = 0.0) -> np.ndarray:
     """16-bit samples that play a vector: one note of 1/16 s for each of its numbers."""
     pitch = np.clip(np.round(12 + 40 * np.nan_to_num(values.astype(np.float64))), 0, 24)
@@ -192,10 +233,11 @@ def recordings(vectors: DataFrame) -> DataFrame:
 
 
 def media_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Excerpts of every twentieth recording, searched in all recordings."""
+    """Excerpts of every twentieth recording, searched in all recordings, and the members of the classes found."""
     media = recordings(common.plain(common.table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
-    index, _ = classes(fingerprints(media, "vec_id", "audio"))
+    prints = common.stored(fingerprints(media, "vec_id", "audio"), "prints")
+    index, members = classes(prints)
     index = common.stored(index, "recordings")
     asked = fingerprints(media.where(F.pmod("vec_id", F.lit(20)) == 0), "vec_id", "excerpt")
     asked = common.stored(asked.where("size(codes) > 0").select(F.col("id").alias("query_id"), "codes"), "excerpts")
-    return aligned(asked, index)
+    return with_members(common.stored(aligned(asked, index), "pairs"), members)

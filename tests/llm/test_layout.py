@@ -247,3 +247,38 @@ def test_recordings_edges(spark):
     assert [(r["class_id"], r["n_copies"]) for r in index.collect()] == [(1, 3)] and members.count() == 3
     assert chroma_media.audio_fingerprint(np.zeros(100, "<i2")).tolist() == []
     assert len(set(chroma_media.audio_fingerprint(np.zeros(9000, "<i2")).tolist())) == 1
+
+
+def test_equal_recordings_are_named(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    v, w = ([float(x) for x in rng.standard_normal(64) / 8] for _ in range(2))
+    rows = spark.createDataFrame([(1, v), (3, v), (20, v), (4, w), (5, None)], "vec_id long, embedding array<float>")
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = chroma_media.media_query(spark, str(tmp_path)).collect()
+    assert [(r["query_id"], r["class_id"], r["n_copies"]) for r in got if r["member_id"] is None] == [(20, 1, 3)]
+    assert sorted((r["class_id"], r["member_id"]) for r in got if r["query_id"] is None) == [(1, 1), (1, 3), (1, 20)]
+
+
+def plain_best(q, codes):
+    step, best = chroma_media.KEY_STEP, None
+    short = min(len(q), len(codes)) <= step
+    for offset in range(1 - len(q), len(codes)):
+        over = [(x, codes[i + offset]) for i, x in enumerate(q) if 0 <= i + offset < len(codes)]
+        votes = sum(a == b for a, b in over) if short else sum(over[i][0] == over[i][1] and over[i + step][0] == over[i + step][1] for i in range(len(over) - step))
+        error = sum((a ^ b).bit_count() for a, b in over) / (32 * len(over))
+        if votes and error <= chroma_media.MOST_BIT_ERROR and (best is None or votes > best[1]):
+            best = (offset, votes, error)
+    return best
+
+
+def test_alignment_equals_a_plain_search(spark):
+    rng = random.Random(9)
+    tune = [rng.getrandbits(32) for _ in range(40)]
+    silent = [0] * 12
+    # the silence collects the most votes at an offset where the rest differs
+    index = [(1, tune), (2, tune[:1]), (3, tune[5:7]), (4, silent + tune + silent[:2]), (5, tune[:10] + silent + [x ^ 0xFFFFFFFF for x in tune[10:30]]), (6, tune[3:6])]
+    asked = [(1, tune[8:30]), (2, tune[6:7]), (3, tune[4:7]), (4, tune[:3]), (5, silent[:8] + tune[:14]), (6, tune[10:34] + silent)]
+    frames = [spark.createDataFrame(x, f"{name} long, codes array<long>") for x, name in ((asked, "query_id"), (index, "class_id"))]
+    got = {(r["query_id"], r["class_id"]): (r["offset_frames"], r["votes"], r["bit_error"]) for r in chroma_media.aligned(frames[0], frames[1].withColumn("n_copies", F.lit(1))).collect()}
+    want = {(a, b): best for a, q in asked for b, codes in index if (best := plain_best(q, codes))}
+    assert got == want and any(a == 2 for a, _ in want) and any(b == 2 for _, b in want)
