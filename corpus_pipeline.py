@@ -9,7 +9,7 @@ from millrace.llm import bestfit_packing, common, jaccard_join, quality_knn, ran
 STAGES = [
     ("language_id", rank_langid.language_stage),
     ("quality_classifier", quality_knn.quality_stage),
-    ("ngram_jaccard_join", jaccard_join.jaccard_stage),
+    ("ngram_jaccard_join", jaccard_join.one_of_each_class),
     ("best_fit_packing", bestfit_packing.packing_stage),
 ]
 

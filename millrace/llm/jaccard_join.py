@@ -27,6 +27,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 from .components import components
@@ -174,7 +175,7 @@ def indexed(docs: DataFrame, width: int, threshold: Threshold, levels: np.ndarra
     return done.select(F.col("row_id").cast("long").alias("doc_id"), "n", "s1", "s2", "prefix")
 
 
-def _small(frame: DataFrame) -> DataFrame:
+def small(frame: DataFrame) -> DataFrame:
     """Broadcast a table of ids if a count shows that it is small enough."""
     return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
 
@@ -182,7 +183,7 @@ def _small(frame: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """Exact (a, b, inter, n_a, n_b) of pairs of ids of ``docs``; only texts of ids in a pair are moved."""
     needed = common.stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "needed")
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(_small(needed), "id", "left_semi")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(small(needed), "id", "left_semi")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last_id, last = None, None
@@ -220,7 +221,7 @@ def links(table: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -
     classes = table.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     classes = common.stored(classes, "classes")
     reps = classes.select(F.col("rep").alias("doc_id"), "s1", "s2")
-    first = table.join(_small(reps), ["doc_id", "s1", "s2"], "left_semi")
+    first = table.join(small(reps), ["doc_id", "s1", "s2"], "left_semi")
     # each entry also knows the member before it in its set
     steps = F.transform("prefix", lambda m, i: F.struct(m.alias("member"), F.get("prefix", i - 1).alias("prev")))
     postings = first.select(F.col("doc_id").alias("id"), "n", F.posexplode(steps).alias("pos", "step")).select("id", "n", "pos", "step.*")
@@ -228,7 +229,7 @@ def links(table: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -
     # Members under which only one set is indexed lead to no pair.
     shared = common.stored(postings.groupBy("member").agg(F.count("*").alias("c")).where("c > 1").select("member"), "shared")
     lists = common.stored(
-        postings.join(_small(shared), "member").select("member", "id", "n", "pos", "prev", threshold.size_block(F.col("n")).alias("block")), "lists"
+        postings.join(small(shared), "member").select("member", "id", "n", "pos", "prev", threshold.size_block(F.col("n")).alias("block")), "lists"
     )
 
     # Round 1: every set against the leader that most of its lists' blocks name.
@@ -250,7 +251,7 @@ def links(table: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -
         """The entries with their set's leader, distance to it and component; sets that joined nothing lead themselves."""
         followed = star.select(F.col("a").alias("id"), F.col("b").alias("leader"), "distance")
         marks = common.stored(component.join(followed, "id", "left"), "marks")
-        return lists.join(_small(marks), "id", "left").select(
+        return lists.join(small(marks), "id", "left").select(
             "member", "id", "n", "pos", "prev", "block",
             F.coalesce("leader", "id").alias("leader"),
             F.coalesce("distance", F.lit(0.0)).alias("far"),
@@ -315,7 +316,7 @@ def links(table: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -
     if left_open.head(1):
         joined = components(star.select("a", "b").union(second))
         open_leaders = common.stored(left_open.select(F.col("a").alias("leader")).union(left_open.select("b")).distinct(), "open_leaders")
-        at = common.stored(placed(joined).join(_small(open_leaders), "leader", "left_semi"), "placed")
+        at = common.stored(placed(joined).join(small(open_leaders), "leader", "left_semi"), "placed")
         # the side with fewer entries in the block is unfolded first
         meets = meeting(headed(at)).join(left_open, ["a", "b"]).where(F.col("reach") >= F.col("gap")).select("member", "home", "small", "large", "large_reach", "gap")
         p, q, m = blocks(at).alias("p"), blocks(at).alias("q"), meets.alias("m")
@@ -386,10 +387,60 @@ def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes_of(common.table(spark, sf_dir, "documents"), width=3, up=90, down=100)
 
 
+def text_key(text: Column) -> Column:
+    """Stands for a text: rows with equal texts share it, whatever their ids."""
+    return F.xxhash64(text)
+
+
+def has_words(text: Column) -> Column:
+    return F.coalesce(text, F.lit("")).rlike(r"[^\x09-\x0D\x20]")
+
+
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with words and a column ``key`` (see text_key), one row for each text.
+
+    The row kept has the smallest id, null ids last, and then the smallest digest
+    of all columns. Only rows whose text is repeated are moved.
+    """
+    rest = [F.col(f"`{c}`").cast("string") for c in docs.columns]
+    rows = docs.where(has_words(F.col("text"))).withColumn("key", text_key(F.col("text")))
+    repeated = small(common.stored(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "repeated"))
+    first = Window.partitionBy("key").orderBy(F.col("doc_id").asc_nulls_last(), F.sha2(F.to_json(F.array(*rest)), 256))
+    firsts = rows.join(repeated, "key", "left_semi").withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    firsts = common.stored(firsts.select(*rows.columns), "firsts")
+    return rows.join(repeated, "key", "left_anti").select(*rows.columns).union(firsts)
+
+
+def text_classes(distinct: DataFrame, width: int = 5, up: int = 80, down: int = 100) -> DataFrame:
+    """(key, class) of each row of ``one_row_each``: class is the smallest key reachable by links.
+
+    Texts take the place of ids, so null ids and ids with several texts have their classes too.
+    """
+    found = classes_of(distinct.select(F.col("key").alias("doc_id"), "text"), width, up, down)
+    return common.stored(found.select(F.col("doc_id").alias("key"), F.col("component_id").alias("class")), "text_classes")
+
+
+def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one row of each class of texts: the smallest id, null ids last, then the smallest text key.
+
+    A row's class is that of its text, so repeated rows, rows with a null id and
+    rows that share an id are judged like any other. Rows without words stay.
+    """
+    distinct = one_row_each(docs)
+    ranked = distinct.select("key", "doc_id").join(text_classes(distinct), "key")
+    kept = ranked.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("least"))
+    kept = small(common.stored(kept.select("least.key"), "kept"))
+    return distinct.join(kept, "key", "left_semi").select(*docs.columns).union(docs.where(~has_words(F.col("text"))))
+
+
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class, the one with the smallest id."""
+    """Keep the documents whose id is the smallest of its class.
+
+    Documents are known by their ids: all rows of a kept id stay, and so do all
+    rows without an id. ``one_of_each_class`` keeps one row instead.
+    """
     kept = classes_of(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(_small(kept), "doc_id", "left_semi").union(docs.where("doc_id IS NULL")).select(*docs.columns)
+    return docs.join(small(kept), "doc_id", "left_semi").union(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
 #: The same classes, written anew for DuckDB.

@@ -43,3 +43,12 @@ def test_stages_take_empty_tables_and_extra_columns(spark):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, data, SF).collect()
     assert quality_knn.THRESHOLD == 0.3
+
+
+def test_one_row_of_each_class_stays(spark):
+    a, near, other = (" ".join(f"w{k}" for k in range(n, n + 60)) for n in (0, 1, 500))
+    rows = [(1, a, "x"), (1, a, "y"), (None, a, "z"), (5, near, None), (5, other, None), (None, other, "x"), (None, "only here, without an id", "x"), (7, None, None), (None, " ", None), (7, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, class string")
+    got = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[4], rows[6], *rows[7:]], key=str)
