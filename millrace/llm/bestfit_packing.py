@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, jaccard_join
 
 CAPACITY = 4096
 #: Items packed together by one task, on average; a group's items are dealt by
@@ -121,10 +121,21 @@ def document_items(docs: DataFrame) -> DataFrame:
     )
 
 
+def near_items(docs: DataFrame) -> DataFrame:
+    """As ``document_items``, but near copies make a cluster: the classes of the near-duplicate join."""
+    classes = jaccard_join.text_classes(jaccard_join.one_row_each(docs))
+    # a text that is alone in its class keeps its own key, which is that of its exact copies
+    moved = jaccard_join.small(classes.where("class <> key"))
+    items = document_items(docs).withColumn("key", F.col("cluster"))
+    return items.join(moved, "key", "left").select("doc_id", "size", "source", F.coalesce("class", "cluster").alias("cluster"))
+
+
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.plain(common.table(spark, sf_dir, "documents"), "doc_id", "text", "source")
-    return packed(document_items(docs))
+    return packed(common.stored(near_items(docs), "items"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """After the near-duplicate stage no two texts with words are linked: their classes are single rows,
+    which the exact copies' clusters say as well without a second join."""
     return packed(document_items(common.plain(docs, "doc_id", "text", "source")))

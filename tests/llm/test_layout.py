@@ -69,6 +69,16 @@ def test_items_count_words(spark):
     assert got == {1: (3, False), 2: (0, True), 3: (0, True), 4: (0, False)}
 
 
+def test_near_copies_never_share_a_bin(spark, tmp_path):
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(base[k:] + [f"e{k}"] * k) for k in range(5)]  # each is linked with the next
+    rows = [(k, t, f"s{k}") for k, t in enumerate(texts)] + [(None, texts[2], "s8"), (9, "something else", "s9"), (10, " ", None), (11, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = bestfit_packing.packing_query(spark, str(tmp_path)).collect()
+    bins = [r["bin_id"] for r in got if r["n_tokens"] > 2]
+    assert len(got) == len(rows) and len(bins) == len(set(bins)) == 6
+
+
 # --- sharding
 
 
