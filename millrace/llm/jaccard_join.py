@@ -15,7 +15,12 @@ other (the Jaccard distance is a metric), then answers for most other pairs:
 sets already joined are not compared again, and two leaders further apart than
 their followers' distances and the threshold allow rule out all pairs between
 their followers. Only what these relations leave open is compared, pair by pair.
-No link between different sets is lost.
+The classes are those of all links.
+
+``all_links`` is the join itself: every link between different sets, also within
+a class. There the leaders' distances bound each candidate pair's distance from
+both sides; what the bounds leave open is compared. ``linked_documents`` counts
+each document's links and takes the classes from them.
 """
 
 from __future__ import annotations
@@ -211,13 +216,17 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     )
 
 
-def links(table: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -> tuple[DataFrame, list[DataFrame]]:
-    """Links (a, b) between the sets' representatives that make the same classes as all links do.
+def _is_link(threshold: Threshold) -> Column:
+    return (F.col("inter") * threshold.down) >= (F.col("n_a") + F.col("n_b") - F.col("inter")) * threshold.up
 
-    ``table`` is what ``indexed`` gives. Returns (doc_id -> representative) and
-    the links of the three rounds.
-    """
-    is_link = (F.col("inter") * threshold.down) >= (F.col("n_a") + F.col("n_b") - F.col("inter")) * threshold.up
+
+def _blocks(frame: DataFrame) -> DataFrame:
+    """Each entry in its own block and, for smaller sets to find it, in the next."""
+    return frame.withColumn("home", F.explode(F.array(F.col("block"), F.col("block") + 1)))
+
+
+def entries(table: DataFrame, threshold: Threshold) -> tuple[DataFrame, DataFrame]:
+    """(s1, s2, rep, n) of the distinct sets, and the entries under members that several of them share."""
     classes = table.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     classes = common.stored(classes, "classes")
     reps = classes.select(F.col("rep").alias("doc_id"), "s1", "s2")
@@ -231,8 +240,11 @@ def links(table: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -
     lists = common.stored(
         postings.join(small(shared), "member").select("member", "id", "n", "pos", "prev", threshold.size_block(F.col("n")).alias("block")), "lists"
     )
+    return classes, lists
 
-    # Round 1: every set against the leader that most of its lists' blocks name.
+
+def leaders_of(lists: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -> DataFrame:
+    """(a, b, distance): every set a with the leader b that most of its lists' blocks name, if they link."""
     leaders = lists.groupBy("member", "block").agg(F.min(F.struct("id", "n", "pos")).alias("lead"))
     named = (
         lists.join(leaders, ["member", "block"])
@@ -243,7 +255,20 @@ def links(table: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -
         .agg(F.max_by("lead", F.struct("times", -F.col("lead"))).alias("lead"))
     )
     star_pairs = common.stored(named.select(F.col("id").alias("a"), F.col("lead").alias("b")), "pairs")
-    star = common.stored(verified(star_pairs, docs, width).where(is_link).select("a", "b", "distance"), "star")
+    return common.stored(verified(star_pairs, docs, width).where(_is_link(threshold)).select("a", "b", "distance"), "star")
+
+
+def links(table: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b) between the sets' representatives that make the same classes as all links do.
+
+    ``table`` is what ``indexed`` gives. Returns (doc_id -> representative) and
+    the links of the three rounds. ``all_links`` gives every link.
+    """
+    is_link = _is_link(threshold)
+    classes, lists = entries(table, threshold)
+
+    # Round 1: every set against the leader that most of its lists' blocks name.
+    star = leaders_of(lists, docs, width, threshold)
     grouped = components(star)
 
     # Round 2: leaders whose followers meet in a block, unless their sets are joined already.
@@ -258,14 +283,10 @@ def links(table: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -
             F.coalesce("component", "id").alias("component"),
         )
 
-    def blocks(frame: DataFrame) -> DataFrame:
-        """Each entry in its own block and, for smaller sets to find it, in the next."""
-        return frame.withColumn("home", F.explode(F.array(F.col("block"), F.col("block") + 1)))
-
     def headed(frame: DataFrame) -> DataFrame:
         """What each leader's followers have in common in a block, where followers of several components meet."""
         heads = (
-            blocks(frame)
+            _blocks(frame)
             .groupBy("member", "home", "leader", "component")
             .agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("pos").alias("pos"), F.max("far").alias("reach"), F.count("*").alias("entries"))
         )
@@ -319,7 +340,7 @@ def links(table: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -
         at = common.stored(placed(joined).join(small(open_leaders), "leader", "left_semi"), "placed")
         # the side with fewer entries in the block is unfolded first
         meets = meeting(headed(at)).join(left_open, ["a", "b"]).where(F.col("reach") >= F.col("gap")).select("member", "home", "small", "large", "large_reach", "gap")
-        p, q, m = blocks(at).alias("p"), blocks(at).alias("q"), meets.alias("m")
+        p, q, m = _blocks(at).alias("p"), _blocks(at).alias("q"), meets.alias("m")
         near = p.join(
             m,
             (F.col("p.member") == F.col("m.member"))
@@ -348,6 +369,91 @@ def links(table: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -
     return classes, [star.select("a", "b"), second] + ([third] if third is not None else [])
 
 
+def all_links(lists: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -> DataFrame:
+    """Every link (a, b), a < b, between the sets of ``lists``, which ``entries`` gives; ids of ``docs`` are distinct.
+
+    With d(a, leader of a), d(b, leader of b) and the leaders' distance D known, the
+    distance of a and b lies between D less both and D plus both. The rows grow with
+    the links: with the square of a group's size, if all its members link.
+    """
+    star = leaders_of(lists, docs, width, threshold)
+    p, q = _blocks(lists).alias("p"), _blocks(lists).alias("q")
+    met = (
+        p.join(
+            q,
+            (F.col("p.member") == F.col("q.member"))
+            & (F.col("p.home") == F.col("q.home"))
+            & (F.col("p.id") < F.col("q.id"))
+            & (F.col("p.home") == F.greatest("p.block", "q.block"))
+            # a pair meets once for each run of members that both sets have one after the other
+            & F.coalesce(F.col("p.prev") != F.col("q.prev"), F.lit(True))
+            & threshold.may_link(F.col("p.n"), F.col("p.pos"), F.col("q.n"), F.col("q.pos")),
+        )
+        .select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
+        .distinct()
+    )
+    followed = small(star.select(F.col("a").alias("id"), F.col("b").alias("leader"), "distance"))
+
+    def led(frame: DataFrame, side: str) -> DataFrame:
+        marks = followed.select(F.col("id").alias(side), F.col("leader").alias(f"l_{side}"), F.col("distance").alias(f"far_{side}"))
+        return frame.join(marks, side, "left").withColumns({f"l_{side}": F.coalesce(f"l_{side}", side), f"far_{side}": F.coalesce(f"far_{side}", F.lit(0.0))})
+
+    met = led(led(met, "a"), "b")
+    met = common.stored(met.withColumns({"lo": F.least("l_a", "l_b"), "hi": F.greatest("l_a", "l_b")}).drop("l_a", "l_b"), "met")
+    apart = common.stored(met.where("lo <> hi").select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct(), "apart")
+    known = verified(apart, docs, width).select(F.col("a").alias("lo"), F.col("b").alias("hi"), F.col("distance").alias("between"))
+    both = F.col("far_a") + F.col("far_b")
+    bounded = met.join(common.stored(known, "leaders"), ["lo", "hi"], "left").withColumn("between", F.coalesce("between", F.lit(0.0)))
+    bounded = bounded.select(
+        "a", "b",
+        (F.col("between") + both <= threshold.distance - 1e-9).alias("sure"),
+        (F.greatest(F.col("between") - both, F.abs(F.col("far_a") - F.col("far_b")) - F.col("between")) > threshold.distance + 1e-9).alias("never"),
+    )
+    bounded = common.stored(bounded.where("NOT never"), "bounded")
+    compared = verified(bounded.where("NOT sure").select("a", "b"), docs, width).where(_is_link(threshold))
+    return common.stored(bounded.where("sure").select("a", "b").union(compared.select("a", "b")), "all_links")
+
+
+def linked_documents(docs: DataFrame, width: int = 5, up: int = 80, down: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, n_links, component_id) of every row of ``docs`` (doc_id, text), from all links.
+
+    n_links counts the other rows whose text links with the row's, equal texts
+    included; component_id is the smallest doc_id reachable by links. Rows are
+    judged by their texts, also where they share an id. Rows without words have no
+    links; rows with a null id have none either and a null class.
+    """
+    common.bound_batches(docs.sparkSession)
+    docs = common.plain(docs, "doc_id", "text")
+    threshold = Threshold(up, down)
+    rows = docs.where("doc_id IS NOT NULL")
+    texts = one_row_each(rows).select(F.col("key").alias("doc_id"), "text")
+    table = common.stored(indexed(texts, width, threshold, member_levels(texts, width)), "sets")
+    classes, lists = entries(table, threshold)
+    found = all_links(lists, texts, width, threshold)
+    sets = table.join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).select(F.col("doc_id").alias("key"), F.col("n").alias("n_shingles"), "rep")
+    held = rows.where(has_words(F.col("text"))).select("doc_id", text_key(F.col("text")).alias("key"))
+    held = common.stored(held.join(sets, "key").select("doc_id", "n_shingles", "rep"), "held")
+    copies = common.stored(held.groupBy("rep").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")), "copies")
+    both = found.union(found.select("b", "a"))
+    others = both.join(copies.select(F.col("rep").alias("b"), "copies"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("others"))
+    group = copies.join(components(found).withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = group.groupBy("component").agg(F.min("least").alias("component_id"))
+    facts = group.join(least, "component").join(others, "rep", "left").select("rep", "component_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"n": [len(shingle_set(text, width)) for text in batch["text"]]})
+
+    zero = F.lit(0).cast("long")
+    unnamed = docs.where(F.col("doc_id").isNull() & has_words(F.col("text"))).select("text").mapInPandas(count, "n long")
+    return (
+        held.join(facts, "rep")
+        .select("doc_id", "n_shingles", "n_links", "component_id")
+        .union(docs.where(~has_words(F.col("text"))).select("doc_id", zero, zero, "doc_id"))
+        .union(unnamed.select(F.lit(None).cast("long"), "n", zero, F.lit(None).cast("long")))
+    )
+
+
 def classes_of(docs: DataFrame, width: int = 5, up: int = 80, down: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text).
 
@@ -433,6 +539,11 @@ def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return distinct.join(kept, "key", "left_semi").select(*docs.columns).union(docs.where(~has_words(F.col("text"))))
 
 
+def links_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join's own answer beside the classes: how many documents each document links with."""
+    return linked_documents(common.table(spark, sf_dir, "documents"), width=3, up=90, down=100)
+
+
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose id is the smallest of its class.
 

@@ -39,6 +39,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chroma_media": chroma_media.media_query,
         "op9_lineblock_html": lineblock_html.pages_query,
         "op10_simhash": simhash.fingerprint_query,
+        "jaccard_links": jaccard_join.links_query,
     }
 
 

@@ -73,6 +73,24 @@ def test_classes_equal_brute_force(spark, seed, width, up):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+@pytest.mark.parametrize(("seed", "width", "up"), [(0, 3, 90), (1, 5, 80)])
+def test_all_links_equal_brute_force(spark, seed, width, up):
+    ids, texts = corpus(seed)
+    ids, texts = [*ids, None, 9], [*texts, texts[0], texts[0]]
+    want, _ = classes(ids, texts, width, up)
+    sets = sets_of(texts, width)
+    n_links = dict.fromkeys((i for i in ids if i is not None), 0)
+    for i, j in combinations(range(len(ids)), 2):
+        if ids[i] is not None and ids[j] is not None and sets[i] and sets[j] and len(sets[i] & sets[j]) * 100 >= len(sets[i] | sets[j]) * up:
+            n_links[ids[i]] += 1
+            n_links[ids[j]] += 1
+    rows = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    got = jaccard_join.linked_documents(rows, width, up, 100).collect()
+    assert len(got) == len(ids) and max(n_links.values()) > 5
+    assert {r["doc_id"]: (r["n_shingles"], r["n_links"], r["component_id"]) for r in got if r["doc_id"] is not None} == {k: (n, n_links[k], c) for k, (n, c) in want.items()}
+    assert [(r["n_shingles"], r["n_links"], r["component_id"]) for r in got if r["doc_id"] is None] == [(len(sets[0]), 0, None)]
+
+
 def test_edges_and_empty_tables(spark):
     schema = "doc_id long, text string, component_id string"
     rows = spark.createDataFrame([(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (None, "a b c d e f", "x"), (5, "a b c d e f", None), (7, None, None)], schema)
