@@ -565,10 +565,23 @@ names AS (SELECT item_id, lower(regexp_extract(text, '[A-Za-z]{9,}')) AS name FR
 hits AS (SELECT DISTINCT doc_id, item_id FROM lines JOIN names ON name <> '' AND contains(line, name))
 SELECT doc_id, min(item_id) AS item_id FROM hits GROUP BY doc_id HAVING count(*) = 1""")
 def named_lines(spark, sf_dir):
-    """Documents in whose lines exactly one name stands. The names (one long word of each benchmark item) are a small table by nature."""
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", text.ocr_line(F.col("line")).alias("line"))
-    n = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.regexp_extract("text", "[A-Za-z]{9,}", 0)).alias("name")).where("name <> ''")
-    hits = d.join(F.broadcast(n), F.contains("line", "name")).select("doc_id", "item_id").distinct()
+    """English documents in whose lines exactly one name stands; the language is part of its SQL. ``named_lines_all`` reads every document."""
+    return _named(table(spark, sf_dir, "documents").where("lang = 'en'"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def named_lines_all(spark, sf_dir):
+    """Documents of any language in whose lines exactly one name stands."""
+    return _named(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _named(documents, benchmark):
+    """A name is one long word of a benchmark item. Lines and names meet in the name's first nine letters, the least a name has, and are then held against each other."""
+    lines = documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", text.ocr_line(F.col("line")).alias("line")).withColumn("at", F.xxhash64("line"))
+    names = benchmark.select("item_id", F.lower(F.regexp_extract("text", "[A-Za-z]{9,}", 0)).alias("name")).where("name <> ''").withColumn("gram", F.left("name", F.lit(9)))
+    grams = lines.select("doc_id", "at", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit("(?=([a-z]{9}))"), F.lit(1)))).alias("gram"))
+    met = grams.join(names, "gram").select("doc_id", "at", "item_id", "name").distinct()
+    hits = lines.join(met, ["doc_id", "at"]).where(F.contains("line", "name")).select("doc_id", "item_id").distinct()
     return hits.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("item_id").alias("item_id")).where("n = 1").drop("n")
 
 

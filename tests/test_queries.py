@@ -46,3 +46,22 @@ def test_question_set_properties(spark):
     assert sorted(by) == list(range(1, 21))
     assert all(len({r["name"] for r in options}) == len(options) == 4 for options in by.values())
     assert all(sorted(r["letter"] for r in options) == list("ABCD") for options in by.values())
+
+
+def test_names_are_found_in_every_language(spark, tmp_path):
+    docs = [
+        (1, "An under-Standing of it\nand more", "en"), (2, "ein Verständnis, Understandings!", "de"), (3, "understandin g\nconsequence", "fr"), (4, "understan\nding", "es"),
+        (5, "understanding\nnothing\nUNDER STANDING", None), (6, "", "fr"), (7, None, "es"), (8, "consequences", "de"),
+    ]
+    items = [(1, "of understanding"), (2, "a consequence here"), (3, "short"), (4, None), (5, "understandably")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = {i: n for i, n in ((1, "understanding"), (2, "consequence"), (5, "understandably"))}
+    want = {}
+    for doc_id, text, _ in docs:
+        lines = ["".join(c for c in line.lower() if c.isalnum()) for line in (text or "").split("\n")]
+        found = [i for i, n in names.items() if any(n in line for line in lines)]
+        if len(found) == 1:
+            want[doc_id] = found[0]
+    assert sorted(want) == [1, 2, 5, 8]
+    assert {r["doc_id"]: r["item_id"] for r in queries.queries()["named_lines_all"](spark, str(tmp_path)).collect()} == want
