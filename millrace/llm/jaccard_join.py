@@ -43,6 +43,11 @@ COUNTER_BITS = 20
 COUNTER_BLOCK = 4096
 #: Tables of ids of at most so many rows are broadcast (about 32 MB a column of 8 bytes); larger ones are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Followers of a leader that meet a copy of it in one place.
+LED_ROWS = 2000
+#: A set's 256-bit parity map: bit k says whether an odd number of its members fall on k. Two maps differ
+#: in no more bits than their sets in members.
+BIT_LANES = ["bits0", "bits1", "bits2", "bits3"]
 
 _GOLDEN, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _SEEDS = [np.uint64(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF) for k in range(64)]
@@ -108,6 +113,24 @@ class Threshold:
         )
 
 
+    def bits_allow(self, sizes: Column) -> Column:
+        """The parity maps of p and q differ in no more bits than the sets of a linked pair may in members."""
+        apart = sum((F.bit_count(F.col(f"p.{c}").bitwiseXOR(F.col(f"q.{c}"))) for c in BIT_LANES), F.lit(0))
+        return apart * (self.up + self.down) <= sizes * (self.down - self.up)
+
+
+def digest_of(members: np.ndarray) -> tuple[int, int]:
+    """A 128-bit digest of a set, as two signed numbers."""
+    digest = xxhash.xxh3_128_intdigest(members.tobytes())
+    return (digest >> 64) - (1 << 63), (digest & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+
+
+def parity_map(members: np.ndarray) -> np.ndarray:
+    """The set's ``BIT_LANES``."""
+    counts = np.bincount((members >> np.uint64(40)).astype(np.int64) & 255, minlength=256)
+    return np.packbits((counts & 1).astype(np.uint8)).view("<i8")
+
+
 def member_levels(docs: DataFrame, width: int) -> np.ndarray:
     """A level for each of 2^20 counters: quarter octaves of how many members of all documents fall there.
 
@@ -157,7 +180,7 @@ def member_levels(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def indexed(docs: DataFrame, width: int, threshold: Threshold, levels: np.ndarray) -> DataFrame:
-    """(doc_id, n, s1, s2, prefix): size of the set, a 128-bit digest of it, and its first members in global order."""
+    """(doc_id, n, s1, s2, prefix, bits): size of the set, a 128-bit digest of it, its first members in global order, its parity map."""
     shipped = docs.sparkSession.sparkContext.broadcast(levels)
     mask = np.uint64((1 << COUNTER_BITS) - 1)
 
@@ -168,16 +191,15 @@ def indexed(docs: DataFrame, width: int, threshold: Threshold, levels: np.ndarra
             for row_id, text in zip(batch["row_id"], batch["text"], strict=True):
                 members = shingle_set(text, width)
                 n = len(members)
-                digest = xxhash.xxh3_128_intdigest(members.tobytes())
                 order = np.argsort(rank[(members & mask).astype(np.int64)], kind="stable") if n else np.empty(0, np.int64)
                 prefix = members[order[: threshold.prefix(n)]].view(np.int64) if n else np.empty(0, np.int64)
-                out.append((row_id, n, (digest >> 64) - (1 << 63), (digest & 0xFFFFFFFFFFFFFFFF) - (1 << 63), prefix))
-            yield pd.DataFrame(out, columns=["row_id", "n", "s1", "s2", "prefix"])
+                out.append((row_id, n, *digest_of(members), prefix, *parity_map(members)))
+            yield pd.DataFrame(out, columns=["row_id", "n", "s1", "s2", "prefix", *BIT_LANES])
 
     # ids travel as text: a null among them must not turn the others into floating-point numbers
     rows = docs.select(F.col("doc_id").cast("string").alias("row_id"), "text")
-    done = rows.mapInPandas(index, "row_id string, n long, s1 long, s2 long, prefix array<long>")
-    return done.select(F.col("row_id").cast("long").alias("doc_id"), "n", "s1", "s2", "prefix")
+    done = rows.mapInPandas(index, "row_id string, n long, s1 long, s2 long, prefix array<long>, " + ", ".join(f"{c} long" for c in BIT_LANES))
+    return done.select(F.col("row_id").cast("long").alias("doc_id"), "n", "s1", "s2", "prefix", *BIT_LANES)
 
 
 def small(frame: DataFrame) -> DataFrame:
@@ -212,10 +234,14 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
         .groupBy("a", "b")
         .agg(F.max_by(F.struct("inter", "n_a", "n_b"), F.col("inter") / (F.col("n_a") + F.col("n_b") - F.col("inter"))).alias("v"))
         .select("a", "b", "v.*")
-        .withColumn("distance", 1.0 - F.col("inter") / (F.col("n_a") + F.col("n_b") - F.col("inter")))
+        .withColumn("distance", _distance())
     )
 
 
+def _distance() -> Column:
+    return 1.0 - F.col("inter") / (F.col("n_a") + F.col("n_b") - F.col("inter"))
+
+
 def _is_link(threshold: Threshold) -> Column:
     return (F.col("inter") * threshold.down) >= (F.col("n_a") + F.col("n_b") - F.col("inter")) * threshold.up
 
@@ -243,140 +269,191 @@ def entries(table: DataFrame, threshold: Threshold) -> tuple[DataFrame, DataFram
     return classes, lists
 
 
-def leaders_of(lists: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -> DataFrame:
-    """(a, b, distance): every set a with the leader b that most of its lists' blocks name, if they link."""
-    leaders = lists.groupBy("member", "block").agg(F.min(F.struct("id", "n", "pos")).alias("lead"))
-    named = (
-        lists.join(leaders, ["member", "block"])
+def named_leaders(lists: DataFrame, threshold: Threshold) -> DataFrame:
+    """(id, lead): for every set the one that most of its lists' blocks name as their leader.
+
+    A block's leader is the entry with the fewest prefix members that no other
+    set is indexed under, so the text that the others are copies of; ties go to
+    the smaller id. Blocks overlap (see ``_blocks``), so a group of copies whose
+    sizes stand in two blocks names one leader.
+    """
+    sizes = lists.groupBy("id").agg(F.first("n").alias("n"), F.count("*").alias("shared"))
+    alone = sizes.select("id", (F.col("n") - F.ceil(F.col("n") * threshold.up / threshold.down) + 1 - F.col("shared")).alias("alone"))
+    at = _blocks(lists.join(small(common.stored(alone, "alone")), "id")).select("member", "home", "id", "n", "pos", "alone")
+    leaders = at.groupBy("member", "home").agg(F.min(F.struct("alone", "id", "n", "pos")).alias("lead"))
+    return (
+        at.join(leaders, ["member", "home"])
         .where((F.col("id") != F.col("lead.id")) & threshold.may_link(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
-        .groupBy("id", F.col("lead.id").alias("lead"))
+        .groupBy("id", F.col("lead.id").alias("lead"), F.col("lead.alone").alias("alone"))
         .agg(F.count("*").alias("times"))
         .groupBy("id")
-        .agg(F.max_by("lead", F.struct("times", -F.col("lead"))).alias("lead"))
+        .agg(F.max_by("lead", F.struct("times", -F.col("alone"), -F.col("lead"))).alias("lead"))
     )
-    star_pairs = common.stored(named.select(F.col("id").alias("a"), F.col("lead").alias("b")), "pairs")
-    return common.stored(verified(star_pairs, docs, width).where(_is_link(threshold)).select("a", "b", "distance"), "star")
 
 
-def links(table: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -> tuple[DataFrame, list[DataFrame]]:
-    """Links (a, b) between the sets' representatives that make the same classes as all links do.
+def followers(lists: DataFrame, classes: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -> DataFrame:
+    """(a, b, n_a, n_b, inter, distance, diff): every set a with its named leader b.
 
-    ``table`` is what ``indexed`` gives. Returns (doc_id -> representative) and
-    the links of the three rounds. ``all_links`` gives every link.
+    ``diff`` is the symmetric difference of the two, where it is at most a third of
+    their sizes' sum, else null. Texts are moved to their leader once; a leader
+    with many followers is copied to several places, LED_ROWS followers each.
     """
-    is_link = _is_link(threshold)
-    classes, lists = entries(table, threshold)
+    named = common.stored(named_leaders(lists, threshold), "named")
+    counts = named.groupBy("lead").agg(F.ceil(F.count("*") / LED_ROWS).cast("int").alias("places"))
+    led = named.join(counts, "lead").select("id", "lead", F.pmod(F.xxhash64("id"), F.col("places")).cast("int").alias("place"), F.lit(1).alias("role"))
+    lead = counts.select(F.col("lead").alias("id"), "lead", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.lit(0).alias("role"))
+    moves = led.unionByName(lead).join(classes.select(F.col("rep").alias("id"), "s1", "s2"), "id")
+    moves = common.stored(moves, "moves")
 
-    # Round 1: every set against the leader that most of its lists' blocks name.
-    star = leaders_of(lists, docs, width, threshold)
-    grouped = components(star)
-
-    # Round 2: leaders whose followers meet in a block, unless their sets are joined already.
-    def placed(component: DataFrame) -> DataFrame:
-        """The entries with their set's leader, distance to it and component; sets that joined nothing lead themselves."""
-        followed = star.select(F.col("a").alias("id"), F.col("b").alias("leader"), "distance")
-        marks = common.stored(component.join(followed, "id", "left"), "marks")
-        return lists.join(small(marks), "id", "left").select(
-            "member", "id", "n", "pos", "prev", "block",
-            F.coalesce("leader", "id").alias("leader"),
-            F.coalesce("distance", F.lit(0.0)).alias("far"),
-            F.coalesce("component", "id").alias("component"),
-        )
-
-    def headed(frame: DataFrame) -> DataFrame:
-        """What each leader's followers have in common in a block, where followers of several components meet."""
-        heads = (
-            _blocks(frame)
-            .groupBy("member", "home", "leader", "component")
-            .agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("pos").alias("pos"), F.max("far").alias("reach"), F.count("*").alias("entries"))
-        )
-        several = heads.groupBy("member", "home").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        return heads.join(several.select("member", "home"), ["member", "home"], "left_semi")
-
-    def meeting(heads: DataFrame) -> DataFrame:
-        """Pairs of leaders whose followers' sizes and positions in a block allow a link."""
-        x, y = heads.alias("x"), heads.alias("y")
-        roomy = F.col("x.n_max") + F.col("y.n_max")
-        together = (
-            (F.col("x.member") == F.col("y.member"))
-            & (F.col("x.home") == F.col("y.home"))
-            & (F.col("x.leader") < F.col("y.leader"))
-            & (F.col("x.component") != F.col("y.component"))
-            & (F.col("x.n_max") * threshold.down >= F.col("y.n_min") * threshold.up)
-            & (F.col("y.n_max") * threshold.down >= F.col("x.n_min") * threshold.up)
-            & (F.col("x.pos") + F.col("y.pos") <= roomy - 2 * threshold.overlap(roomy) + 2)
-        )
-        few = F.col("x.entries") <= F.col("y.entries")
-        return x.join(y, together).select(
-            "x.member",
-            "x.home",
-            F.col("x.leader").alias("a"),
-            F.col("y.leader").alias("b"),
-            (F.col("x.reach") + F.col("y.reach")).alias("reach"),
-            F.when(few, F.col("x.leader")).otherwise(F.col("y.leader")).alias("small"),
-            F.when(few, F.col("y.leader")).otherwise(F.col("x.leader")).alias("large"),
-            F.when(few, F.col("y.reach")).otherwise(F.col("x.reach")).alias("large_reach"),
-        )
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, base, last = None, np.empty(0, np.uint64), None
+        for batch in batches:
+            out = []
+            columns = (batch[c] for c in ("id", "lead", "place", "role", "s1", "s2", "text"))
+            for row_id, lead_id, place, role, s1, s2, text in zip(*columns, strict=True):
+                members = shingle_set(text, width)
+                if digest_of(members) != (s1, s2) or (row_id, lead_id, role) == last:
+                    continue  # another text of the same id, or the row once more
+                last = (row_id, lead_id, role)
+                if role == 0:
+                    at, base = (lead_id, place), members
+                elif at == (lead_id, place):
+                    diff = np.setxor1d(members, base, assume_unique=True)
+                    n = len(members) + len(base)
+                    out.append((row_id, lead_id, len(members), len(base), (n - len(diff)) // 2, diff.view(np.int64) if 3 * len(diff) <= n else None))
+            yield pd.DataFrame(out, columns=["a", "b", "n_a", "n_b", "inter", "diff"])
+
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(small(moves), "id")
+    pairs = (
+        texts.repartition("lead", "place")
+        .sortWithinPartitions("lead", "place", "role", "id")
+        .mapInPandas(compare, "a long, b long, n_a long, n_b long, inter long, diff array<long>")
+    )
+    return common.stored(pairs.withColumn("distance", _distance()), "star")
+
+
+def derived_links(star: DataFrame, component: DataFrame, bits: DataFrame, threshold: Threshold) -> DataFrame:
+    """Links (a, b) between followers of one leader that stand in different components, from their differences to it.
 
-    at = common.stored(placed(grouped).drop("prev"), "placed")
-    met = common.stored(meeting(headed(at)).select("a", "b").distinct(), "met")
-    leader_pairs = common.stored(verified(met, docs, width).select("a", "b", "inter", "n_a", "n_b", "distance"), "leaders")
-    second = leader_pairs.where(is_link).select("a", "b")
-
-    # Round 3: followers of leaders that the triangle inequality leaves open, in the blocks where they meet.
-    reach = at.groupBy("leader").agg(F.max("far").alias("reach"))
-    left_open = (
-        leader_pairs.where(~is_link)
-        .join(reach.select(F.col("leader").alias("a"), F.col("reach").alias("reach_a")), "a")
-        .join(reach.select(F.col("leader").alias("b"), F.col("reach").alias("reach_b")), "b")
-        .where((F.col("reach_a") + F.col("reach_b") > 0) & (F.col("reach_a") + F.col("reach_b") + threshold.distance + 1e-9 >= F.col("distance")))
-        .select("a", "b", (F.col("distance") - threshold.distance - 1e-9).alias("gap"))
+    With D the difference to the leader, sets a and b differ in |D_a| + |D_b| -
+    2 |D_a & D_b| members, so they link if
+
+        2 (up + down) |D_a & D_b| >= x_a + x_b,   x = (up + down) |D| - (down - up) n.
+
+    Two followers of which one doesn't link with the leader must share members of
+    their differences. These are indexed like the sets were: rarest within the
+    leader's group first, only as many as the needed overlap leaves. Edits that a
+    copy shares with no other copy come first, so most copies meet nobody.
+    """
+    both = 2 * (threshold.up + threshold.down)
+    excess = F.col("m") * (threshold.up + threshold.down) - F.col("n") * (threshold.down - threshold.up)
+    led = (
+        star.where("diff IS NOT NULL")
+        .select(F.col("a").alias("id"), F.col("b").alias("leader"), F.col("n_a").alias("n"), "diff", F.size("diff").alias("m"))
+        .join(component, "id", "left")
+        .withColumns({"component": F.coalesce("component", "id"), "x": excess})
     )
-    left_open = common.stored(left_open, "open")
-    third = None
-    if left_open.head(1):
-        joined = components(star.select("a", "b").union(second))
-        open_leaders = common.stored(left_open.select(F.col("a").alias("leader")).union(left_open.select("b")).distinct(), "open_leaders")
-        at = common.stored(placed(joined).join(small(open_leaders), "leader", "left_semi"), "placed")
-        # the side with fewer entries in the block is unfolded first
-        meets = meeting(headed(at)).join(left_open, ["a", "b"]).where(F.col("reach") >= F.col("gap")).select("member", "home", "small", "large", "large_reach", "gap")
-        p, q, m = _blocks(at).alias("p"), _blocks(at).alias("q"), meets.alias("m")
-        near = p.join(
-            m,
-            (F.col("p.member") == F.col("m.member"))
-            & (F.col("p.home") == F.col("m.home"))
-            & (F.col("p.leader") == F.col("m.small"))
-            & (F.col("p.far") + F.col("m.large_reach") >= F.col("m.gap")),
+    least = led.groupBy("leader", "component").agg(F.min("x").alias("x"))
+    first = least.groupBy("leader").agg(F.min(F.struct("x", "component")).alias("first"))
+    second = least.join(first, "leader").where("component <> first.component").groupBy("leader", "first").agg(F.min("x").alias("second"))
+    led = common.stored(
+        led.join(second, "leader")
+        .withColumn("needed", F.ceil((F.col("x") + F.when(F.col("component") == F.col("first.component"), F.col("second")).otherwise(F.col("first.x"))) / both))
+        .drop("first", "second"),
+        "led",
+    )
+    steps = led.select("id", "leader", F.explode("diff").alias("member"))
+    often = steps.groupBy("leader", "member").agg(F.count("*").alias("times")).where("times > 1")
+    known = common.stored(steps.join(often, ["leader", "member"]), "steps")
+    in_order = Window.partitionBy("id").orderBy("times", "member")
+    ranked = known.withColumns({"nth": F.row_number().over(in_order), "many": F.count("*").over(Window.partitionBy("id"))})
+    index = (
+        ranked.join(led.drop("leader", "diff"), "id")
+        .withColumn("left", F.col("many") - F.col("nth") + 1)  # members from here on, this one included
+        .where("left >= needed")
+        .join(bits, "id")
+    )
+    index = common.stored(index.select("leader", "member", "id", "component", "n", "x", "left", *BIT_LANES), "differences")
+    p, q = index.alias("p"), index.alias("q")
+    needed = F.col("p.x") + F.col("q.x")
+    met = (
+        p.join(
+            q,
+            (F.col("p.leader") == F.col("q.leader"))
+            & (F.col("p.member") == F.col("q.member"))
+            & (F.col("p.id") < F.col("q.id"))
+            & (F.col("p.component") != F.col("q.component"))
+            & (F.col("p.left") * both >= needed)
+            & (F.col("q.left") * both >= needed)
+            & threshold.bits_allow(F.col("p.n") + F.col("q.n")),
         )
-        members = (
-            near.join(
-                q,
-                (F.col("p.member") == F.col("q.member"))
-                & (F.col("p.home") == F.col("q.home"))
-                & (F.col("q.leader") == F.col("m.large"))
-                & (F.col("p.component") != F.col("q.component"))
-                # a pair meets once for each run of members that both sets have one after the other
-                & (F.col("p.home") == F.greatest("p.block", "q.block"))
-                & F.coalesce(F.col("p.prev") != F.col("q.prev"), F.lit(True))
-                & (F.col("p.far") + F.col("q.far") >= F.col("m.gap"))
-                & threshold.may_link(F.col("p.n"), F.col("p.pos"), F.col("q.n"), F.col("q.pos")),
-            )
-            .select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"))
-            .distinct()
+        .select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), needed.alias("needed"))
+        .distinct()
+    )
+    met = common.stored(met, "met")
+    diffs = led.select("id", "diff")
+    left, right = (diffs.select(F.col("id").alias(c), F.col("diff").alias(f"d_{c}")) for c in "ab")
+    judged = met.join(left, "a").join(right, "b").where(F.size(F.array_intersect("d_a", "d_b")) * both >= F.col("needed"))
+    return common.stored(judged.select("a", "b"), "derived")
+
+
+def cross_links(lists: DataFrame, star: DataFrame, component: DataFrame, bits: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -> DataFrame:
+    """Links (a, b) between sets of different leaders and components, which meet in a block of a list."""
+    followed = star.where("diff IS NOT NULL").select(F.col("a").alias("id"), F.col("b").alias("leader"))
+    marks = common.stored(component.join(followed, "id", "full"), "marks")
+    placed = lists.join(small(marks), "id", "left").withColumns({"leader": F.coalesce("leader", "id"), "component": F.coalesce("component", "id")})
+    at = common.stored(_blocks(placed), "placed")
+    ends = [f(c).alias(f"{e}_{c}") for c in ("leader", "component") for e, f in (("lo", F.min), ("hi", F.max))]
+    several = at.groupBy("member", "home").agg(*ends).where("lo_leader < hi_leader AND lo_component < hi_component")
+    at = common.stored(at.join(several.select("member", "home"), ["member", "home"], "left_semi").join(bits, "id"), "open")
+    p, q = at.alias("p"), at.alias("q")
+    met = (
+        p.join(
+            q,
+            (F.col("p.member") == F.col("q.member"))
+            & (F.col("p.home") == F.col("q.home"))
+            & (F.col("p.id") < F.col("q.id"))
+            & (F.col("p.leader") != F.col("q.leader"))
+            & (F.col("p.leader") != F.col("q.id"))
+            & (F.col("q.leader") != F.col("p.id"))
+            & (F.col("p.component") != F.col("q.component"))
+            # a pair meets once for each run of members that both sets have one after the other
+            & (F.col("p.home") == F.greatest("p.block", "q.block"))
+            & F.coalesce(F.col("p.prev") != F.col("q.prev"), F.lit(True))
+            & threshold.may_link(F.col("p.n"), F.col("p.pos"), F.col("q.n"), F.col("q.pos"))
+            & threshold.bits_allow(F.col("p.n") + F.col("q.n")),
         )
-        members = common.stored(members, "members")
-        third = common.stored(verified(members, docs, width).where(is_link).select("a", "b"), "third")
-    return classes, [star.select("a", "b"), second] + ([third] if third is not None else [])
+        .select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
+        .distinct()
+    )
+    met = common.stored(met, "met")
+    return common.stored(verified(met, docs, width).where(_is_link(threshold)).select("a", "b"), "crossed")
+
+
+def links(table: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b) between the sets' representatives that make the same classes as all links do.
+
+    ``table`` is what ``indexed`` gives. Returns (s1, s2, rep, n) of the sets and
+    the links of three rounds: with the leader, between followers of one leader,
+    between leaders. ``all_links`` gives every link.
+    """
+    classes, lists = entries(table, threshold)
+    star = followers(lists, classes, docs, width, threshold)
+    first = star.where(_is_link(threshold)).select("a", "b")
+    bits = common.stored(table.join(classes.select("s1", "s2", F.col("rep").alias("doc_id")), ["s1", "s2", "doc_id"]).select(F.col("doc_id").alias("id"), *BIT_LANES).dropDuplicates(["id"]), "bits")
+    second = derived_links(star, components(first), bits, threshold)
+    third = cross_links(lists, star, components(first.union(second)), bits, docs, width, threshold)
+    return classes, [first, second, third]
 
 
-def all_links(lists: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -> DataFrame:
+def all_links(lists: DataFrame, classes: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -> DataFrame:
     """Every link (a, b), a < b, between the sets of ``lists``, which ``entries`` gives; ids of ``docs`` are distinct.
 
     With d(a, leader of a), d(b, leader of b) and the leaders' distance D known, the
     distance of a and b lies between D less both and D plus both. The rows grow with
     the links: with the square of a group's size, if all its members link.
     """
-    star = leaders_of(lists, docs, width, threshold)
+    star = followers(lists, classes, docs, width, threshold).where(_is_link(threshold))
     p, q = _blocks(lists).alias("p"), _blocks(lists).alias("q")
     met = (
         p.join(
@@ -429,7 +506,7 @@ def linked_documents(docs: DataFrame, width: int = 5, up: int = 80, down: int =
     texts = one_row_each(rows).select(F.col("key").alias("doc_id"), "text")
     table = common.stored(indexed(texts, width, threshold, member_levels(texts, width)), "sets")
     classes, lists = entries(table, threshold)
-    found = all_links(lists, texts, width, threshold)
+    found = all_links(lists, classes, texts, width, threshold)
     sets = table.join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).select(F.col("doc_id").alias("key"), F.col("n").alias("n_shingles"), "rep")
     held = rows.where(has_words(F.col("text"))).select("doc_id", text_key(F.col("text")).alias("key"))
     held = common.stored(held.join(sets, "key").select("doc_id", "n_shingles", "rep"), "held")
