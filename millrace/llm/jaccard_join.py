@@ -53,17 +53,48 @@ _GOLDEN, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _SEEDS = [np.uint64(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF) for k in range(64)]
 
 
-class _WordHashes(dict):
-    """Hashes of the words a worker has met; emptied when it holds 150,000."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 150_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word) - (1 << 63)
-        return h
-
-
-_words = _WordHashes()
+#: Bytes hashed at once; longer texts are cut between two words.
+BLOCK_BYTES = 1 << 20
+_BASE = 0x9E3779B97F4A7C13
+_letters = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
+_letters[ord("A") : ord("Z") + 1] = _letters[ord("a") : ord("z") + 1]
+_blank = np.zeros(256, dtype=bool)
+_blank[[0x20, *range(0x09, 0x0E)]] = True
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]  # of the base and of its inverse modulo 2^64
+
+
+def _powers_to(n: int) -> list[np.ndarray]:
+    if len(_powers[0]) < n:
+        n = max(n, min(2 * n, BLOCK_BYTES))
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.multiply.accumulate(steps)
+    return _powers
+
+
+def _word_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of each run of bytes that are no ASCII white space, A-Z as a-z: the letters' random numbers,
+    weighed by powers of a base that start at each word anew."""
+    gap = np.r_[True, _blank[data], True]
+    turns = np.flatnonzero(gap[1:] != gap[:-1])
+    begin, end = turns[0::2], turns[1::2]
+    powers, inverse = _powers_to(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_letters[data] * powers[: len(data)], out=sums[1:])
+    h = (sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64)
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def _words(text: bytes) -> np.ndarray:
+    data, parts, at = np.frombuffer(text, np.uint8), [], 0
+    while len(data) - at > BLOCK_BYTES:
+        tail = data[at + BLOCK_BYTES :]
+        stop = at + BLOCK_BYTES + next((k + int(np.argmax(_blank[tail[k : k + 4096]])) for k in range(0, len(tail), 4096) if _blank[tail[k : k + 4096]].any()), len(tail))
+        parts.append(_word_hashes(data[at:stop]))
+        at = stop
+    return np.concatenate([*parts, _word_hashes(data[at:])])
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -72,11 +103,10 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     Words are runs without ASCII white space, A-Z lower-cased. A text with fewer
     words than ``width`` has its whole sequence as one shingle; without words, none.
     """
-    words = (text or "").encode("utf-8").lower().split()
-    n = len(words)
+    h = _words((text or "").encode("utf-8"))
+    n = len(h)
     if not n:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), dtype=np.int64, count=n).view(np.uint64)
     span = min(width, n)
     mixed = h[: n - span + 1] ^ _SEEDS[span]
     for k in range(1, span):
