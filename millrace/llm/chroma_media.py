@@ -93,7 +93,7 @@ def audio_fingerprint(samples: np.ndarray) -> np.ndarray:
 
 def fingerprints(media: DataFrame, key: str, audio: str) -> DataFrame:
     """(key, codes array<long>); a null or too short recording has no codes."""
-    common.bound_batches(media.sparkSession, 64)
+    common.bound_batches(media.sparkSession)
 
     @F.pandas_udf("array<long>")
     def coded(batch: pd.Series) -> pd.Series:
@@ -214,7 +214,7 @@ def melody(values: np.ndarray, seed: int = 0, noise: float = 0.0) -> np.ndarray:
 def recordings(vectors: DataFrame) -> DataFrame:
     """(vec_id, audio, excerpt): each vector's melody as PCM, and for ids divisible by 20 a noisy
     excerpt of it that begins 8 to 23 frames later. The tables have no media of their own."""
-    common.bound_batches(vectors.sparkSession, 64)
+    common.bound_batches(vectors.sparkSession)
 
     def play(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

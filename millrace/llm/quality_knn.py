@@ -30,6 +30,8 @@ WORD_TERMS = 512
 WORD_SHARE = 0.3
 LATENT = 64
 NEIGHBOURS = 15
+#: Cosines that agree to so many decimals are equally near.
+TIE_DIGITS = 5
 #: A neighbour's weight is its cosine to this power.
 SHARPNESS = 8
 THRESHOLD = 0.3
@@ -38,11 +40,11 @@ THRESHOLD = 0.3
 def _shape(word: str) -> str:
     """Runs of small letters, capitals and digits as one sign each; other signs up to twice."""
     out: list[str] = []
-    for c in word[:40]:
+    for c in word:
         kind = ("X" if c != c.lower() else "x") if c.isalpha() else "9" if c.isdigit() else c
         if not out or out[-1] != kind or (kind not in "Xx9" and out[-2:] != [kind, kind]):
             out.append(kind)
-    return "".join(out[:8])
+    return "".join(out)
 
 
 class _Words(dict):
@@ -95,14 +97,17 @@ class Voter:
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
     def score(self, terms: np.ndarray) -> np.ndarray:
-        """One block: cosines to every labelled vector, then the vote of the nearest."""
+        """One block: cosines to every labelled vector, then the vote of the nearest ``NEIGHBOURS`` and of all that
+        are as near as the last of them."""
         if not len(self.labels):
             return np.full(len(terms), 0.5)
         cosine = self.latent(terms) @ self.vectors.T
-        k = min(NEIGHBOURS, cosine.shape[1])
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 1e-6).astype(np.float64) ** SHARPNESS
-        vote = (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
+        cosine = np.round(cosine, TIE_DIGITS)
+        last = max(0, cosine.shape[1] - NEIGHBOURS)
+        near = cosine >= np.partition(cosine, last, axis=1)[:, last, None]
+        weight = np.zeros(cosine.shape)
+        weight[near] = np.maximum(cosine[near], 1e-6).astype(np.float64) ** SHARPNESS
+        vote = weight @ self.labels / weight.sum(axis=1)
         return np.where(terms.any(axis=1), np.clip(vote, 0.0, 1.0), 0.0)
 
 
@@ -168,6 +173,13 @@ def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents predicted to be good."""
+    """Keep documents predicted to be good, with the columns they came with.
+
+    Null and empty texts and texts without words score 0 and go; repeated rows are
+    kept or go together; rows with a null id are judged by their text like any
+    other; with no learnable label every text with words stays. An empty table
+    stays empty. A column named score or predicted comes back as it was.
+    """
     voter = fit(docs, _learnable(spark, sf_dir))
-    return scored(docs, voter).where("predicted = 1").select(*docs.columns)
+    kept = scored(docs.select(F.struct("*").alias("row"), "text"), voter)
+    return kept.where("predicted = 1").select("row.*")

@@ -196,6 +196,13 @@ def langid_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is known; profiles come from these documents."""
+    """Keep documents whose language is known, with the columns they came with; profiles come from these documents.
+
+    Null and empty texts and texts without letters have no language and go; with no
+    document that names its language, all go. Repeated rows are kept or go
+    together; ids are not looked at but for holding out a third of them. An empty
+    table stays empty. A column named lang_pred or score comes back as it was.
+    """
     profiles = learn_profiles(docs.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))))
-    return identify(docs, profiles).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    kept = identify(docs.select(F.struct("*").alias("row"), "text"), profiles)
+    return kept.where(F.col("lang_pred") != UNKNOWN).select("row.*")
