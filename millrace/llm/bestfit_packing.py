@@ -65,20 +65,27 @@ def pack_group(sizes: list[int], sources: list[int], clusters: list[int], capaci
 def packed(items: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS) -> DataFrame:
     """Pack rows (doc_id, size, source, cluster) into bins.
 
-    Returns one row for each item and part: doc_id, part, n_tokens, bin_id,
-    bin_offset. An item above the capacity is cut into full parts, each filling a
-    bin of its own, and a rest that is packed like any item. Items of size zero
-    take no room but are placed. Null sources and clusters clash with nothing;
-    a null size counts zero; repeated rows are items of their own. Within a group
-    the largest items come first; ties go by doc_id and then cluster. Bin ids are
-    unique over all groups.
+    Returns one row for each item and part: doc_id, part, doc_offset, n_tokens,
+    bin_id, bin_offset: tokens doc_offset to doc_offset + n_tokens of the document
+    stand in the bin from bin_offset on (``sequences`` lays them out). An item above
+    the capacity is cut into full parts, each filling a bin of its own, and a rest
+    that is packed like any item. Items of size zero take no room but are placed.
+    Null sources and clusters clash with nothing; a null or negative size counts
+    zero; repeated rows are items of their own and are dealt to all groups; ids may
+    be of any type that has a text form. Within a group the largest items come
+    first; ties go by the text form of doc_id, then part, then cluster. Bin ids are
+    unique over all groups; an empty table gives no rows.
     """
     total = items.count()
     groups = max(1, -(-total // group_items))
-    size = F.coalesce(F.col("size").cast("long"), F.lit(0))
+    id_type = items.schema["doc_id"].dataType
+    size = F.greatest(F.coalesce(F.col("size").cast("long"), F.lit(0)), F.lit(0))
     full = F.floor(F.greatest(size - 1, F.lit(0)) / capacity).cast("long")
     parts = (
-        items.select("doc_id", size.alias("size"), "source", F.col("cluster").cast("string").alias("cluster"), full.alias("full"))
+        items.select("doc_id", size.alias("size"), F.col("source").cast("string").alias("source"), F.col("cluster").cast("string").alias("cluster"))
+        .groupBy("doc_id", "size", "source", "cluster")
+        .agg(F.count("*").alias("copies"))
+        .withColumns({"full": full, "copy": F.explode(F.sequence(F.lit(1), F.col("copies")))})
         .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full"))))
         .select(
             F.col("doc_id").cast("string").alias("doc_id"),  # as text, a null leaves the others whole
@@ -87,7 +94,7 @@ def packed(items: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_
             F.xxhash64("source").alias("source"),
             F.col("source").isNotNull().alias("has_source"),
             "cluster",
-            F.pmod(F.xxhash64("doc_id", "cluster", "part"), F.lit(groups)).cast("long").alias("grp"),
+            F.pmod(F.xxhash64("doc_id", "cluster", "part", "copy"), F.lit(groups)).cast("long").alias("grp"),
         )
     )
 
@@ -108,7 +115,30 @@ def packed(items: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_
         )
 
     done = parts.groupBy("grp").applyInPandas(pack, "doc_id string, part int, n_tokens int, bin_id long, bin_offset int")
-    return done.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return done.select(F.col("doc_id").cast(id_type), "part", (F.col("part").cast("long") * capacity).alias("doc_offset"), "n_tokens", "bin_id", "bin_offset")
+
+
+def sequences(placed: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The bins laid out: (bin_id, token_ids, segments, loss_mask, documents).
+
+    ``placed`` is what ``packed`` gives, ``tokens`` has doc_id (each once, not null)
+    and token_ids. ``segments`` numbers the document of each token in its bin from
+    1; ``loss_mask`` is 0 at the first token of each, which nothing before it in
+    the bin foretells; ``documents`` are the bin's (doc_id, doc_offset, bin_offset).
+    A bin holds no more than the capacity. Parts without tokens, and rows without a
+    document in ``tokens``, take no place.
+    """
+    part = F.slice("token_ids", (F.col("doc_offset") + 1).cast("int"), F.col("n_tokens"))
+    rows = placed.where("n_tokens > 0").join(tokens.select("doc_id", "token_ids"), "doc_id")
+    row = F.struct("bin_offset", "doc_id", "doc_offset", part.alias("ids"))
+    bins = rows.groupBy("bin_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    return bins.select(
+        "bin_id",
+        F.flatten(F.transform("rows", lambda r: r["ids"])).alias("token_ids"),
+        F.flatten(F.transform("rows", lambda r, k: F.array_repeat(k + 1, F.size(r["ids"])))).alias("segments"),
+        F.flatten(F.transform("rows", lambda r: F.transform(r["ids"], lambda _, k: (k > 0).cast("int")))).alias("loss_mask"),
+        F.transform("rows", lambda r: F.struct(r["doc_id"].alias("doc_id"), r["doc_offset"].alias("doc_offset"), r["bin_offset"].alias("bin_offset"))).alias("documents"),
+    )
 
 
 def document_items(docs: DataFrame) -> DataFrame:
@@ -136,6 +166,10 @@ def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """After the near-duplicate stage no two texts with words are linked: their classes are single rows,
-    which the exact copies' clusters say as well without a second join."""
+    """Pack what the near-duplicate stage left; no two of its texts with words are linked, so their classes are
+    single rows, which the exact copies' clusters say as well without a second join.
+
+    Null and empty texts are items of size zero; null ids and sources, repeated rows
+    and an empty table are as in ``packed``; other columns are not looked at.
+    """
     return packed(document_items(common.plain(docs, "doc_id", "text", "source")))

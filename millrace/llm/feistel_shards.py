@@ -18,9 +18,9 @@ from . import common
 
 ROUNDS = 6
 #: The domain is a*b with a = ceil(sqrt(N)), so fewer than a of its places lie
-#: beyond N. A walk is at most a+1 steps long, and one longer than 64 has
-#: probability below (1/64)^64 where a > 64. A row that would need more stops the job.
-WALK_STEPS = 64
+#: beyond N, and no walk is longer than a steps. All rows take up to so many steps
+#: at first; the few that are still outside then take as many as they need.
+FIRST_STEPS = 16
 #: Row numbers are counted within hash ranges of about this many rows.
 ROWS_A_BUCKET = 1000
 MOST_BUCKETS = 8192
@@ -34,15 +34,14 @@ def domain(rows: int) -> tuple[int, int]:
 def permuted(number: Column, rows: int, seed: int) -> Column:
     """The place of a row number under the keyed permutation of 0..rows-1."""
     a, b = domain(rows)
-    step = lambda x: _network(x, a, b, seed)
-    walked = F.aggregate(
-        F.sequence(F.lit(1), F.lit(WALK_STEPS)),
-        step(number),
-        lambda place, _: F.when(place < rows, place).otherwise(step(place)),
-    )
-    return F.when(walked < rows, walked).otherwise(
-        F.raise_error(F.lit(f"a walk in a domain of {a * b} took more than {WALK_STEPS} steps")).cast("long")
-    )
+
+    def walk(place: Column, steps: int) -> Column:
+        return F.aggregate(
+            F.sequence(F.lit(1), F.lit(steps)), place, lambda at, _: F.when(at < rows, at).otherwise(_network(at, a, b, seed))
+        )
+
+    near = walk(_network(number, a, b, seed), min(a, FIRST_STEPS))
+    return near if a <= FIRST_STEPS else F.when(near < rows, near).otherwise(walk(near, a))
 
 
 def _network(place: Column, a: int, b: int, seed: int) -> Column:
@@ -70,31 +69,27 @@ def numbered(frame: DataFrame, keys: list[str], into: str = "row_number") -> Dat
     """Gapless global row numbers from 0, in the order of a hash of ``keys``, then ``keys``.
 
     The numbers depend on the rows alone, not on files, partitions or retries.
-    Hash ranges make even buckets whatever the keys look like; a bucket's rows
-    are numbered by one window and the buckets' sizes (at most 8,192 rows) are
-    summed to offsets. Rows equal in all keys are interchangeable.
+    Hash ranges make even buckets whatever the keys look like, also where one of
+    them is often null or repeated; a bucket's rows are numbered by one window and
+    the buckets' sizes (at most 8,192 rows) are summed to offsets. Rows equal in all
+    keys are interchangeable. Of the frame's columns only one named ``into`` is replaced.
     """
     total = frame.count()
     buckets = min(MOST_BUCKETS, max(1, total // ROWS_A_BUCKET))
-    hashed = frame.withColumn("_h", F.xxhash64(F.col(f"`{keys[0]}`"))).withColumn(
-        "_bucket", F.least(F.floor((F.col("_h") / F.lit(2.0**64) + 0.5) * buckets), F.lit(buckets - 1)).cast("int")
-    )
-    offsets = (
-        hashed.groupBy("_bucket")
-        .count()
-        .select(
-            "_bucket",
-            F.coalesce(
-                F.sum("count").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ).alias("_offset"),
-        )
+    kept = frame.drop(into)
+    h, bucket, within, offset = common.fresh(kept, "_h", "_bucket", "_within", "_offset")
+    columns = [F.col(f"`{k}`") for k in keys]
+    hashed = kept.withColumn(h, F.xxhash64(*columns)).withColumn(
+        bucket, F.least(F.floor((F.col(h) / F.lit(2.0**64) + 0.5) * buckets), F.lit(buckets - 1)).cast("int")
     )
-    order = Window.partitionBy("_bucket").orderBy("_h", *[F.col(f"`{k}`") for k in keys])
+    before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = hashed.groupBy(bucket).agg(F.count("*").alias("rows")).select(bucket, F.coalesce(F.sum("rows").over(before), F.lit(0)).alias(offset))
+    order = Window.partitionBy(bucket).orderBy(h, *columns)
     return (
-        hashed.withColumn("_within", F.row_number().over(order))
-        .join(F.broadcast(offsets), "_bucket")
-        .withColumn(into, (F.col("_offset") + F.col("_within") - 1).cast("long"))
-        .drop("_h", "_bucket", "_within", "_offset")
+        hashed.withColumn(within, F.row_number().over(order))
+        .join(F.broadcast(offsets), bucket)
+        .withColumn(into, (F.col(offset) + F.col(within) - 1).cast("long"))
+        .drop(h, bucket, within, offset)
     )
 
 
@@ -105,13 +100,14 @@ def sharded(frame: DataFrame, keys: list[str], shards: int, seed: int = 20) -> D
     own; an empty table stays empty; columns named shard or slot are replaced.
     """
     rows = frame.count()
-    place = permuted(F.col("_number"), rows, seed)
+    kept = frame.drop("shard", "slot")
+    number, place = common.fresh(kept, "_number", "_place")
     return (
-        numbered(frame.drop("shard", "slot"), keys, "_number")
-        .withColumn("_place", place)
-        .withColumn("shard", (F.col("_place") % shards).cast("int"))
-        .withColumn("slot", F.floor(F.col("_place") / shards).cast("long"))
-        .drop("_place", "_number")
+        numbered(kept, keys, number)
+        .withColumn(place, permuted(F.col(number), rows, seed))
+        .withColumn("shard", (F.col(place) % shards).cast("int"))
+        .withColumn("slot", F.floor(F.col(place) / shards).cast("long"))
+        .drop(place, number)
     )
 
 

@@ -69,6 +69,39 @@ def test_items_count_words(spark):
     assert got == {1: (3, False), 2: (0, True), 3: (0, True), 4: (0, False)}
 
 
+@pytest.mark.parametrize("kind", ["string", "int", "decimal(20,0)"])
+def test_query_packs_like_a_plain_search_over_each_group(spark, kind):
+    rng = random.Random(3)
+    rows = [(i, rng.choice([0, 5, 30, 60, 99, 130]), rng.choice(["hot", "hot", "a", None]), rng.choice([None, None, 1, 2])) for i in range(200)]
+    rows += [rows[0]] * 150  # a repeated row
+    items = spark.createDataFrame(rows, "doc_id int, size int, source string, cluster long").withColumn("doc_id", F.col("doc_id").cast(kind))
+    got = bestfit_packing.packed(items, capacity=100, group_items=100)
+    assert got.schema["doc_id"].dataType == items.schema["doc_id"].dataType
+    got = got.collect()
+    facts, groups = {str(r[0]): r for r in rows}, {}
+    for r in got:
+        groups.setdefault(r["bin_id"] >> 32, []).append(r)
+        assert r["doc_offset"] == 100 * r["part"]
+    assert len(groups) == 4 and len(got) == sum(max(1, -(-r[1] // 100)) for r in rows)
+    assert max(sum(str(r["doc_id"]) == "0" for r in g) for g in groups.values()) < 80
+    for members in groups.values():
+        key = lambda r: (-r["n_tokens"], str(r["doc_id"]), r["part"])
+        members = sorted(members, key=lambda r: (*key(r), r["bin_id"]))
+        code = lambda k: [{v: i for i, v in enumerate(dict.fromkeys(facts[str(r["doc_id"])][k] for r in members))}[facts[str(r["doc_id"])][k]] if facts[str(r["doc_id"])][k] is not None else -1 for r in members]  # noqa: B023, E731
+        want = plain_best_fit([r["n_tokens"] for r in members], code(2), code(3), 100)
+        assert sorted(zip(map(key, members), want)) == sorted(zip(map(key, members), (r["bin_id"] & 0xFFFFFFFF for r in members)))
+
+
+def test_bins_as_sequences(spark):
+    tokens = {1: list(range(10, 16)), 2: [20, 21], 3: [30], 4: []}
+    items = spark.createDataFrame([(k, len(v), f"s{k}", None) for k, v in tokens.items()], "doc_id long, size int, source string, cluster long")
+    bins = bestfit_packing.sequences(bestfit_packing.packed(items, capacity=4), spark.createDataFrame(list(tokens.items()), "doc_id long, token_ids array<int>")).collect()
+    assert sorted(r["token_ids"] for r in bins) == [[10, 11, 12, 13], [14, 15, 20, 21], [30]]
+    mixed = next(r for r in bins if r["token_ids"][0] == 14)
+    assert mixed["segments"] == [1, 1, 2, 2] and mixed["loss_mask"] == [0, 1, 0, 1]
+    assert [tuple(d) for d in mixed["documents"]] == [(1, 4, 0), (2, 0, 2)]
+
+
 def test_near_copies_never_share_a_bin(spark, tmp_path):
     base = [f"w{k}" for k in range(60)]
     texts = [" ".join(base[k:] + [f"e{k}"] * k) for k in range(5)]  # each is linked with the next
@@ -118,6 +151,39 @@ def test_shards_of_the_documents(spark):
     assert rows != sorted(rows, key=lambda r: r["doc_id"])
 
 
+def test_query_equals_a_plain_one(spark, tmp_path):
+    rows = [(i * 7, "text %d" % (i % 5)) for i in range(300)] + [(5, None), (None, "x"), (None, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    keys = [(i, zlib.crc32((t or "").encode()), len((t or "").encode()) + 16) for i, t in rows]
+
+    def hashed(key):
+        h = 42
+        for v in key:
+            h = h if v is None else xxhash.xxh64_intdigest(v.to_bytes(8, "little", signed=True), h)
+        return h - (1 << 64) if h >= 1 << 63 else h
+
+    order = sorted(keys, key=lambda k: (hashed(k), [(v is not None, v or 0) for v in k]))
+    want = sorted(((*k, place % 40, place // 40) for n, k in enumerate(order) for place in [plain_place(n, len(rows), 20)]), key=str)
+    got = [(r["doc_id"], r["text_crc32"], r["size"], r["shard"], r["slot"]) for r in feistel_shards.shards_query(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == want
+
+
+def test_hot_first_keys_and_own_columns(spark, monkeypatch):
+    monkeypatch.setattr(feistel_shards, "ROWS_A_BUCKET", 50)
+    rows = spark.createDataFrame([(None if i % 3 else 1, i, f"b{i}", i) for i in range(600)], "k long, v long, _bucket string, _number long")
+    out = feistel_shards.sharded(rows, ["k", "v"], 7)
+    assert out.columns == ["k", "v", "_bucket", "_number", "shard", "slot"]
+    assert all(r["_bucket"] == f"b{r['v']}" and r["_number"] == r["v"] for r in out.collect())
+    assert feistel_shards.numbered(rows, ["k", "v"]).agg(F.countDistinct("row_number"), F.max("row_number")).first()[:] == (600, 599)
+
+
+def test_long_walks_end(spark, monkeypatch):
+    monkeypatch.setattr(feistel_shards, "FIRST_STEPS", 1)
+    for rows in (5, 17, 101, 626):
+        got = [r["p"] for r in spark.range(rows).orderBy("id").select(feistel_shards.permuted(F.col("id"), rows, 3).alias("p")).collect()]
+        assert got == [plain_place(i, rows, 3) for i in range(rows)]
+
+
 def test_row_numbers_do_not_depend_on_partitions(spark):
     rows = spark.createDataFrame([(i % 700, i) for i in range(2500)] + [(None, 1), (None, 1)], "k long, shard long")
     one = {(r["k"], r["v"]): r["n"] for r in feistel_shards.numbered(rows.withColumnRenamed("shard", "v"), ["k", "v"], "n").where("k IS NOT NULL").collect()}
