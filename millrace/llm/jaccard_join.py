@@ -9,18 +9,26 @@ Index level. A member's list is cut into blocks by set size, and entries carry
 the member's position: an entry is held only against blocks whose sizes allow a
 link, and only where the two positions do.
 
-Answer level. Each set is first held against the one leader its lists name most
-often. Its distance to that leader, with the leaders' distances among each
-other (the Jaccard distance is a metric), then answers for most other pairs:
-sets already joined are not compared again, and two leaders further apart than
-their followers' distances and the threshold allow rule out all pairs between
-their followers. Only what these relations leave open is compared, pair by pair.
+Answer level. Each set is compared with one leader, the set that most of its
+lists name, and its difference to the leader is kept. What the followers of one
+leader have in common follows from these differences alone: sets a and b differ
+in |D_a| + |D_b| - 2 |D_a & D_b| members, so a's answer is the leader's answer,
+changed by the few members in which they differ. Two followers can only link
+beyond what the leader says if their differences share members, and those are
+indexed within the leader's group like the sets were, rarest first. Sets already
+joined are not compared again. Sets of different leaders that meet in a list are
+held against each other's parity map first and then member by member.
 The classes are those of all links.
 
 ``all_links`` is the join itself: every link between different sets, also within
-a class. There the leaders' distances bound each candidate pair's distance from
-both sides; what the bounds leave open is compared. ``linked_documents`` counts
-each document's links and takes the classes from them.
+a class. There the leaders' distances (the Jaccard distance is a metric) bound
+each candidate pair's distance from both sides; what the bounds leave open is
+compared. ``linked_documents`` counts each document's links and takes the classes
+from them.
+
+The global order comes from a million counters, whatever the size of the input:
+where very many members share a counter it knows only the most frequent ones, and
+lists of rarer members are longer. The links don't depend on it.
 """
 
 from __future__ import annotations
@@ -41,8 +49,9 @@ from .components import components
 #: sharper; any number gives the same links.
 COUNTER_BITS = 20
 COUNTER_BLOCK = 4096
-#: Tables of ids of at most so many rows are broadcast (about 32 MB a column of 8 bytes); larger ones are joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Tables of ids of at most so many rows are broadcast (below 200 MB with six columns, by what 220,000 rows took);
+#: larger ones are joined by shuffle, with the same result.
+BROADCAST_ROWS = 400_000
 #: Followers of a leader that meet a copy of it in one place.
 LED_ROWS = 2000
 #: A set's 256-bit parity map: bit k says whether an odd number of its members fall on k. Two maps differ

@@ -63,8 +63,11 @@ def corpus(seed):
     return ids, texts
 
 
-@pytest.mark.parametrize(("seed", "width", "up"), [(0, 3, 90), (1, 5, 80)])
-def test_classes_equal_brute_force(spark, seed, width, up):
+@pytest.mark.parametrize(("seed", "width", "up", "broadcast"), [(0, 3, 90, None), (1, 5, 80, 0)])
+def test_classes_equal_brute_force(spark, monkeypatch, seed, width, up, broadcast):
+    """Also by shuffles alone."""
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", jaccard_join.BROADCAST_ROWS if broadcast is None else broadcast)
+    monkeypatch.setattr(jaccard_join, "LED_ROWS", 5)
     ids, texts = corpus(seed)
     want, links = classes(ids, texts, width, up)
     rows = spark.createDataFrame([(i, t, i) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, id long")
@@ -91,6 +94,47 @@ def test_all_links_equal_brute_force(spark, seed, width, up):
     assert [(r["n_shingles"], r["n_links"], r["component_id"]) for r in got if r["doc_id"] is None] == [(len(sets[0]), 0, None)]
 
 
+def near_misses(count, edits, seed=1):
+    """Copies of one text with random words replaced."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for k in range(count):
+        t = list(base)
+        for e, at in enumerate(rng.sample(range(200), edits[k % len(edits)])):
+            t[at] = f"e{k}_{e}"
+        texts.append(" ".join(t))
+    return texts
+
+
+@pytest.mark.parametrize("edits", [[4], [0, 1, 2, 3, 4, 5, 6]])
+def test_compared_pairs_grow_with_the_rows(spark, monkeypatch, edits):
+    counted, stored = [], jaccard_join.common.stored
+    monkeypatch.setattr(jaccard_join.common, "stored", lambda frame, label: (out := stored(frame, label), label in ("met", "named") and counted.append((label, out.count())))[0])
+    most = {}
+    for count in (60, 240):
+        counted.clear()
+        texts = near_misses(count, edits)
+        rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r["doc_id"]: r["component_id"] for r in jaccard_join.classes_of(rows).collect()}
+        most[count] = sum(n for _, n in counted)
+        assert got == {k: c for k, (_, c) in classes(list(range(count)), texts, 5, 80)[0].items()}
+    assert most[240] <= 2 * 240 and most[240] <= 6 * max(most[60], 40)
+
+
+def test_words_are_hashed_alike_in_blocks(monkeypatch):
+    rng = random.Random(4)
+    text = "".join(rng.choice("abAB é\n\t\x0b中") for _ in range(3000)) + " " + "x" * 500 + " tail"
+    words = text.encode().lower().split()
+    whole = jaccard_join._words(text.encode()).tolist()
+    assert len(whole) == len(words) and len(set(whole)) == len(set(words))
+    by_word = dict(zip(words, whole, strict=True))
+    assert [by_word[w] for w in words] == whole
+    for block in (1, 7, 64):
+        monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", block)
+        assert jaccard_join._words(text.encode()).tolist() == whole
+
+
 def test_edges_and_empty_tables(spark):
     schema = "doc_id long, text string, component_id string"
     rows = spark.createDataFrame([(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (None, "a b c d e f", "x"), (5, "a b c d e f", None), (7, None, None)], schema)
