@@ -140,6 +140,12 @@ def convert_lineups(lineups: DataFrame, unit_names: Column, unit_costs: Column,
     )
 
 
+def require_positions(lineups: DataFrame) -> None:
+    """No parsed lineup has a slot whose position is some other text than row and column."""
+    if rows := lineups.where(F.exists("d.hero_location", lambda slot: t.bad_position(slot["location"]))).select("id").limit(3).collect():
+        raise InvalidData("a board position is malformed in " + ", ".join(r["id"] for r in rows))
+
+
 def require_known(lineups: DataFrame) -> None:
     """Every unit and item of the converted lineups is known."""
     bad = F.exists("members", lambda m: m["name"].isNull() | m["cost"].isNull() | ~m["kind"].isin("hero", "pet") | F.exists(m["items"], lambda i: i["name"].isNull()))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate, product, repeat, takewhile
 
 import numpy as np
 import pandas as pd
@@ -11,13 +12,17 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import box_overlap, fixed_decimals, round_half_up
 from ..functions.text import ocr_line
-from .ordering import first_per_key
+from .ordering import first_per_key, top_per_key
 
 #: Cells, coefficients and limits of a signature and of decisions.
 GRID, COEFFICIENTS, COLOUR_GRID = 16, 8, 4
 LEAST_DEVIATION = 7.0
 LEAST_SCORE = 0.72
 HASH_WEIGHT, COLOUR_WEIGHT = 0.78, 0.22
+#: Window widths: the least, their growth, and the strides and reaches of the search as shares of a window.
+LEAST_WIDTH, LEAST_SHARE, GROWTH, ASPECT_STEP, OWN_ASPECT = 48, 0.07, 1.32, 1.13, 0.16
+STRIDE, REACH, LEAST_STRIDE = 0.26, 0.13, 10
+LEADERS = 12
 SIGNATURE = "hash bigint, color array<float>, deviation double"
 
 
@@ -65,7 +70,8 @@ def signature(sums: np.ndarray, x: int, y: int, width: int, height: int) -> tupl
 def _decoded(width: int, height: int, rgba: bytes, most: int) -> np.ndarray | None:
     if not width or not height or rgba is None or len(rgba) != width * height * 4 or min(width, height) < 16:
         return None
-    return reduce_pixels(np.frombuffer(rgba, np.uint8).reshape(height, width, 4), most)
+    pixels = reduce_pixels(np.frombuffer(rgba, np.uint8).reshape(height, width, 4), most)
+    return pixels if min(pixels.shape[:2]) >= 16 else None
 
 
 def signatures(images: DataFrame, most: int = 480) -> DataFrame:
@@ -119,31 +125,48 @@ def compare(candidates: DataFrame, references: DataFrame, floor: float = LEAST_S
     return near.withColumn("score", similarity(F.col("c.signature"), F.col("r.signature"))).where(F.col("score") > floor)
 
 
-def window_widths(width: int, height: int, aspect: float) -> list[tuple[int, int]]:
-    """Window sizes of one aspect: a third wider each time, the widest always included, no size twice."""
-    widest = int(np.floor(min(width, height * aspect)))
-    w = max(48, int(np.ceil(48 * aspect)), int(np.floor(min(width, height) * 0.07)))
-    sizes, widths = [], []
-    while w <= widest:
-        widths.append(w)
-        w = max(w + 1, int(np.floor(w * 1.32 + 0.5)))
-    if widths and widths[-1] != widest:
-        widths.append(widest)
-    if abs(width / height - aspect) / aspect < 0.16:
-        widths.append(width)
-    for w in widths:
-        size = (min(width, w), min(height, int(np.floor(min(width, w) / aspect + 0.5))))
-        if min(size) >= 16 and size not in sizes:
-            sizes.append(size)
-    return sizes
+def best_windows(windows: DataFrame, references: DataFrame) -> DataFrame:
+    """The best window (case, x, y, width, height, seen) of each reference (ordinal) in each case, the first seen of equal ones.
+
+    Hashes are compared first: colours are only looked at where, equal, they could
+    lift a window above the best hash of its reference.
+    """
+    c, r = windows.alias("c"), references.alias("r")
+    by_hash = HASH_WEIGHT * (1 - hamming(F.col("c.signature.hash"), F.col("r.signature.hash")) / 63.0)
+    met = c.join(r, F.col("c.aspect_bucket") == F.col("r.aspect_bucket")).withColumn("by_hash", by_hash)
+    least = met.groupBy("case", "ordinal").agg(F.max("by_hash").alias("least"))
+    open_ones = met.join(least, ["case", "ordinal"]).where(F.col("by_hash") + COLOUR_WEIGHT >= F.col("least") - 1e-12)
+    scored = open_ones.select(
+        "case", "ordinal", "heroId", "variantId", F.col("r.aspect_bucket").alias("aspect_bucket"), F.col("r.aspect").alias("aspect"), F.col("r.signature").alias("signature"),
+        "seen", F.struct("x", "y", F.col("c.width").alias("width"), F.col("c.height").alias("height")).alias("box"), similarity(F.col("c.signature"), F.col("r.signature")).alias("score"),
+    )
+    kept = F.max_by(F.struct("heroId", "variantId", "aspect_bucket", "aspect", "signature", "box", "score"), F.struct("score", -F.col("seen")))
+    return scored.where("score > 0").groupBy("case", "ordinal").agg(kept.alias("b")).select("case", "ordinal", "b.*")
+
+
+def window_sizes(width: int, height: int, aspect: float) -> list[tuple[int, int]]:
+    """Window sizes of one aspect: about a third wider each time, the widest always included, no size twice."""
+    half_up = lambda v: int(np.floor(v + 0.5))
+    least = max(LEAST_WIDTH, int(np.ceil(LEAST_WIDTH * aspect)), int(min(width, height) * LEAST_SHARE))
+    widest = int(min(width, height * aspect))
+    series = takewhile(widest.__ge__, accumulate(repeat(GROWTH), lambda w, by: max(w + 1, half_up(w * by)), initial=least))
+    wanted = [*series, *[widest] * (widest >= least), *[width] * (abs(width / height - aspect) < OWN_ASPECT * aspect)]
+    sizes = ((w, min(height, half_up(w / aspect))) for w in (min(width, w) for w in wanted))
+    return list(dict.fromkeys(s for s in sizes if min(s) >= 16))
 
 
 def _starts(span: int, window: int, step: int) -> list[int]:
     return [*range(0, span - window, step), span - window] if span > window else [0]
 
 
+_SIGNATURE_TYPE = f"struct<{SIGNATURE.replace(' bigint', ':bigint').replace(' array', ':array').replace(' double', ':double')}>"
+
+
 def scan_windows(images: DataFrame, aspect_buckets: list[int], most: int = 960) -> DataFrame:
-    """Signatures of all windows of an image (id, width, height, rgba) in the given aspects; flat ones are left out."""
+    """Signatures of all windows of an image (id, width, height, rgba) in the given aspects; flat ones are left out.
+
+    ``seen`` numbers an image's windows in the order of the scan.
+    """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -152,17 +175,74 @@ def scan_windows(images: DataFrame, aspect_buckets: list[int], most: int = 960)
                 if pixels is None:
                     continue
                 sums, (h, w) = integral_images(pixels), pixels.shape[:2]
-                out = []
+                out, seen = [], 0
                 for bucket in aspect_buckets:
-                    for ww, wh in window_widths(w, h, 1.13**bucket):
-                        for y in _starts(h, wh, max(10, int(wh * 0.26 + 0.5))):
-                            for x in _starts(w, ww, max(10, int(ww * 0.26 + 0.5))):
-                                s = signature(sums, x, y, ww, wh)
-                                if s[2] >= LEAST_DEVIATION:
-                                    out.append((row.id, bucket, x, y, ww, wh, {"hash": s[0], "color": s[1], "deviation": s[2]}))
-                yield pd.DataFrame(out, columns=["id", "aspect_bucket", "x", "y", "width", "height", "signature"])
+                    for ww, wh in window_sizes(w, h, ASPECT_STEP**bucket):
+                        step = lambda side: max(LEAST_STRIDE, int(side * STRIDE + 0.5))
+                        for y, x in product(_starts(h, wh, step(wh)), _starts(w, ww, step(ww))):
+                            seen += 1
+                            s = signature(sums, x, y, ww, wh)
+                            if s[2] >= LEAST_DEVIATION:
+                                out.append((row.id, bucket, seen, x, y, ww, wh, {"hash": s[0], "color": s[1], "deviation": s[2]}))
+                yield pd.DataFrame(out, columns=["id", "aspect_bucket", "seen", "x", "y", "width", "height", "signature"])
+
+    return images.select("id", "width", "height", "rgba").where("width IS NOT NULL AND height IS NOT NULL").mapInPandas(
+        scan, f"id string, aspect_bucket int, seen int, x int, y int, width int, height int, signature {_SIGNATURE_TYPE}"
+    )
+
+
+def leaders(best: DataFrame, count: int = LEADERS) -> DataFrame:
+    """The references of each case and aspect bucket with the best windows; ties in input order."""
+    return top_per_key(best, ["case", "aspect_bucket"], count, F.desc("score"), "ordinal").drop("rank")
+
+
+def _likeness(bits: int, colour: np.ndarray, reference) -> float:
+    apart = np.abs(np.asarray(colour, np.float64) - np.asarray(reference["color"], np.float64)).sum()
+    return HASH_WEIGHT * (1 - (bits ^ int(reference["hash"])).bit_count() / 63.0) + COLOUR_WEIGHT * (1 - apart / (len(colour) * 255.0))
+
+
+def _settle(sums: np.ndarray, lead, shape: tuple[int, int]) -> tuple[float, tuple[int, int, int, int]]:
+    """A reference's best window near its coarse one: moved by up to ``REACH``, then resized and moved by a few pixels."""
+    (h, w), box = shape, lead["box"]
+    best, at = lead["score"], (box["x"], box["y"], box["width"], box["height"])
+
+    def look(boxes) -> None:
+        nonlocal best, at
+        for x, y, ww, wh in boxes:
+            bits, colour, deviation = signature(sums, x, y, ww, wh)
+            if deviation >= LEAST_DEVIATION and (score := _likeness(bits, colour, lead["signature"])) > best:
+                best, at = score, (x, y, ww, wh)
 
-    return images.select("id", "width", "height", "rgba").mapInPandas(scan, f"id string, aspect_bucket int, x int, y int, width int, height int, signature struct<{SIGNATURE.replace(' bigint', ':bigint').replace(' array', ':array').replace(' double', ':double')}>")
+    x0, y0, ww, wh = at
+    dx, dy = int(ww * REACH + 0.5), int(wh * REACH + 0.5)
+    look((x, y, ww, wh) for y, x in product(range(max(0, y0 - dy), min(h - wh, y0 + dy) + 1, 2), range(max(0, x0 - dx), min(w - ww, x0 + dx) + 1, 2)))
+    x0, y0, ww, _ = at
+    sizes = [(v, int(v / lead["aspect"] + 0.5)) for v in range(max(16, ww - 3), min(w, ww + 3) + 1)]
+    for v, u in sizes:
+        if 16 <= u <= h:
+            look((x, y, v, u) for y, x in product(range(max(0, y0 - 2), min(h - u, y0 + 2) + 1), range(max(0, x0 - 2), min(w - v, x0 + 2) + 1)))
+    return best, at
+
+
+def refine(images: DataFrame, led: DataFrame, most: int = 960) -> DataFrame:
+    """(case, ordinal, score, box) of the leaders after a search at the precision of pixels, so that a small card between strides is found.
+
+    An image meets at most ``LEADERS`` references for each aspect bucket.
+    """
+    given = led.groupBy(F.col("case").alias("id")).agg(F.collect_list(F.struct("ordinal", "aspect", "signature", "box", "score")).alias("led"))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                pixels = _decoded(int(row.width), int(row.height), row.rgba, most)
+                if pixels is None:
+                    continue
+                sums = integral_images(pixels)
+                out = [(row.id, lead["ordinal"], *_settle(sums, lead, pixels.shape[:2])) for lead in row.led]
+                boxes = [dict(zip(("x", "y", "width", "height"), b, strict=True)) for *_, b in out]
+                yield pd.DataFrame({"case": [o[0] for o in out], "ordinal": [o[1] for o in out], "score": [o[2] for o in out], "box": boxes})
+
+    return images.select("id", "width", "height", "rgba").join(given, "id").mapInPandas(search, "case string, ordinal long, score double, box struct<x:int,y:int,width:int,height:int>")
 
 
 def scaled_box(box: Column, from_width: Column, to_width: Column, from_height: Column, to_height: Column) -> Column:
@@ -193,41 +273,57 @@ def nearest_descriptors(queries: DataFrame, train: DataFrame, most: int = 70, ra
     """
     pairs = queries.join(train, "group")
     distance = F.aggregate(F.zip_with("q_words", "t_words", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, n: acc + n)
-    two = pairs.withColumn("distance", distance).groupBy("group", "q").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "t"))), 1, 2).alias("near"))
+    two = top_per_key(pairs.withColumn("distance", distance).select("group", "q", "t", "distance"), ["group", "q"], 2, "distance", "t")
+    two = two.groupBy("group", "q").agg(F.array_sort(F.collect_list(F.struct("distance", "t"))).alias("near"))
     good = two.where((F.size("near") == 2) & (F.col("near")[0]["distance"] <= most) & (F.col("near")[0]["distance"] < ratio * F.col("near")[1]["distance"]))
     return first_per_key(good.select("group", "q", F.col("near")[0]["t"].alias("t"), F.col("near")[0]["distance"].alias("distance")), ["group", "t"], "q")
 
 
-def best_per_hero(candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """Best variant of each hero in input order: a raw score replaces the kept one if above its value rounded to four places."""
+def best_per_hero(candidates: DataFrame, keys: list[str], *carried: str) -> DataFrame:
+    """Best variant of each hero in input order: a raw score replaces the kept one if above its value rounded to four places.
+
+    ``ordinal`` is that of the hero's first candidate; ``carried`` columns are those of its best one.
+    """
+    kept = ["score", "variantId", *carried]
+    none = F.struct(*[F.lit(None).cast(candidates.schema[c].dataType).alias(c) for c in kept])
     fold = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("ordinal", "score", "variantId"))),
-        F.struct(F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("variantId")),
+        F.array_sort(F.collect_list(F.struct("ordinal", *kept))),
+        none,
         lambda acc, x: F.when(
             acc["score"].isNull() | (x["score"] > acc["score"]),
-            F.struct(fixed_decimals(x["score"], 4).alias("score"), x["variantId"].cast("string").alias("variantId")),
+            F.struct(fixed_decimals(x["score"], 4).alias("score"), *[x[c].alias(c) for c in kept[1:]]),
         ).otherwise(acc),
     )
-    return candidates.groupBy(*keys, "heroId").agg(fold.alias("b")).select(*keys, "heroId", "b.*")
+    return candidates.groupBy(*keys, "heroId").agg(fold.alias("b"), F.min("ordinal").alias("ordinal")).select(*keys, "heroId", "ordinal", "b.*")
 
 
-def decide(best: DataFrame, keys: list[str], orb_available: bool = False, floor: float = LEAST_SCORE) -> DataFrame:
-    """Status and up to three matches of each case from its heroes' best scores (heroId, score, method).
+def decide(
+    best: DataFrame, keys: list[str], orb_available: bool = False, floor: float = LEAST_SCORE,
+    thresholds: tuple[float, float, float] = (0.89, 0.96, 0.88), margins: tuple[float, float] = (0.045, 0.06), most: int = 3,
+) -> DataFrame:
+    """Status and up to ``most`` matches of each case from its heroes' best scores (heroId, score, method; ordinal, box, evidence).
 
-    The margin is taken before the floor is applied: a runner-up below it still counts.
+    Equal scores keep the order of ``ordinal``; without such a column the higher
+    hero id is first. The margin is taken before the floor is applied: a runner-up
+    below it still counts. Thresholds: of keypoints, with and without keypoints
+    available; margins: usual, and where keypoints were available but not used.
     """
-    ranked = F.sort_array(F.collect_list(F.struct("score", "heroId", "method")), asc=False)
-    cases = best.groupBy(*keys).agg(ranked.alias("all"))
+    shown = F.struct("score", "heroId", "method", *[c for c in ("box", "evidence") if c in best.columns])
+    if "ordinal" in best.columns:
+        in_order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("below"), "ordinal", shown.alias("m"))))
+    else:
+        in_order = F.sort_array(F.collect_list(F.struct("score", "heroId", shown.alias("m"))), asc=False)
+    cases = best.groupBy(*keys).agg(F.transform(in_order, lambda x: x["m"]).alias("all"))
     first, second = F.try_element_at("all", F.lit(1)), F.try_element_at("all", F.lit(2))
     by_orb = first["method"] == "orb"
-    threshold = F.when(by_orb, 0.89).otherwise(0.96 if orb_available else 0.88)
-    margin = F.when(F.lit(orb_available) & ~by_orb, 0.06).otherwise(0.045)
-    sure = (first["score"] >= threshold) & (second.isNull() | (first["score"] - second["score"] >= margin))
+    threshold = F.when(by_orb, thresholds[0]).otherwise(thresholds[1] if orb_available else thresholds[2])
+    margin = F.when(F.lit(orb_available) & ~by_orb, margins[1]).otherwise(margins[0])
+    sure = F.coalesce((first["score"] >= threshold) & (second.isNull() | (first["score"] - second["score"] >= margin)), F.lit(False))
     return cases.select(
         *keys,
-        F.when(F.coalesce(sure, F.lit(False)), "match").otherwise("uncertain").alias("status"),
-        F.slice(F.filter("all", lambda m: m["score"] >= floor), 1, 3).alias("matches"),
-        F.when(F.coalesce(sure, F.lit(False)), "confident_match").otherwise("insufficient_evidence").alias("reason"),
+        F.when(sure, "match").otherwise("uncertain").alias("status"),
+        F.slice(F.filter("all", lambda m: m["score"] >= floor), 1, most).alias("matches"),
+        F.when(sure, "confident_match").otherwise("insufficient_evidence").alias("reason"),
     )
 
 

@@ -74,24 +74,74 @@ def _struct(ddl: str) -> str:
     return ",".join(out)
 
 
-def recognize(images: DataFrame, references: DataFrame) -> DataFrame:
-    """Cases (id, width, height, rgba) against references (heroId, variantId, ordinal, width, height, rgba): status and matches.
+def recognize(images: DataFrame, references: DataFrame, most: int = 960) -> DataFrame:
+    """Cases (id, width, height, rgba) against references (heroId, variantId, ordinal, width, height, rgba): status, reason and matches.
 
     Signatures of references are made once; windows meet references of their
-    aspect bucket only; every stage before the decision is partitioned by image.
+    aspect bucket only; each bucket's best references are searched for again at
+    the precision of pixels; every stage before the decision is partitioned by
+    image. Matches carry their box in the case's own pixels and their evidence.
+    Without references, without a usable one, or without a readable image of at
+    least 16 by 16 a case is unavailable.
     """
-    known = vision.usable(vision.signatures(references)).withColumn("aspect_bucket", aspect_bucket(F.col("width") / F.col("height")))
-    buckets = [r["aspect_bucket"] for r in known.select("aspect_bucket").distinct().collect()]  # a few dozen possible values
-    windows = vision.scan_windows(images, buckets)
-    scored = vision.compare(windows.withColumnRenamed("id", "case"), known.select("heroId", "variantId", "ordinal", "aspect_bucket", "signature"), 0.0)
-    best = scored.groupBy("case", "heroId", "variantId", "ordinal").agg(F.max("score").alias("score"))
-    heroes = vision.best_per_hero(best, ["case"]).withColumn("method", F.lit("phash"))
-    decided = vision.decide(heroes, ["case"])
-    return images.select(F.col("id").alias("case")).join(decided, "case", "left").select(
-        "case", F.coalesce("status", F.lit("uncertain")).alias("status"), F.coalesce("reason", F.lit("insufficient_evidence")).alias("reason"), "matches"
+    long, short = F.greatest("width", "height"), F.least("width", "height")
+    scale = F.least(F.lit(1.0), most / long)
+    side = lambda c: F.greatest(F.lit(1), F.floor(F.col(c) * scale + 0.5)).cast("int")
+    readable = validation.pixels_valid(F.col("width"), F.col("height"), F.col("rgba")) & (short >= 16) & (F.least(side("width"), side("height")) >= 16)
+    cases = images.select(F.col("id").alias("case"), "width", "height", side("width").alias("w"), side("height").alias("h"), readable.alias("readable"))
+    given = references.where("heroId IS NOT NULL AND heroId <> '' AND rgba IS NOT NULL")
+    known = vision.usable(vision.signatures(given)).withColumn("aspect", F.col("width") / F.col("height")).withColumn("aspect_bucket", aspect_bucket(F.col("aspect")))
+    known = known.select("heroId", "variantId", "ordinal", "aspect", "aspect_bucket", "signature")
+    buckets = [r["aspect_bucket"] for r in known.groupBy("aspect_bucket").agg(F.min("ordinal").alias("o")).orderBy("o").collect()]  # a few dozen possible values
+    absent = None if buckets else "no_usable_references" if references.head(1) else "no_references"
+    windows = vision.scan_windows(images.where(readable), buckets, most).withColumnRenamed("id", "case")
+    coarse = vision.best_windows(windows, known)
+    settled = vision.refine(images.where(readable), vision.leaders(coarse), most).select("case", "ordinal", F.col("score").alias("settled_score"), F.col("box").alias("settled_box"))
+    best = coarse.join(settled, ["case", "ordinal"], "left").withColumns({"score": F.coalesce("settled_score", "score"), "box": F.coalesce("settled_box", "box")})
+    placed = best.join(cases, "case").withColumns({
+        "box": vision.scaled_box(F.col("box"), F.col("w"), F.col("width"), F.col("h"), F.col("height")),
+        "evidence": F.struct(F.lit("phash").alias("method"), "variantId"),
+    })
+    heroes = vision.best_per_hero(placed, ["case"], "box", "evidence").withColumn("method", F.col("evidence.method"))
+    reason = F.when(F.lit(absent == "no_references"), "no_references").when(~F.coalesce("readable", F.lit(False)), "image_decode_failed").when(F.lit(absent is not None), absent)
+    return cases.join(vision.decide(heroes, ["case"]), "case", "left").select(
+        "case",
+        F.when(reason.isNotNull(), "unavailable").otherwise(F.coalesce("status", F.lit("uncertain"))).alias("status"),
+        F.coalesce(reason, "reason", F.lit("insufficient_evidence")).alias("reason"),
+        F.when(reason.isNull(), F.col("matches")).alias("matches"),
     )
 
 
+def name_tied(results: DataFrame, heroes: DataFrame, ocr: DataFrame, least_confidence: float = 75.0) -> DataFrame:
+    """``recognize``'s results with ties broken by the names read (case, status, text, confidence); heroes: id, name, aliases."""
+    three = results.select("case", F.explode(F.slice("matches", 1, 3)).alias("m")).select("case", F.col("m.heroId").alias("heroId"))
+    candidates = three.join(heroes.select(F.col("id").alias("heroId"), "name", "aliases"), "heroId", "left")
+    hits = vision.named_candidate(ocr, candidates, least_confidence)
+    return vision.break_ties(results.withColumn("orb_available", F.lit(False)), hits).drop("orb_available")
+
+
+def import_lineups(lineups: DataFrame, units: DataFrame, items: DataFrame, roster: DataFrame, edition: str, season: str, feed_version: tuple[str, str, str]) -> DataFrame:
+    """Feed rows to checked catalogue lineups in feed order.
+
+    ``units`` and ``items`` are whole feeds (version, season, setId, data), which
+    must be of ``feed_version``; ``roster`` holds the catalogue's hero ids. Broken
+    detail texts, malformed board positions, unknown units and items are errors.
+    """
+    for name, feed in (("units", units), ("items", items)):
+        if tuple(feed.select("version", "season", "setId").head() or ()) != feed_version:
+            raise validation.InvalidData(f"the {name} feed is of another version, season or set")
+    parsed = etl.with_detail(etl.published(lineups, edition, season), strict=True)
+    etl.require_positions(parsed)
+    unit, item = etl.map_rows(units), etl.map_rows(items)
+    maps = name_map(unit, "key", "name").withColumnRenamed("names", "unit_names")
+    maps = maps.crossJoin(name_map(unit, "key", "price").withColumnRenamed("names", "unit_costs")).crossJoin(name_map(item, "key", "name").withColumnRenamed("names", "item_names"))
+    maps = maps.crossJoin(roster.agg(F.collect_set("id").alias("roster")))  # dictionaries of a season: hundreds of entries
+    ordered = parsed.orderBy(*etl.feed_order()).crossJoin(F.broadcast(maps))
+    done = etl.convert_lineups(ordered, F.col("unit_names"), F.col("unit_costs"), F.col("item_names"), F.col("roster"))
+    etl.require_known(done)
+    return done
+
+
 def report(cases: DataFrame, results: DataFrame) -> DataFrame:
     """Labelled cases and their results to the summary by category."""
     rows = evaluation.outcome_rows(cases.join(results, "case"))

@@ -93,19 +93,34 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 def replace_tables(tables: dict[str, DataFrame], root: str) -> str:
     """Write all tables of one version beside each other, then name the version: readers see all or none.
 
-    Returns the version. The pointer is the only file that is overwritten.
+    Returns the version. Names are only ever added, with a number above the last;
+    the highest number is in force, so a writer that fails leaves the old version.
     """
     spark = next(iter(tables.values())).sparkSession
     version = uuid.uuid4().hex
     for name, frame in tables.items():
         frame.write.parquet(f"{root}/{version}/{name}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{root}/current")
+    last = _versions(spark, root).agg(F.max("number")).head()[0] or 0
+    spark.createDataFrame([(last + 1, version)], "number long, version string").coalesce(1).write.mode("append").parquet(f"{root}/versions")
     return version
 
 
+def _versions(spark: SparkSession, root: str) -> DataFrame:
+    """The named versions; none before the first."""
+    try:
+        return spark.read.parquet(f"{root}/versions")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "number long, version string")
+
+
 def current_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    version = spark.read.parquet(f"{root}/current").head()["version"]
-    return spark.read.parquet(f"{root}/{version}/{name}")
+    """A table of the version in force; without one that is an error."""
+    newest = _versions(spark, root).agg(F.max(F.struct("number", "version")).alias("v")).head()["v"]
+    if newest is None:
+        raise InvalidData(f"no version is named in {root}")
+    return spark.read.parquet(f"{root}/{newest['version']}/{name}")
 
 
 def clear_tables(spark: SparkSession, root: str, schemas: dict[str, str]) -> str:

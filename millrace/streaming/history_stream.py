@@ -16,26 +16,38 @@ def record_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(f"{RECORD_SCHEMA}, ordinal BIGINT").json(folder)
 
 
-def stored_history(spark: SparkSession, store: str) -> DataFrame:
-    """The records of the newest complete version; an empty history before the first."""
+def _batches(spark: SparkSession, store: str) -> DataFrame:
+    """(batch, path) of the stored batches; none before the first."""
     try:
-        version = spark.read.parquet(f"{store}/versions").agg(F.max(F.struct("batch", "path")).alias("v")).head()["v"]["path"]
-        return spark.read.parquet(version)
-    except AnalysisException:
-        return spark.createDataFrame([], f"{RECORD_SCHEMA}, ordinal BIGINT")
+        return spark.read.parquet(f"{store}/versions")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":  # only a store without a first version is an empty history
+            raise
+        return spark.createDataFrame([], "batch long, path string")
+
+
+def stored_history(spark: SparkSession, store: str, before: int | None = None) -> DataFrame:
+    """The records of all stored batches, or of those before one; a missing data folder is an error."""
+    named = _batches(spark, store)
+    named = named if before is None else named.where(F.col("batch") < before)
+    paths = [r["path"] for r in named.groupBy("batch").agg(F.max("path").alias("path")).collect()]
+    schema = f"{RECORD_SCHEMA}, ordinal BIGINT"
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def ingest(stream: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Merge each batch into the stored history; a record whose id is stored already changes nothing.
+    """Add each batch's new records; a record whose id is stored already changes nothing.
 
-    Each batch writes a new version, then its name: a failed batch leaves the old
-    version in force, and repeating one gives the same records.
+    A batch writes its own records only, then their place: a failed batch leaves
+    the store as it was, and a repeated one stands for itself once.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         path = f"{store}/data-{number}-{uuid.uuid4().hex}"
-        save(stored_history(spark, store), batch).drop("completed").write.parquet(path)
+        known = stored_history(spark, store, number)
+        fresh = save(known.limit(0), batch).drop("completed").join(known.select("id"), "id", "left_anti")
+        fresh.select(*known.columns).write.parquet(path)
         spark.createDataFrame([(number, path)], "batch long, path string").write.mode("append").parquet(f"{store}/versions")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

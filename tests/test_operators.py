@@ -384,7 +384,93 @@ def test_recognition_finds_the_embedded_card(spark):
     got = {r["case"]: r for r in jobs.recognize(images, references).collect()}
     assert got["exact"]["status"] == "match" and got["exact"]["matches"][0]["heroId"] == "h2"
     assert got["photo"]["matches"] is None or got["photo"]["matches"] == [] or got["photo"]["matches"][0]["heroId"] == "h1"
-    assert got["bad"]["status"] == "uncertain"
+    assert (got["bad"]["status"], got["bad"]["reason"], got["bad"]["matches"]) == ("unavailable", "image_decode_failed", None)
+    best = got["exact"]["matches"][0]
+    assert best["box"].asDict() == {"x": 0, "y": 0, "width": 64, "height": 80} and best["evidence"].asDict() == {"method": "phash", "variantId": "card"}
+
+
+def test_a_card_between_strides_is_found_at_its_place(spark):
+    photo = np.full((230, 260, 4), 40, np.uint8)
+    photo[83:163, 101:165] = painted(1)
+    references = spark.createDataFrame([(f"h{i}", "card", i, 64, 80, painted(i).tobytes()) for i in range(3)], "heroId string, variantId string, ordinal long, width int, height int, rgba binary")
+    images = spark.createDataFrame([("photo", 260, 230, photo.tobytes())], "id string, width int, height int, rgba binary")
+    first = jobs.recognize(images, references).first()["matches"][0]
+    assert first["heroId"] == "h1" and first["score"] > 0.95
+    assert all(abs(first["box"][k] - v) <= 4 for k, v in {"x": 101, "y": 83, "width": 64, "height": 80}.items())
+
+
+def test_nothing_to_compare_with_is_unavailable(spark):
+    schema = "heroId string, variantId string, ordinal long, width int, height int, rgba binary"
+    images = spark.createDataFrame([("a", 64, 80, painted(2).tobytes()), ("b", None, 80, b"")], "id string, width int, height int, rgba binary")
+    flat = np.full((80, 64, 4), 9, np.uint8).tobytes()
+    for rows, reasons in (([], {"a": "no_references", "b": "no_references"}), ([("h", "card", 0, 64, 80, flat)], {"a": "no_usable_references", "b": "image_decode_failed"})):
+        got = jobs.recognize(images, spark.createDataFrame(rows, schema)).collect()
+        assert {r["case"]: r["reason"] for r in got} == reasons and all(r["status"] == "unavailable" and r["matches"] is None for r in got)
+
+
+def test_best_windows_equal_all_comparisons(spark):
+    rng = np.random.default_rng(4)
+    sign = lambda n: [(int(rng.integers(1 << 62)), [float(v) for v in rng.integers(0, 255, 48)], 20.0) for _ in range(n)]
+    kind = f"signature struct<{vision.SIGNATURE.replace(' ', ':').replace(',:', ',')}>"
+    windows = [("c", 1, k, k, 0, 20, 20, s) for k, s in enumerate(sign(60))]
+    windows += [("c", 1, 60, 60, 0, 20, 20, windows[7][-1])]
+    refs = [(k, f"h{k}", "card", 1, 1.0, s) for k, s in enumerate([*sign(4), windows[7][-1]])]
+    got = vision.best_windows(
+        spark.createDataFrame(windows, f"case string, aspect_bucket int, seen int, x int, y int, width int, height int, {kind}"),
+        spark.createDataFrame(refs, f"ordinal long, heroId string, variantId string, aspect_bucket int, aspect double, {kind}"),
+    ).collect()
+
+    def plain(a, b):
+        return 0.78 * (1 - (a[0] ^ b[0]).bit_count() / 63) + 0.22 * (1 - sum(abs(x - y) for x, y in zip(a[1], b[1])) / (48 * 255))
+
+    want = {r[0]: max(((plain(w[-1], r[-1]), -w[2]) for w in windows)) for r in refs}
+    assert {r["ordinal"]: r["box"]["x"] for r in got} == {k: -seen for k, (_, seen) in want.items()}
+    assert all(r["score"] == pytest.approx(want[r["ordinal"]][0], abs=1e-9) for r in got)
+
+
+def test_window_sizes():
+    for width, height, aspect in ((960, 540, 0.78), (64, 80, 0.8), (300, 90, 1.9), (50, 40, 1.0), (960, 700, 1.13**3)):
+        sizes = vision.window_sizes(width, height, aspect)
+        assert len(sizes) == len(set(sizes)) and all(16 <= w <= width and 16 <= h <= height for w, h in sizes)
+        least = max(48, int(np.ceil(48 * aspect)), int(min(width, height) * 0.07))
+        widest = int(min(width, height * aspect))
+        if widest >= least:
+            assert widest in [w for w, _ in sizes] and sizes[0][0] == least
+
+
+def test_equal_scores_keep_the_input_order(spark):
+    rows = [("c", "a", 0.9, 3), ("c", "z", 0.9, 1), ("c", "m", 0.9, 2), ("c", "b", 0.8, 0)]
+    data = spark.createDataFrame(rows, "case string, heroId string, score double, ordinal long").withColumn("method", F.lit("phash"))
+    assert [m["heroId"] for m in vision.decide(data, ["case"]).first()["matches"]] == ["z", "m", "a"]
+    assert vision.decide(data, ["case"], margins=(0.0, 0.0)).first()["status"] == "match"
+
+
+def test_ties_of_recognised_cases_are_named(spark):
+    box = (1, 2, 50, 60)
+    kind = "array<struct<score:double,heroId:string,method:string,box:struct<x:int,y:int,width:int,height:int>,evidence:struct<method:string,variantId:string>>>"
+    rows = [(c, "uncertain", "insufficient_evidence", [(0.95, "a", "phash", box, ("phash", "card")), (0.93, "b", "phash", box, ("phash", "card"))]) for c in ("t", "u")] + [("n", "unavailable", "no_references", None)]
+    results = spark.createDataFrame(rows, f"case string, status string, reason string, matches {kind}")
+    heroes = spark.createDataFrame([("a", "山神", None), ("b", "龙王", ["水龙"])], "id string, name string, aliases array<string>")
+    ocr = spark.createDataFrame([("t", "ok", "水龙", 80.0), ("u", "ok", "水龙", 60.0)], "case string, status string, text string, confidence double")
+    got = {r["case"]: (r["status"], r["reason"], [m["heroId"] for m in r["matches"] or []]) for r in jobs.name_tied(results, heroes, ocr).collect()}
+    assert got == {"t": ("match", "ocr_tiebreak", ["b", "a"]), "u": ("uncertain", "insufficient_evidence", ["a", "b"]), "n": ("unavailable", "no_references", [])}
+
+
+def test_a_broken_store_is_an_error_and_not_an_empty_history(spark, tmp_path):
+    store = str(tmp_path / "store")
+    assert history_stream.stored_history(spark, store).count() == 0
+    spark.createDataFrame([(0, f"{store}/lost")], "batch long, path string").write.parquet(f"{store}/versions")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        history_stream.stored_history(spark, store).collect()
+
+
+def test_a_failed_writer_leaves_the_version_in_force(spark, tmp_path):
+    root = str(tmp_path / "root")
+    feeds.replace_tables({"a": spark.range(2)}, root)
+    broken = spark.range(3).select(F.raise_error(F.lit("no")).alias("id"))
+    with pytest.raises(Exception, match="no"):
+        feeds.replace_tables({"a": spark.range(9), "b": broken}, root)
+    assert feeds.current_table(spark, root, "a").count() == 2
 
 
 def test_decision_margin_counts_runner_up_below_the_floor(spark):
