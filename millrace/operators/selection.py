@@ -20,12 +20,15 @@ def match_either(left: DataFrame, right: DataFrame, conditions: list[Column], ke
     return reduce(DataFrame.unionByName, parts).dropDuplicates([key])
 
 
-def select_lineups(lineups: DataFrame, hero_id: str | None = None, hero_name: str | None = None) -> DataFrame:
+def select_lineups(lineups: DataFrame, hero_id: str | None = None, hero_name: str | None = None, quality: str | None = None) -> DataFrame:
     """Graded lineups, those of one hero if named: carried ones first, S before A, higher order first, then input order.
 
     A member matches by id, or by name if it is of kind hero. A missing id matches nothing.
+    ``quality`` leaves one grade; None leaves all.
     """
     graded = lineups.where(F.col("quality").isin("S", "A"))
+    if quality is not None:
+        graded = graded.where(F.col("quality") == quality)
     if hero_id is None:
         carry = F.lit(False)
     else:
@@ -116,3 +119,13 @@ def cell_offsets(cells: DataFrame, size: float) -> DataFrame:
     """Pixel offsets; even rows are shifted by half a cell."""
     shift = F.when(F.col("row") % 2 == 0, size / 2).otherwise(0.0)
     return cells.withColumn("left", (F.col("column") - 1) * size + shift).withColumn("top", (F.col("row") - 1) * size)
+
+
+def shown(heroes: DataFrame, no_cost: str, no_traits: str, no_text: str) -> DataFrame:
+    """What a row shows of each hero (id, name, cost, traits, skill), with the given texts for what is missing."""
+    text = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit(no_text))
+    return heroes.select(
+        "id", "name", F.coalesce(F.col("cost").cast("string"), F.lit(no_cost)).alias("cost"),
+        F.coalesce(F.nullif(F.array_join(F.coalesce("traits", F.array().cast("array<string>")), " / "), F.lit("")), F.lit(no_traits)).alias("traits"),
+        text(F.col("skill.name")).alias("skill_name"), text(F.col("skill.description")).alias("skill_description"),
+    )

@@ -35,7 +35,7 @@ def violations(frame: DataFrame, rules: list[tuple[Column, Column, str]]) -> Dat
     return frame.select(F.explode(found).alias("v")).select("v.path", "v.reason")
 
 
-def duplicates(frame: DataFrame, keys: list[str], path: Column, reason: str = "duplicate IDs") -> DataFrame:
+def duplicates(frame: DataFrame, keys: list[str], path: Column, reason: str = "key occurs more than once") -> DataFrame:
     """One violation for each repeated key; counted before anything but counts is moved."""
     return frame.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(path.alias("path"), F.lit(reason).alias("reason"))
 
@@ -70,10 +70,10 @@ def _source_rules(catalog: DataFrame, instants: bool) -> list[DataFrame]:
         violations(
             sources,
             [
-                (t.matches(F.col("s.id"), t.ID_PATTERN), _at("sources", "i", ".id"), "expected a stable lowercase ASCII ID"),
-                (t.has_text(F.col("s.title"), 200), _at("sources", "i", ".title"), "expected text"),
-                (t.has_text(F.col("s.url"), 1000) & t.is_https(F.col("s.url")), _at("sources", "i", ".url"), "expected an HTTPS source"),
-                (day, _at("sources", "i", ".checkedAt"), "expected an ISO date"),
+                (t.matches(F.col("s.id"), t.ID_PATTERN), _at("sources", "i", ".id"), "not an id of small letters, digits and hyphens"),
+                (t.has_text(F.col("s.title"), 200), _at("sources", "i", ".title"), "text is missing or too long"),
+                (t.has_text(F.col("s.url"), 1000) & t.is_https(F.col("s.url")), _at("sources", "i", ".url"), "address is not an https one"),
+                (day, _at("sources", "i", ".checkedAt"), "not a calendar day or instant"),
             ],
         ),
         duplicates(sources.select(F.col("s.id").alias("id")), ["id"], F.lit("sources")),
@@ -85,41 +85,41 @@ def catalog_violations(catalog: DataFrame) -> DataFrame:
     heroes = catalog.select("patch", F.posexplode("heroes").alias("h", "hero")).select("patch", "h", "hero.*")
     hero = lambda suffix: _path("heroes[", F.col("h"), "]" + suffix)
     root = [
-        (F.col("schemaVersion") == 1, F.lit("schemaVersion"), "unsupported version"),
-        (t.matches(F.col("seasonId"), t.ID_PATTERN), F.lit("seasonId"), "expected a stable lowercase ASCII ID"),
-        (t.has_text(F.col("seasonName"), 120), F.lit("seasonName"), "expected text"),
-        (t.has_text(F.col("patch"), 80), F.lit("patch"), "expected text"),
-        (t.is_day_or_instant(F.col("updatedAt")), F.lit("updatedAt"), "expected an ISO date"),
-        (F.col("status").isin(*STATUSES), F.lit("status"), "unknown status"),
-        (F.size("sources") <= 100, F.lit("sources"), "too many entries"),
-        (F.size("heroes") <= 400, F.lit("heroes"), "too many entries"),
-        ((F.size("heroes") == 0) | (F.col("status") == "unverified") | (F.size("sources") > 0), F.lit("sources"), "nonempty sourced catalog needs a source"),
-        ((F.col("status") != "verified") | (F.size("heroes") > 0), F.lit("heroes"), "verified catalog cannot be empty"),
+        (F.col("schemaVersion") == 1, F.lit("schemaVersion"), "schema version is not 1"),
+        (t.matches(F.col("seasonId"), t.ID_PATTERN), F.lit("seasonId"), "not an id of small letters, digits and hyphens"),
+        (t.has_text(F.col("seasonName"), 120), F.lit("seasonName"), "text is missing or too long"),
+        (t.has_text(F.col("patch"), 80), F.lit("patch"), "text is missing or too long"),
+        (t.is_day_or_instant(F.col("updatedAt")), F.lit("updatedAt"), "not a calendar day or instant"),
+        (F.col("status").isin(*STATUSES), F.lit("status"), "status is not in the list"),
+        (F.size("sources") <= 100, F.lit("sources"), "list is longer than allowed"),
+        (F.size("heroes") <= 400, F.lit("heroes"), "list is longer than allowed"),
+        ((F.size("heroes") == 0) | (F.col("status") == "unverified") | (F.size("sources") > 0), F.lit("sources"), "entries without any source"),
+        ((F.col("status") != "verified") | (F.size("heroes") > 0), F.lit("heroes"), "verified, yet without entries"),
     ]
     hero_rules = [
-        (t.matches(F.col("id"), t.ID_PATTERN), hero(".id"), "expected a stable lowercase ASCII ID"),
-        (t.has_text(F.col("name"), 120), hero(".name"), "expected text"),
-        (whole_in(F.col("cost"), 0, 10), hero(".cost"), "expected a cost from 0 to 10"),
-        ((F.size("traits") <= 12) & F.forall("traits", lambda x: t.has_text(x, 100)), hero(".traits"), "expected short texts"),
-        (t.has_text(F.col("skill.name"), 120) & t.has_text(F.col("skill.description"), 3000), hero(".skill"), "expected text"),
-        (F.size("stats") <= 40, hero(".stats"), "too many stats"),
+        (t.matches(F.col("id"), t.ID_PATTERN), hero(".id"), "not an id of small letters, digits and hyphens"),
+        (t.has_text(F.col("name"), 120), hero(".name"), "text is missing or too long"),
+        (whole_in(F.col("cost"), 0, 10), hero(".cost"), "cost is no whole number between 0 and 10"),
+        ((F.size("traits") <= 12) & F.forall("traits", lambda x: t.has_text(x, 100)), hero(".traits"), "an entry is missing or too long"),
+        (t.has_text(F.col("skill.name"), 120) & t.has_text(F.col("skill.description"), 3000), hero(".skill"), "text is missing or too long"),
+        (F.size("stats") <= 40, hero(".stats"), "more than 40 values"),
         (
             F.forall(F.map_values("stats"), lambda s: (F.length(F.trim(s)) > 0) & (F.length(s) <= 100) & (s.try_cast("double").isNull() | (s.try_cast("double") >= 0))),
             hero(".stats"),
-            "expected a nonnegative number or short text",
+            "value is neither a number from 0 up nor a short text",
         ),
-        (F.col("recommendations.patch") == F.col("patch"), hero(".recommendations.patch"), "must match catalog patch"),
-        ((F.size("recommendations.items") <= 30) & F.forall("recommendations.items", lambda x: t.has_text(x["name"], 150)), hero(".recommendations.items"), "expected named entries"),
-        ((F.size("recommendations.comps") <= 30) & F.forall("recommendations.comps", lambda x: t.has_text(x["name"], 150)), hero(".recommendations.comps"), "expected named entries"),
-        (F.size("variants") <= 30, hero(".variants"), "too many entries"),
-        (F.forall("variants", lambda v: t.matches(v["id"], t.ID_PATTERN)), hero(".variants"), "expected a stable lowercase ASCII ID"),
-        (F.forall("variants", lambda v: v["kind"].isin(*VARIANT_KINDS)), hero(".variants"), "expected card or splash"),
-        (F.forall("variants", lambda v: v["url"].isNull() | t.safe_image_path(v["url"])), hero(".variants"), "expected a same-origin relative asset path"),
-        (F.size("variants") == F.size(F.array_distinct(F.transform("variants", lambda v: v["id"]))), hero(".variants"), "duplicate IDs"),
+        (F.col("recommendations.patch") == F.col("patch"), hero(".recommendations.patch"), "patch differs from the catalogue's"),
+        ((F.size("recommendations.items") <= 30) & F.forall("recommendations.items", lambda x: t.has_text(x["name"], 150)), hero(".recommendations.items"), "an entry has no name, or there are too many"),
+        ((F.size("recommendations.comps") <= 30) & F.forall("recommendations.comps", lambda x: t.has_text(x["name"], 150)), hero(".recommendations.comps"), "an entry has no name, or there are too many"),
+        (F.size("variants") <= 30, hero(".variants"), "list is longer than allowed"),
+        (F.forall("variants", lambda v: t.matches(v["id"], t.ID_PATTERN)), hero(".variants"), "not an id of small letters, digits and hyphens"),
+        (F.forall("variants", lambda v: v["kind"].isin(*VARIANT_KINDS)), hero(".variants"), "kind is not in the list"),
+        (F.forall("variants", lambda v: v["url"].isNull() | t.safe_image_path(v["url"])), hero(".variants"), "not a path below the site's own assets"),
+        (F.size("variants") == F.size(F.array_distinct(F.transform("variants", lambda v: v["id"]))), hero(".variants"), "key occurs more than once"),
     ]
     named = heroes.select("h", F.posexplode("recommendations.sourceIds").alias("i", "source_id"))
     sources = catalog.select(F.explode("sources.id").alias("id"))
-    unknown = unknown_references(named, "source_id", sources, "id", _path("heroes[", F.col("h"), "].recommendations.sourceIds[", F.col("i"), "]"), "unknown source")
+    unknown = unknown_references(named, "source_id", sources, "id", _path("heroes[", F.col("h"), "].recommendations.sourceIds[", F.col("i"), "]"), "no source has this id")
     return all_of([violations(catalog, root), *_source_rules(catalog, True), violations(heroes, hero_rules), duplicates(heroes, ["id"], F.lit("heroes")), unknown])
 
 
@@ -130,37 +130,37 @@ def lineup_violations(data: DataFrame, catalog: DataFrame | None = None) -> Data
     line = lambda suffix: _path("lineups[", F.col("l"), "]" + suffix)
     slot = lambda suffix: _path("lineups[", F.col("l"), "].members[", F.col("m"), "]" + suffix)
     root = [
-        (F.col("schemaVersion") == 1, F.lit("schemaVersion"), "unsupported version"),
-        (t.matches(F.col("seasonId"), t.ID_PATTERN), F.lit("seasonId"), "expected a stable lowercase ASCII ID"),
-        (t.has_text(F.col("seasonName"), 120), F.lit("seasonName"), "expected text"),
-        (t.has_text(F.col("patch"), 80), F.lit("patch"), "expected text"),
-        (t.is_day(F.col("updatedAt")), F.lit("updatedAt"), "expected an ISO date"),
-        (F.col("status") == "verified", F.lit("status"), "expected verified source data"),
-        (F.size("sources").between(1, 20), F.lit("sources"), "source data needs provenance"),
-        (F.size("lineups").between(1, 200), F.lit("lineups"), "source data cannot be empty"),
+        (F.col("schemaVersion") == 1, F.lit("schemaVersion"), "schema version is not 1"),
+        (t.matches(F.col("seasonId"), t.ID_PATTERN), F.lit("seasonId"), "not an id of small letters, digits and hyphens"),
+        (t.has_text(F.col("seasonName"), 120), F.lit("seasonName"), "text is missing or too long"),
+        (t.has_text(F.col("patch"), 80), F.lit("patch"), "text is missing or too long"),
+        (t.is_day(F.col("updatedAt")), F.lit("updatedAt"), "not a calendar day or instant"),
+        (F.col("status") == "verified", F.lit("status"), "data is not verified"),
+        (F.size("sources").between(1, 20), F.lit("sources"), "number of sources is not between 1 and 20"),
+        (F.size("lineups").between(1, 200), F.lit("lineups"), "number of lineups is not between 1 and 200"),
     ]
     refs = F.col("sourceIds")
     rules = [
-        (t.matches(F.col("officialId"), t.UNIT_PATTERN), line(".officialId"), "expected a numeric ID"),
-        (t.matches(F.col("id"), t.ID_PATTERN) & (F.col("id") == F.concat(F.lit("official-"), F.col("officialId"))), line(".id"), "must match officialId"),
-        (t.has_text(F.col("name"), 200), line(".name"), "expected text"),
-        (F.col("quality").isin(*GRADES), line(".quality"), "expected grade S or A"),
-        ((F.col("sortOrder") >= 0) & (F.col("sortOrder") <= (1 << 53) - 1), line(".sortOrder"), "expected a nonnegative order"),
-        (F.char_length("author") <= 200, line(".author"), "expected text"),
-        (F.size(refs).between(1, 20) & F.array_contains(refs, "lineups"), line(".sourceIds"), "needs the lineup source"),
-        (F.size(refs) == F.size(F.array_distinct(refs)), line(".sourceIds"), "duplicate IDs"),
-        (F.size("members").between(1, 40), line(".members"), "needs a formation"),
-        *[(F.char_length(F.col(f"guide.{k}")) <= 6000, line(f".guide.{k}"), "expected text") for k in GUIDE_KEYS],
+        (t.matches(F.col("officialId"), t.UNIT_PATTERN), line(".officialId"), "id is not made of digits"),
+        (t.matches(F.col("id"), t.ID_PATTERN) & (F.col("id") == F.concat(F.lit("official-"), F.col("officialId"))), line(".id"), "id does not follow from officialId"),
+        (t.has_text(F.col("name"), 200), line(".name"), "text is missing or too long"),
+        (F.col("quality").isin(*GRADES), line(".quality"), "grade is not in the list"),
+        ((F.col("sortOrder") >= 0) & (F.col("sortOrder") <= (1 << 53) - 1), line(".sortOrder"), "order is no whole number from 0 up"),
+        (F.char_length("author") <= 200, line(".author"), "text is missing or too long"),
+        (F.size(refs).between(1, 20) & F.array_contains(refs, "lineups"), line(".sourceIds"), "the lineup feed is not among the sources"),
+        (F.size(refs) == F.size(F.array_distinct(refs)), line(".sourceIds"), "key occurs more than once"),
+        (F.size("members").between(1, 40), line(".members"), "number of members is not between 1 and 40"),
+        *[(F.char_length(F.col(f"guide.{k}")) <= 6000, line(f".guide.{k}"), "text is missing or too long") for k in GUIDE_KEYS],
     ]
     slot_rules = [
-        (t.matches(F.col("unitId"), t.UNIT_PATTERN), slot(".unitId"), "expected a numeric unit ID"),
-        (t.has_text(F.col("name"), 120), slot(".name"), "expected text"),
-        (F.col("kind").isin(*MEMBER_KINDS), slot(".kind"), "expected hero or pet"),
-        (whole_in(F.col("cost"), 0, 10), slot(".cost"), "expected a cost from 0 to 10"),
-        (F.col("isCarry").isNotNull(), slot(".isCarry"), "expected the carry marker"),
-        (F.col("heroId").isNull() | (F.col("heroId") == F.concat(F.lit("hero-"), F.col("unitId"))), slot(".heroId"), "must match unitId"),
-        (F.col("position").isNull() | (F.col("position.row").between(1, 4) & F.col("position.column").between(1, 7)), slot(".position"), "expected a 4 by 7 board position"),
-        ((F.size("items") <= 3) & F.forall("items", lambda i: t.matches(i["id"], t.UNIT_PATTERN) & t.has_text(i["name"], 120)), slot(".items"), "expected named equipment"),
+        (t.matches(F.col("unitId"), t.UNIT_PATTERN), slot(".unitId"), "unit id is not made of digits"),
+        (t.has_text(F.col("name"), 120), slot(".name"), "text is missing or too long"),
+        (F.col("kind").isin(*MEMBER_KINDS), slot(".kind"), "kind of member is not in the list"),
+        (whole_in(F.col("cost"), 0, 10), slot(".cost"), "cost is no whole number between 0 and 10"),
+        (F.col("isCarry").isNotNull(), slot(".isCarry"), "carry flag is missing"),
+        (F.col("heroId").isNull() | (F.col("heroId") == F.concat(F.lit("hero-"), F.col("unitId"))), slot(".heroId"), "hero id does not follow from unitId"),
+        (F.col("position").isNull() | (F.col("position.row").between(1, 4) & F.col("position.column").between(1, 7)), slot(".position"), "cell lies outside the board"),
+        ((F.size("items") <= 3) & F.forall("items", lambda i: t.matches(i["id"], t.UNIT_PATTERN) & t.has_text(i["name"], 120)), slot(".items"), "equipment is unnamed, unknown or more than three"),
     ]
     named = lineups.select("l", F.posexplode("sourceIds").alias("i", "source_id"))
     sources = data.select(F.explode("sources.id").alias("id"))
@@ -170,15 +170,15 @@ def lineup_violations(data: DataFrame, catalog: DataFrame | None = None) -> Data
         violations(lineups, rules),
         violations(members, slot_rules),
         duplicates(lineups, ["id"], F.lit("lineups")),
-        unknown_references(named, "source_id", sources, "id", _path("lineups[", F.col("l"), "].sourceIds[", F.col("i"), "]"), "unknown source"),
+        unknown_references(named, "source_id", sources, "id", _path("lineups[", F.col("l"), "].sourceIds[", F.col("i"), "]"), "no source has this id"),
     ]
     if catalog is not None:
         other = catalog.select(F.col("seasonId").alias("s"), F.col("patch").alias("p"))
         fits = data.join(F.broadcast(other), (F.col("seasonId") == F.col("s")) & (F.col("patch") == F.col("p")), "left_anti")
-        parts.append(fits.select(F.lit("patch").alias("path"), F.lit("lineup season and patch must match the active hero catalog").alias("reason")))
+        parts.append(fits.select(F.lit("patch").alias("path"), F.lit("season or patch differs from the hero catalogue's").alias("reason")))
         heroes = catalog.select(F.explode("heroes").alias("h")).select(F.col("h.id").alias("heroId"), F.col("h.name").alias("hero_name"), F.col("h.cost").alias("hero_cost"))
         wrong = members.where("heroId IS NOT NULL").join(heroes, "heroId", "left").where(~(F.col("hero_name").eqNullSafe(F.col("name")) & F.col("hero_cost").eqNullSafe(F.col("cost"))))
-        parts.append(wrong.select(slot(".heroId").alias("path"), F.lit("does not match the active hero catalog").alias("reason")))
+        parts.append(wrong.select(slot(".heroId").alias("path"), F.lit("name or cost differs from the hero catalogue's").alias("reason")))
     return all_of(parts)
 
 
@@ -190,28 +190,28 @@ def manifest_violations(manifest: DataFrame, catalog: DataFrame, allow_synthetic
     both = manifest.crossJoin(F.broadcast(other.limit(1)))
     kinds = DATASET_KINDS if allow_synthetic else DATASET_KINDS[:1]
     root = [
-        (F.col("schemaVersion") == 1, F.lit("schemaVersion"), "unsupported version"),
-        ((F.col("seasonId") == F.col("s")) & (F.col("patch") == F.col("p")), F.lit("patch"), "does not match the reference pack"),
-        (F.col("datasetKind").isin(*kinds), F.lit("datasetKind"), "cannot serve as evidence"),
-        (F.size("cases").between(1, 500), F.lit("cases"), "needs 1 to 500 cases"),
+        (F.col("schemaVersion") == 1, F.lit("schemaVersion"), "schema version is not 1"),
+        ((F.col("seasonId") == F.col("s")) & (F.col("patch") == F.col("p")), F.lit("patch"), "season or patch differs from the pack's"),
+        (F.col("datasetKind").isin(*kinds), F.lit("datasetKind"), "kind of data set is not allowed"),
+        (F.size("cases").between(1, 500), F.lit("cases"), "number of cases is not between 1 and 500"),
     ]
     labelled = cases.where(F.col("category") != "unknown")
     heroes = catalog.select(F.explode("heroes.id").alias("id"))
     rules = [
-        (t.matches(F.col("id"), r"^[a-z0-9][a-z0-9_-]{0,79}$"), case(".id"), "needs a lowercase ASCII id"),
-        (F.col("category").isin(*CASE_CATEGORIES), case(".category"), "invalid category"),
-        ((F.col("category") != "unknown") | F.col("expectedHeroId").isNull(), case(".expectedHeroId"), "unknown case must not have a label"),
-        ((F.col("datasetKind") != "independent") | t.matches(F.col("sourceId"), r"^[a-z0-9][a-z0-9_-]{0,79}$"), case(".sourceId"), "needs a sourceId"),
-        (t.safe_entry_path(F.col("path")), case(".path"), "unsafe path"),
+        (t.matches(F.col("id"), r"^[a-z0-9][a-z0-9_-]{0,79}$"), case(".id"), "case id has other signs than small letters, digits, _ and -"),
+        (F.col("category").isin(*CASE_CATEGORIES), case(".category"), "category is not in the list"),
+        ((F.col("category") != "unknown") | F.col("expectedHeroId").isNull(), case(".expectedHeroId"), "a case without a hero has a label"),
+        ((F.col("datasetKind") != "independent") | t.matches(F.col("sourceId"), r"^[a-z0-9][a-z0-9_-]{0,79}$"), case(".sourceId"), "source id is missing or malformed"),
+        (t.safe_entry_path(F.col("path")), case(".path"), "path leaves its folder"),
     ]
     return all_of(
         [
             violations(both, root),
             violations(cases, rules),
             duplicates(cases, ["id"], F.lit("cases.id")),
-            duplicates(cases, ["path"], F.lit("cases.path"), "path is reused"),
-            duplicates(cases.where("datasetKind = 'independent' AND sourceId IS NOT NULL"), ["sourceId"], F.lit("cases.sourceId"), "sourceId is reused"),
-            unknown_references(labelled, "expectedHeroId", heroes, "id", case(".expectedHeroId"), "unknown label"),
+            duplicates(cases, ["path"], F.lit("cases.path"), "path stands in several cases"),
+            duplicates(cases.where("datasetKind = 'independent' AND sourceId IS NOT NULL"), ["sourceId"], F.lit("cases.sourceId"), "source stands in several cases"),
+            unknown_references(labelled, "expectedHeroId", heroes, "id", case(".expectedHeroId"), "label is no hero of the catalogue"),
         ]
     )
 

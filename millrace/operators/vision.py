@@ -15,6 +15,7 @@ from ..functions.text import ocr_line
 from .ordering import first_per_key, top_per_key
 
 #: Cells, coefficients and limits of a signature and of decisions.
+READ_CHARS = 10_000  # of a recognised text
 GRID, COEFFICIENTS, COLOUR_GRID = 16, 8, 4
 LEAST_DEVIATION = 7.0
 LEAST_SCORE = 0.72
@@ -363,7 +364,7 @@ def named_candidate(ocr: DataFrame, candidates: DataFrame, least_confidence: flo
     ``ocr``: case, status, text, confidence. ``candidates``: case, heroId, name, aliases.
     """
     sure = ocr.where((F.col("status") == "ok") & (F.col("confidence") >= least_confidence) & ~F.isnan(F.col("confidence").cast("double")))
-    lines = sure.select("case", F.explode(F.split(F.coalesce("text", F.lit("")), "\r?\n")).alias("line")).select("case", ocr_line(F.col("line")).alias("line")).where("line <> ''")
+    lines = sure.select("case", F.explode(F.split(F.left(F.coalesce("text", F.lit("")), F.lit(READ_CHARS)), "\r?\n")).alias("line")).select("case", ocr_line(F.col("line")).alias("line")).where("line <> ''")
     names = candidates.where("heroId IS NOT NULL").select(
         "case", "heroId", F.posexplode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("at", "name")
     )

@@ -28,6 +28,34 @@ def import_heroes(units: DataFrame, races: DataFrame, jobs: DataFrame, patch: st
     return heroes
 
 
+def import_season(versions: DataFrame, mode: str, season: str, units: DataFrame, races: DataFrame, jobs: DataFrame, heroes: int) -> DataFrame:
+    """The newest version's catalogue heroes. ``units``, ``races`` and ``jobs`` are whole feeds.
+
+    Not one newest version, a feed of another version, or another number of heroes,
+    ids or names than ``heroes`` is an error.
+    """
+    version = etl.latest_version(versions, mode, season).head()["version"]
+    for name, feed in (("units", units), ("races", races), ("jobs", jobs)):
+        if feed.select("version").head()["version"] != version:
+            raise validation.InvalidData(f"the {name} feed is of another version")
+    done = import_heroes(*[etl.map_rows(feed) for feed in (units, races, jobs)], version)
+    validation.require_counts(done, heroes, "id", "name")
+    return done
+
+
+def load_lineups(spark: SparkSession, path: str, catalog: DataFrame) -> DataFrame:
+    """A stored catalogue of lineups; a broken rule, or another season or patch than the hero catalogue's, is an error."""
+    data = feeds.json_documents(spark, path, feeds.LINEUP_SCHEMA)
+    validation.require_valid(validation.lineup_violations(data, catalog))
+    return data
+
+
+def content_version(catalog: DataFrame, lineups: DataFrame) -> DataFrame:
+    """(contentVersion, updatedAt): the catalogue's patch and the later day of the two catalogues."""
+    later = catalog.select("updatedAt").union(lineups.select("updatedAt")).agg(F.max("updatedAt").alias("updatedAt"))
+    return catalog.select(F.col("patch").alias("contentVersion")).crossJoin(F.broadcast(later))  # one row each
+
+
 def recommendation_slots(lineups: DataFrame, roster: DataFrame, items: DataFrame) -> DataFrame:
     """Parsed lineups in feed order to the slots the greedy selection takes; units outside the roster are left out."""
     ranked = lineups.withColumn("lineup_rank", F.row_number().over(Window.orderBy(*etl.feed_order())))  # a few hundred lineups
@@ -136,10 +164,9 @@ def import_lineups(lineups: DataFrame, units: DataFrame, items: DataFrame, roste
     maps = name_map(unit, "key", "name").withColumnRenamed("names", "unit_names")
     maps = maps.crossJoin(name_map(unit, "key", "price").withColumnRenamed("names", "unit_costs")).crossJoin(name_map(item, "key", "name").withColumnRenamed("names", "item_names"))
     maps = maps.crossJoin(roster.agg(F.collect_set("id").alias("roster")))  # dictionaries of a season: hundreds of entries
-    ordered = parsed.orderBy(*etl.feed_order()).crossJoin(F.broadcast(maps))
-    done = etl.convert_lineups(ordered, F.col("unit_names"), F.col("unit_costs"), F.col("item_names"), F.col("roster"))
+    done = etl.convert_lineups(parsed.crossJoin(F.broadcast(maps)), F.col("unit_names"), F.col("unit_costs"), F.col("item_names"), F.col("roster"))
     etl.require_known(done)
-    return done
+    return done.orderBy(F.col("quality") != "S", F.desc_nulls_last("sortOrder"), F.collate("officialId", "UNICODE"))
 
 
 def report(cases: DataFrame, results: DataFrame) -> DataFrame:

@@ -596,6 +596,94 @@ def decisions(spark, sf_dir):
     return done.select("c", "status", F.col("matches")[0]["heroId"].alias("best"))
 
 
+@query("""
+WITH b AS (SELECT event_id % 400 AS c, user_id AS hero, round(max(value)) / 100 AS score, min(event_id) AS seen FROM events GROUP BY ALL),
+r AS (SELECT *, row_number() OVER w AS rn, lead(score) OVER w AS second, lead(hero) OVER w AS next FROM b WINDOW w AS (PARTITION BY c ORDER BY score DESC, seen))
+SELECT c, CASE WHEN score >= 0.9 AND (second IS NULL OR score - second >= 0.02) THEN 'match' ELSE 'uncertain' END AS status, hero AS best,
+  CASE WHEN second >= 0.5 THEN next END AS next FROM r WHERE rn = 1 AND score >= 0.5
+UNION ALL SELECT c, 'uncertain', NULL, NULL FROM r WHERE rn = 1 AND score < 0.5""")
+def decisions_in_order(spark, sf_dir):
+    """Threshold and margin over each case's best scores, equal ones in the order they were seen, with thresholds of one's own."""
+    e = table(spark, sf_dir, "events").groupBy((F.col("event_id") % 400).alias("c"), F.col("user_id").alias("heroId"))
+    best = e.agg((F.round(F.max("value")) / 100).alias("score"), F.min("event_id").alias("ordinal")).withColumn("method", F.lit("phash"))
+    done = vision.decide(best, ["c"], floor=0.5, thresholds=(0.9, 0.9, 0.9), margins=(0.02, 0.02))
+    return done.select("c", "status", F.get("matches", F.lit(0))["heroId"].alias("best"), F.get("matches", F.lit(1))["heroId"].alias("next"))
+
+
+_LINEUP_SQL = """
+WITH l AS (SELECT o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 'S' WHEN '2-HIGH' THEN 'A' ELSE 'B' END AS quality, CAST(floor(o_totalprice) AS BIGINT) AS "order" FROM orders),
+m AS (SELECT l_orderkey AS id, l_suppkey AS hero, l_linenumber = 1 AS carry FROM lineitem)"""
+
+
+def _lineups(spark, sf_dir):
+    """Orders as graded lineups, their lines as members: the supplier is the hero, the first line the carry."""
+    grade = F.when(F.col("o_orderpriority") == "1-URGENT", "S").when(F.col("o_orderpriority") == "2-HIGH", "A").otherwise("B")
+    member = F.struct(
+        F.col("l_suppkey").cast("string").alias("heroId"), F.concat(F.lit("name "), F.col("l_suppkey").cast("string")).alias("name"), F.lit("hero").alias("kind"), (F.col("l_linenumber") == 1).alias("isCarry")
+    )
+    members = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(member).alias("members"))  # the lines of one order
+    orders = table(spark, sf_dir, "orders").join(members, "o_orderkey")
+    return orders.select(F.col("o_orderkey").alias("id"), grade.alias("quality"), F.floor("o_totalprice").alias("sortOrder"), F.col("o_orderkey").alias("ordinal"), "members")
+
+
+@query(_LINEUP_SQL + """
+SELECT l.id, quality, bool_or(carry) AS carry FROM l JOIN m ON m.id = l.id AND hero = 7 WHERE quality = 'S' GROUP BY ALL""")
+def lineups_of_a_hero(spark, sf_dir):
+    """The lineups of one hero and grade, with whether the hero carries them."""
+    return selection.select_lineups(_lineups(spark, sf_dir), "7", "name 7", quality="S").select("id", "quality", "carry")
+
+
+@query(_LINEUP_SQL + """
+SELECT s_suppkey::VARCHAR AS id, count(DISTINCT l.id) AS lineups FROM supplier LEFT JOIN m ON hero = s_suppkey LEFT JOIN l ON l.id = m.id AND quality IN ('S', 'A') GROUP BY s_suppkey""")
+def lineups_of_each_hero(spark, sf_dir):
+    """How many graded lineups each hero is in, zero included."""
+    heroes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.concat(F.lit("name "), F.col("s_suppkey").cast("string")).alias("name"))
+    return selection.lineups_per_hero(heroes, _lineups(spark, sf_dir)).select("id", "lineups")
+
+
+@query("""
+SELECT o_orderkey::VARCHAR AS id, row_number() OVER (ORDER BY o_orderpriority <> '1-URGENT', o_custkey DESC, o_orderkey::VARCHAR) AS place
+FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus = 'O'""")
+def published_feed(spark, sf_dir):
+    """A feed's published lineups, numbered in feed order by a sort over ranges and the ranges' sizes."""
+    o = table(spark, sf_dir, "orders")
+    feed = o.select(
+        F.col("o_orderkey").cast("string").alias("id"), F.when(F.col("o_orderpriority") == "1-URGENT", "S").when(F.col("o_orderpriority") == "2-HIGH", "A").otherwise("B").alias("quality"),
+        F.col("o_custkey").cast("string").alias("sortID"), F.when(F.col("o_orderstatus") == "O", etl.PUBLISHED_STATUS).otherwise("0").alias("status"),
+        F.lit(etl.PUBLISHED_MODE).alias("mode"), F.lit("e").alias("simulator_edition"), F.lit("s").alias("simulator_season"),
+    )
+    kept = etl.published(feed, "e", "s")
+    grade = Window.partitionBy("quality", "sortID").orderBy(F.collate("id", "UNICODE"))
+    # numbers within one grade and sort number, and before it the sizes of all earlier ones
+    sizes = kept.groupBy("quality", "sortID").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("quality").orderBy(F.col("sortID").cast("double").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = sizes.where("quality = 'S'").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("s_rows"))
+    at = sizes.withColumn("before", before).crossJoin(F.broadcast(first)).withColumn("before", F.col("before") + F.when(F.col("quality") == "S", 0).otherwise(F.col("s_rows")))
+    return kept.withColumn("nth", F.row_number().over(grade)).join(at.select("quality", "sortID", "before"), ["quality", "sortID"]).select("id", (F.col("before") + F.col("nth")).alias("place"))
+
+
+@query("""SELECT 'line ' || l_orderkey || ' ' || l_partkey AS path, 'key occurs more than once' AS reason FROM (SELECT l_orderkey, l_partkey FROM lineitem GROUP BY ALL HAVING count(*) > 1)
+UNION ALL SELECT 'customer ' || c_nationkey, 'key occurs more than once' FROM (SELECT c_nationkey FROM customer GROUP BY ALL HAVING count(*) > 1)""")
+def repeated_keys(spark, sf_dir):
+    """One violation for each repeated key."""
+    li, c = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "customer")
+    named = lambda start, *keys: F.concat_ws(" ", F.lit(start), *[F.col(k).cast("string") for k in keys])
+    return validation.all_of([
+        validation.duplicates(li, ["l_orderkey", "l_partkey"], named("line", "l_orderkey", "l_partkey")),
+        validation.duplicates(c, ["c_nationkey"], named("customer", "c_nationkey")),
+    ])
+
+
+@query("""
+SELECT user_id AS "selectedHeroId", event_id % 150 AS "heroId", event_id, t.c_name AS right_name, w.c_name AS chosen_name
+FROM events LEFT JOIN customer t ON t.c_custkey = event_id % 150 LEFT JOIN customer w ON w.c_custkey = user_id WHERE event_id % 150 <> user_id""")
+def wrong_choices(spark, sf_dir):
+    """Wrong answers with the names of the right and of the chosen one."""
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 150).alias("heroId"), F.col("user_id").alias("selectedHeroId"))
+    heroes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return catalog.wrong_answers(e.withColumn("correct", F.col("heroId") == F.col("selectedHeroId")), heroes).drop("correct")
+
+
 @query("""
 SELECT time_bucket(INTERVAL '5 minutes', ts) AS start, user_id AS player, count(*) AS answered, count(*) FILTER (value > 50) AS correct,
   CAST(floor(count(*) FILTER (value > 50) * 100.0::DOUBLE / count(*) + 0.5) AS BIGINT) AS rate FROM events GROUP BY ALL""")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import catalog, etl, validation
+from millrace.operators import catalog, etl, selection, validation
 from millrace.plans import jobs
 from millrace.sources import feeds, images
 
@@ -201,3 +201,29 @@ def test_manifest_rules(spark, tmp_path, change, path):
     heroes = feeds.json_documents(spark, str(tmp_path / "c.json"), feeds.CATALOG_SCHEMA)
     found = {r["path"] for r in validation.manifest_violations(manifest, heroes).collect()}
     assert found == set() if path is None else path in found
+
+
+def test_lineups_are_imported_whole_or_not_at_all(spark):
+    schema = "id string, quality string, sortID string, status string, mode string, simulator_edition string, simulator_season string, lineupauthor_data struct<name:string>, detail string"
+    detail = '{"line_name":"L","hero_location":[{"hero_id":"101","location":"%s","chess_type":"hero","equipment_id":"7","is_carry_hero":true}]}'
+    row = lambda i, grade, where: (i, grade, "5", etl.PUBLISHED_STATUS, etl.PUBLISHED_MODE, "e", "s", ("N",), detail % where)
+    feed = lambda data, kind, v="v1": spark.createDataFrame([(v, "s", "t", data)], f"version string, season string, setId string, data map<string,struct<{kind}>>")
+    units, items = feed({"101": ("Ann", "2")}, "name:string,price:string"), feed({"7": ("Sword",)}, "name:string")
+    roster = spark.createDataFrame([("hero-101",)], "id string")
+    run = lambda rows, units=units: jobs.import_lineups(spark.createDataFrame(rows, schema), units, items, roster, "e", "s", ("v1", "s", "t"))
+    got = run([row("2", "A", "1,2"), row("1", "S", "4,7"), row("3", "B", "1,1")]).collect()
+    assert [(r["id"], r["members"][0]["heroId"], r["members"][0]["position"].asDict()) for r in got] == [("official-1", "hero-101", {"row": 4, "column": 7}), ("official-2", "hero-101", {"row": 1, "column": 2})]
+    with pytest.raises(validation.InvalidData, match="position"):
+        run([row("1", "S", "5,1")])
+    with pytest.raises(validation.InvalidData, match="another version"):
+        run([row("1", "S", "1,1")], feed({"101": ("Ann", "2")}, "name:string,price:string", "v0"))
+    with pytest.raises(validation.InvalidData, match="unknown unit"):
+        run([row("1", "S", "1,1")], feed({"102": ("Bo", "2")}, "name:string,price:string"))
+
+
+def test_shown_fallbacks_and_version(spark):
+    heroes = spark.createDataFrame([("a", "A", 3, ["x", "y"], ("s", "d")), ("b", "B", None, [], None), ("c", "C", None, None, ("", None))], "id string, name string, cost int, traits array<string>, skill struct<name:string,description:string>")
+    got = [tuple(r)[2:] for r in selection.shown(heroes, "-", "none", "?").orderBy("id").collect()]
+    assert got == [("3", "x / y", "s", "d"), ("-", "none", "?", "?"), ("-", "none", "?", "?")]
+    dated = lambda d: spark.createDataFrame([("p1", d)], "patch string, updatedAt string")
+    assert tuple(jobs.content_version(dated("2026-01-02"), dated("2026-02-01")).first()) == ("p1", "2026-02-01")
