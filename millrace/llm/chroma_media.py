@@ -113,28 +113,43 @@ def classes(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _keys(frame: DataFrame, name: str) -> DataFrame:
-    """An entry for each frame: its code and the one three frames on make the key."""
-    return frame.where(F.size("codes") > KEY_STEP).select(
-        F.col(name),
-        F.posexplode(
-            F.transform(
-                F.sequence(F.lit(1), F.size("codes") - KEY_STEP),
-                lambda i: F.struct(F.element_at("codes", i).alias("k1"), F.element_at("codes", i + KEY_STEP).alias("k2")),
-            )
-        ).alias("at", "k"),
-    ).select(name, "at", "k.k1", "k.k2")
+    """An entry for each run of equal keys: a frame's code and the one three frames on make the key.
+
+    Silence or a held note is one long run, not an entry for each frame.
+    """
+    pairs = F.transform(
+        F.sequence(F.lit(1), F.size("codes") - KEY_STEP),
+        lambda i: F.struct(F.element_at("codes", i).alias("k1"), F.element_at("codes", i + KEY_STEP).alias("k2")),
+    )
+    return _runs(frame.where(F.size("codes") > KEY_STEP).select(name, pairs.alias("keys")), name).select(name, "at", "n", "k.k1", "k.k2")
 
 
 def _single_keys(frame: DataFrame, name: str) -> DataFrame:
-    """An entry for each frame under its code alone, for what is too short to have keys of two codes."""
-    return frame.select(F.col(name), F.posexplode("codes").alias("at", "code"))
+    """Runs of equal codes, for what is too short to have keys of two codes."""
+    return _runs(frame.where(F.size("codes") > 0).select(name, F.col("codes").alias("keys")), name).withColumnRenamed("k", "code")
+
+
+def _runs(frame: DataFrame, name: str) -> DataFrame:
+    """(name, at, n, k) of the runs of equal values in the array ``keys``: where each begins and how long it is."""
+    starts = F.filter(F.sequence(F.lit(0), F.size("keys") - 1), lambda i: (i == 0) | (F.get("keys", i) != F.get("keys", i - 1)))
+    marked = frame.withColumn("starts", starts)
+    after = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.size("keys")))
+    runs = F.zip_with("starts", after, lambda at, end: F.struct(at.alias("at"), (end - at).alias("n"), F.get("keys", at).alias("k")))
+    return marked.select(name, F.explode(runs).alias("run")).select(name, "run.*")
 
 
 def _hits(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """(query_id, class_id, q_at, at) of equal keys; where either side is too short for keys of two codes, of equal codes."""
+    """(query_id, class_id, offset_frames, votes) of equal keys; where either side is too short for keys of two codes, of equal codes.
+
+    Two runs agree at every offset at which they overlap, once for each frame of the overlap.
+    """
 
     def met(q: DataFrame, c: DataFrame, on: list[str]) -> DataFrame:
-        return q.withColumnRenamed("at", "q_at").join(c, on).select("query_id", "class_id", "q_at", "at")
+        both = q.withColumnRenamed("at", "q_at").withColumnRenamed("n", "q_n").join(c, on)
+        offsets = F.sequence(F.col("at") - F.col("q_at") - F.col("q_n") + 1, F.col("at") + F.col("n") - 1 - F.col("q_at"))
+        o = F.col("offset_frames")
+        overlap = F.least(F.col("q_at") + F.col("q_n") + o, F.col("at") + F.col("n")) - F.greatest(F.col("q_at") + o, F.col("at"))
+        return both.withColumn("offset_frames", F.explode(offsets)).select("query_id", "class_id", "offset_frames", overlap.cast("long").alias("votes"))
 
     short = F.size("codes") <= KEY_STEP
     return (
@@ -157,8 +172,8 @@ def aligned(queries: DataFrame, index: DataFrame, most_bit_error: float = MOST_B
     """
     votes = (
         _hits(queries, index)
-        .groupBy("query_id", "class_id", (F.col("at") - F.col("q_at")).alias("offset_frames"))
-        .agg(F.count("*").alias("votes"))
+        .groupBy("query_id", "class_id", "offset_frames")
+        .agg(F.sum("votes").alias("votes"))
         .groupBy("query_id", "class_id")
         .agg(F.collect_list(F.struct("offset_frames", "votes")).alias("voted"))
     )
@@ -233,7 +248,11 @@ def recordings(vectors: DataFrame) -> DataFrame:
 
 
 def media_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Excerpts of every twentieth recording, searched in all recordings, and the members of the classes found."""
+    """Excerpts of every twentieth recording, searched in all recordings, and the members of the classes found.
+
+    Null, empty and too short vectors have no codes and match nothing; rows with a
+    null id are in no class; equal recordings are one class; an empty table gives no rows.
+    """
     media = recordings(common.plain(common.table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
     prints = common.stored(fingerprints(media, "vec_id", "audio"), "prints")
     index, members = classes(prints)

@@ -44,6 +44,11 @@ _WORDS = frozenset(
     "breadcrumb breadcrumbs pagination pager toolbar share sharing social footer copyright masthead topbar header comment comments respond "
     "reply replies disqus discussion reactions search login".split()
 )
+#: Words that may stand beside such a word in a class or id; any other tells of a subject (social-science).
+_LAYOUT = frozenset(
+    "site page main top bottom left right item items box wrap wrapper container content section block area list inner outer bar panel unit slot links link form "
+    "thread user users reader readers author posts articles stories story more latest popular email mail google native tag tags has is no with col row grid fixed sticky small large primary secondary global post article entry blog news the by on the my js".split()
+)
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 #: A start of one of these ends an open element of the same kind.
 _SIBLINGS = {"li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
@@ -76,9 +81,12 @@ def _boilerplate(tag: str, attributes: str, in_main: bool) -> bool:
             return True
         if name in ("class", "id"):
             # an article's other words tell of its subject or layout (category-social, has-sidebar)
-            words = [w for token in value.split() for w in _WORD.findall(token)[:1]] if tag == "article" else _WORD.findall(value)
-            if any(w.lower() in _WORDS for w in words):
-                return True
+            for token in value.split():
+                words = [w.lower() for w in _WORD.findall(token)]
+                if tag == "article":
+                    words = words[:1]
+                if any(w in _WORDS for w in words) and all(w in _WORDS or w in _LAYOUT or len(w) < 3 or w.isdigit() for w in words):
+                    return True
     return False
 
 
@@ -192,5 +200,7 @@ def extract(pages: DataFrame, markup: str = "html", into: str = "text") -> DataF
 
 
 def pages_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text and length in code points of every page; null, empty and broken pages are as in ``extract``, repeated rows and
+    null ids and addresses stay as they are, an empty table gives no rows."""
     pages = common.plain(common.table(spark, sf_dir, "pages"), "page_id", "url", "html")
     return extract(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

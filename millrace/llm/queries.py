@@ -40,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_lineblock_html": lineblock_html.pages_query,
         "op10_simhash": simhash.fingerprint_query,
         "jaccard_links": jaccard_join.links_query,
+        "simhash_within_radius": simhash.near_query,
     }
 
 

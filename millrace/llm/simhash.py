@@ -23,6 +23,8 @@ from . import common
 LANES = 4
 #: Terms that vote at once; more are taken in turns.
 BLOCK_TERMS = 32_768
+#: The search's radius and blocks: eight blocks of 32 bits, of which one at least is equal.
+RADIUS, BLOCKS = 7, 8
 #: Rows in a range of ids that one task walks in order, and the most ranges.
 ROWS_A_RANGE = 1000
 MOST_RANGES = 16_384
@@ -106,6 +108,8 @@ def within_radius(queries: DataFrame, index: DataFrame, radius: int, blocks: int
     blocks = blocks or radius + 1
     if blocks <= radius:
         raise ValueError("more blocks than the radius are needed")
+    if (blocks - radius) * (bits // blocks) < 16 and radius:
+        raise ValueError("keys of fewer than 16 bits meet nearly everything: use fewer blocks")
     digits = bits // 4
     edges = [round(i * digits / blocks) for i in range(blocks + 1)]
     choices = list(combinations(range(blocks), blocks - radius))
@@ -138,46 +142,60 @@ def within_radius(queries: DataFrame, index: DataFrame, radius: int, blocks: int
     )
 
 
-def _bucketed(frame: DataFrame, key: str) -> DataFrame:
-    """Add ``_bucket``: the number of splits at or below the key, by two levels of lookup."""
+def _bucketed(frame: DataFrame, key: str, tie: str) -> DataFrame:
+    """Add ``_bucket``: a text that orders as the ranges of (key, tie) do.
+
+    Ranges of keys are cut at quantiles and around every key that more rows share
+    than two ranges should hold; such a key's rows are cut further by their tie, a hash.
+    """
     total = frame.count()
     ranges = min(MOST_RANGES, max(1, total // ROWS_A_RANGE))
-    splits = sorted(set(frame.approxQuantile(key, [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)))) if ranges > 1 else []
+    hot = frame.groupBy(key).agg(F.count("*").alias("rows")).where(F.col("rows") > 2 * ROWS_A_RANGE).orderBy(F.desc("rows"), key).limit(MOST_RANGES).collect() if ranges > 1 else []
+    splits = set(frame.approxQuantile(key, [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))) if ranges > 1 else set()
+    splits = sorted({int(x) for x in splits} | {r[0] for r in hot} | {r[0] + 1 for r in hot if r[0] < (1 << 63) - 1})
     if not splits:
-        return frame.withColumn("_bucket", F.lit(0))
+        return frame.withColumn("_bucket", F.lit("0"))
     step = max(1, int(len(splits) ** 0.5))
-    fine, coarse = F.lit([int(s) for s in splits]), F.lit([int(s) for s in splits[::step]])
+    fine, coarse = F.lit(splits), F.lit(splits[::step])
     at = F.size(F.filter(coarse, lambda c: c <= F.col(key)))
     below = F.size(F.filter(F.slice(fine, (at - 1) * step + 1, F.lit(step)), lambda c: c <= F.col(key)))
-    return frame.withColumn("_bucket", F.when(at == 0, F.lit(0)).otherwise((at - 1) * step + below))
+    bucket = F.when(at == 0, F.lit(0)).otherwise((at - 1) * step + below)
+    parts = F.lit(1)
+    if hot:
+        table = F.create_map(*[F.lit(x) for r in hot for x in (r[0], -(-r["rows"] // ROWS_A_RANGE))])
+        parts = F.coalesce(F.try_element_at(table, F.col(key)), F.lit(1))
+    part = F.least(F.floor((F.col(tie) / F.lit(2.0**64) + 0.5) * parts), parts - 1)
+    return frame.withColumn("_bucket", F.concat_ws("-", F.lpad(bucket.cast("string"), 8, "0"), F.lpad(part.cast("string"), 8, "0")))
 
 
 def with_next(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (id, text) dealt into ranges of ids, each sorted by descending id and closed by a
     copy of the next range's first row, so that every row's successor follows it.
 
-    Null ids come last, ties in the order of their texts; the last row's successor is the first.
+    Null ids come last, ties by a hash of their texts and then by the texts; the last
+    row's successor is the first. An id that very many rows share is dealt to several ranges.
     """
     low = -(1 << 63)
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = _bucketed(
-        frame.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn(
-            "_key", F.coalesce(F.col("id").cast("long"), F.lit(low))
-        ),
+        frame.select(F.col(f"`{key}`").alias("id"), body.alias("text")).withColumns({"_key": F.coalesce(F.col("id").cast("long"), F.lit(low)), "_tie": F.xxhash64("text")}),
         "_key",
+        "_tie",
     )
-    heads = [(r["_bucket"], r["head"]) for r in rows.groupBy("_bucket").agg(F.max("_key").alias("head")).orderBy("_bucket").collect()]
+    top = F.max(F.struct("_key", "_tie")).alias("head")
+    heads = [(r["_bucket"], *r["head"]) for r in rows.groupBy("_bucket").agg(top).orderBy("_bucket").collect()]
     if not heads:
         return rows.withColumn("copy", F.lit(0))
-    above = [b for b, _ in heads[1:]] + [heads[0][0]]
-    copies = frame.sparkSession.createDataFrame([(head, to) for (_, head), to in zip(heads, above, strict=True)], "_key long, _to int")
+    above = [h[0] for h in heads[1:]] + [heads[0][0]]
+    copies = frame.sparkSession.createDataFrame([(h[1], h[2], to) for h, to in zip(heads, above, strict=True)], "_key long, _tie long, _to string")
     own = F.struct(F.col("_bucket").alias("bucket"), F.lit(0).alias("copy"))
     also = F.when(F.col("_to").isNotNull(), F.struct(F.col("_to").alias("bucket"), F.lit(1).alias("copy")))
     return (
-        rows.join(F.broadcast(copies), "_key", "left")
+        rows.join(F.broadcast(copies), ["_key", "_tie"], "left")
         .withColumn("_target", F.explode(F.array_compact(F.array(own, also))))
-        .select("id", "text", "_key", F.col("_target.bucket").alias("_bucket"), F.col("_target.copy").alias("copy"))
+        .select("id", "text", "_key", "_tie", F.col("_target.bucket").alias("_bucket"), F.col("_target.copy").alias("copy"))
         .repartition("_bucket")
-        .sortWithinPartitions("_bucket", "copy", F.desc("_key"), "text")
+        .sortWithinPartitions("_bucket", "copy", F.desc("_key"), F.desc("_tie"), "text")
     )
 
 
@@ -221,3 +239,23 @@ def fingerprint_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "near_edited",
         "near_next",
     )
+
+
+def near_documents(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """(doc_id, found_id, distance): documents whose id is divisible by 20, against all documents within the radius.
+
+    Each other fingerprint within the radius is named by the smallest id that has
+    it; rows with a null id, and texts without words, whose fingerprint says
+    nothing, neither ask nor are found.
+    """
+    marks = common.stored(fingerprints(common.plain(docs, "doc_id", "text").where("doc_id IS NOT NULL")).select("doc_id", "fingerprint"), "fingerprints")
+    marks = marks.where(F.col("fingerprint") != "0" * (LANES * 16))
+    asked = marks.where("doc_id % 20 = 0")
+    found = within_radius(asked.select("fingerprint"), marks.select("fingerprint"), radius, blocks)
+    named = marks.groupBy(F.col("fingerprint").alias("found")).agg(F.min("doc_id").alias("found_id"))
+    pairs = found.join(named, "found").join(asked.withColumnRenamed("fingerprint", "query"), "query")
+    return pairs.where("doc_id <> found_id").select("doc_id", "found_id", "distance")
+
+
+def near_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_documents(common.table(spark, sf_dir, "documents"))

@@ -6,6 +6,8 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from millrace.llm import jaccard_join, simhash
 from millrace.llm.components import components
@@ -222,18 +224,69 @@ def test_one_and_equal_documents(spark):
     assert a["fingerprint"] == b["fingerprint"]
 
 
-def test_votes_equal_a_plain_count():
+def test_votes_equal_a_plain_count(monkeypatch):
     text = "the cat and the dog and the bird"
-    hashes, weights = simhash.terms(text)
-    assert len(hashes) == 5 + 6 and sorted(weights.tolist(), reverse=True)[0] == pytest.approx(np.sqrt(3))
-    small = simhash.BLOCK_TERMS
-    try:
-        simhash.BLOCK_TERMS = 2
-        assert (simhash.fingerprint(text) == simhash.fingerprint(text)).all()
-        blocked = simhash.fingerprint(text)
-    finally:
-        simhash.BLOCK_TERMS = small
-    assert (blocked == simhash.fingerprint(text)).all()
+    mask = (1 << 64) - 1
+    words = [xxhash.xxh3_64_intdigest(w.encode()) - (1 << 63) & mask for w in text.split()]
+    count = {}
+    for h in words:
+        count[h] = count.get(h, 0) + 1
+    for a, b in zip(words, words[1:]):
+        two = (a * 0x9E3779B97F4A7C15 & mask) ^ b
+        two = (two ^ (two >> 29)) * 0x9E3779B97F4A7C15 & mask
+        count[two] = count.get(two, 0) + 1
+    bits = []
+    for lane in range(simhash.LANES):
+        hashed = {}
+        for h in count:
+            x = h + ((lane + 1) * 0xD1B54A32D192ED03 & mask) & mask
+            x = (x ^ (x >> 31)) * 0x94D049BB133111EB & mask
+            x = (x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 & mask
+            hashed[h] = x ^ (x >> 32)
+        for byte in range(8):
+            for bit in range(7, -1, -1):
+                votes = sum((1 if hashed[h] >> (8 * byte + bit) & 1 else -1) * n**0.5 for h, n in count.items())
+                bits.append(int(votes > 1e-6))
+    want = np.packbits(np.array(bits, np.uint8))
+    for block in (simhash.BLOCK_TERMS, 2, 5):
+        monkeypatch.setattr(simhash, "BLOCK_TERMS", block)
+        assert (simhash.fingerprint(text) == want).all()
+
+
+def test_an_id_of_very_many_rows_is_dealt_to_several_ranges(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "ROWS_A_RANGE", 10)
+    rows = [(7, f"text {i}") for i in range(100)] + [(i, f"other {i}") for i in range(20)] + [(None, f"none {i}") for i in range(50)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = simhash.with_next(frame)
+    sizes = {r["_bucket"]: r["count"] for r in dealt.where("copy = 0").groupBy("_bucket").count().collect()}
+    assert sum(sizes.values()) == len(rows) and max(sizes.values()) <= 35
+    got = simhash.compare_with_edits(frame).collect()
+    hashed = {t: h for t, h in frame.select("text", F.xxhash64("text")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1]]), reverse=True)
+    want = {t: t[: len(t) - len(t) // 2] + order[(k + 1) % len(order)][1][: len(t) // 2] for k, (_, t) in enumerate(order)}
+    assert len(got) == len(rows) and {r["edited"] for r in got} == set(want.values())
+
+
+def test_near_documents_equal_brute_force(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(15):
+        base = [rng.choice(words) for _ in range(400)]
+        texts.append(" ".join(base))
+        for k in (1, 2, 5, 40):
+            texts.append(" ".join(base[:-k] + [rng.choice(words) for _ in range(k)]))
+    texts += [texts[0], texts[5], "", None, " "]
+    ids = [4 * i for i in range(len(texts))]
+    marks = {i: int(simhash.fingerprint(t).tobytes().hex(), 16) for i, t in zip(ids, texts, strict=True)}
+    least = {}
+    for i in ids:
+        least.setdefault(marks[i], i)
+    want = {(a, b, (marks[a] ^ m).bit_count()) for a in ids for m, b in least.items() if a % 20 == 0 and a != b and marks[a] and m and (marks[a] ^ m).bit_count() <= simhash.RADIUS}
+    frame = spark.createDataFrame([*zip(ids, texts, strict=True), (None, texts[0])], "doc_id long, text string")
+    assert {tuple(r) for r in simhash.near_documents(frame).collect()} == want and len(want) > 3
+    with pytest.raises(ValueError, match="16 bits"):
+        simhash.within_radius(frame, frame, 30)
 
 
 @pytest.mark.parametrize(("radius", "blocks"), [(3, None), (2, 4), (0, 2)])

@@ -262,6 +262,21 @@ def test_text_outside_an_article_is_kept():
     assert lineblock_html.main_text(page) == "\n".join([body[0], "T", "ok", *body[1:]])
 
 
+@pytest.mark.parametrize("attributes", ["class='social-science'", "id=comment-on-the-budget-vote", "class='network-sidebars share-price'"])
+def test_words_of_a_subject_mark_nothing(attributes):
+    body = paragraphs("body")
+    assert lineblock_html.main_text(f"<article>{marked_up(body[:2])}<div {attributes}>{marked_up(body[2:])}</div></article>") == "\n".join(body)
+
+
+def test_the_surge_decides_on_pages_without_an_article(monkeypatch):
+    page = f"<div><p>{'a short notice ' * 4}</p></div>" + "<div>x</div>" * 5 + f"<div>{marked_up(paragraphs('body'))}</div>"
+    kept = {}
+    for surge in (20, 86, 200):
+        monkeypatch.setattr(lineblock_html, "SURGE_CHARS", surge)
+        kept[surge] = lineblock_html.main_text(page)
+    assert "short notice" in kept[20] and "short notice" not in kept[86] and "body 3" in kept[86]
+
+
 @pytest.mark.parametrize("attributes", ["class=comment", "class='depth-1 comment-item'", "id='relatedPosts'", "role=complementary", "hidden"])
 def test_articles_marked_as_boilerplate(attributes):
     body, other = paragraphs("body"), paragraphs("reader")
@@ -347,6 +362,17 @@ def plain_best(q, codes):
     return best
 
 
+def test_held_notes_are_runs(spark):
+    rows = spark.createDataFrame([(1, [5] * 300), (2, [1, 1, 2, 2, 2, 1]), (3, [])], "class_id long, codes array<long>")
+    got = sorted((r["class_id"], r["at"], r["n"], r["code"]) for r in chroma_media._single_keys(rows, "class_id").collect())
+    assert got == [(1, 0, 300, 5), (2, 0, 2, 1), (2, 2, 3, 2), (2, 5, 1, 1)]
+    assert chroma_media._keys(rows, "class_id").where("class_id = 1").count() == 1
+    asked = spark.createDataFrame([(9, [5] * 200 + [6])], "query_id long, codes array<long>")
+    best = chroma_media.aligned(asked, rows.withColumn("n_copies", F.lit(1))).first()
+    want = plain_best([5] * 200 + [6], [5] * 300)
+    assert (best["offset_frames"], best["votes"], best["bit_error"]) == want
+
+
 def test_alignment_equals_a_plain_search(spark):
     rng = random.Random(9)
     tune = [rng.getrandbits(32) for _ in range(40)]
