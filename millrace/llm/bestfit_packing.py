@@ -25,8 +25,8 @@ GROUP_ITEMS = 2000
 
 def word_count(text: Column) -> Column:
     """Words between white space; null counts none."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"\s+"))).cast("long")
+    pieces = F.split(F.coalesce(text, F.lit("")), r"\s+")
+    return F.size(F.array_remove(pieces, "")).cast("long")
 
 
 def pack_group(sizes: list[int], sources: list[int], clusters: list[int], capacity: int) -> tuple[list[int], list[int]]:

@@ -64,9 +64,9 @@ def test_packing_is_whole_and_without_conflicts(spark):
 
 
 def test_items_count_words(spark):
-    docs = spark.createDataFrame([(1, " a  b\nc ", "s"), (2, None, "s"), (3, "", None), (4, "  ", None)], "doc_id long, text string, source string")
+    docs = spark.createDataFrame([(1, " a  b\nc ", "s"), (2, None, "s"), (3, "", None), (4, "  ", None), (5, "\t\x0ba\f\r\nb \x85", "s")], "doc_id long, text string, source string")
     got = {r["doc_id"]: (r["size"], r["cluster"] is None) for r in bestfit_packing.document_items(docs).collect()}
-    assert got == {1: (3, False), 2: (0, True), 3: (0, True), 4: (0, False)}
+    assert got == {1: (3, False), 2: (0, True), 3: (0, True), 4: (0, False), 5: (3, False)}
 
 
 @pytest.mark.parametrize("kind", ["string", "int", "decimal(20,0)"])
