@@ -65,10 +65,7 @@ _SEEDS = [np.uint64(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF) for k in range(
 #: Bytes hashed at once; longer texts are cut between two words.
 BLOCK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C13
-_letters = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
-_letters[ord("A") : ord("Z") + 1] = _letters[ord("a") : ord("z") + 1]
-_blank = np.zeros(256, dtype=bool)
-_blank[[0x20, *range(0x09, 0x0E)]] = True
+_LENGTH = np.uint64(0x8CB92BA72F3D8DD7)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]  # of the base and of its inverse modulo 2^64
 
 
@@ -82,25 +79,39 @@ def _powers_to(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def _is_blank(data: np.ndarray) -> np.ndarray:
+    """ASCII white space: a space, or a byte from tab to carriage return."""
+    return (data == 0x20) | ((data - np.uint8(0x09)) < 5)
+
+
 def _word_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of each run of bytes that are no ASCII white space, A-Z as a-z: the letters' random numbers,
-    weighed by powers of a base that start at each word anew."""
-    gap = np.r_[True, _blank[data], True]
+    """A hash of each run of bytes that are no ASCII white space: the bytes, weighed by powers of a base that
+    start at each word anew, and the run's length."""
+    gap = np.ones(len(data) + 2, dtype=bool)
+    gap[1:-1] = _is_blank(data)
     turns = np.flatnonzero(gap[1:] != gap[:-1])
     begin, end = turns[0::2], turns[1::2]
     powers, inverse = _powers_to(len(data) + 1)
+    weighed = data.astype(np.uint64)
+    weighed *= powers[: len(data)]
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_letters[data] * powers[: len(data)], out=sums[1:])
-    h = (sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64)
-    h = (h ^ (h >> np.uint64(32))) * _MIX
-    return h ^ (h >> np.uint64(29))
+    np.cumsum(weighed, out=sums[1:])
+    h = sums[end]
+    h -= sums[begin]
+    h *= inverse[begin]
+    h += (end - begin).astype(np.uint64) * _LENGTH
+    h ^= h >> np.uint64(32)
+    h *= _MIX
+    h ^= h >> np.uint64(29)
+    return h
 
 
 def _words(text: bytes) -> np.ndarray:
-    data, parts, at = np.frombuffer(text, np.uint8), [], 0
+    """Hashes of the words, A-Z as a-z."""
+    data, parts, at = np.frombuffer(text.lower(), np.uint8), [], 0
     while len(data) - at > BLOCK_BYTES:
         tail = data[at + BLOCK_BYTES :]
-        stop = at + BLOCK_BYTES + next((k + int(np.argmax(_blank[tail[k : k + 4096]])) for k in range(0, len(tail), 4096) if _blank[tail[k : k + 4096]].any()), len(tail))
+        stop = at + BLOCK_BYTES + next((k + int(np.argmax(_is_blank(tail[k : k + 4096]))) for k in range(0, len(tail), 4096) if _is_blank(tail[k : k + 4096]).any()), len(tail))
         parts.append(_word_hashes(data[at:stop]))
         at = stop
     return np.concatenate([*parts, _word_hashes(data[at:])])
@@ -121,7 +132,9 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     for k in range(1, span):
         mixed = (mixed * _GOLDEN) ^ h[k : n - span + 1 + k]
         mixed ^= mixed >> np.uint64(29)
-    return np.unique((mixed ^ (mixed >> np.uint64(32))) * _MIX)
+    members = (mixed ^ (mixed >> np.uint64(32))) * _MIX
+    members.sort()
+    return members[np.r_[True, members[1:] != members[:-1]]]
 
 
 class Threshold:
