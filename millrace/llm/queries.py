@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
@@ -14,6 +13,7 @@ from . import (
     jaccard_join,
     lineblock_html,
     monoid_bpe,
+    phrase_collocations,
     preference_chat,
     quality_knn,
     rank_langid,
@@ -24,6 +24,9 @@ RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``digest_query`` with the installed vocabulary; the only query that needs that package."""
+    import public_tokenizers
+
     return monoid_bpe.digest_query(spark, sf_dir, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
 
 
@@ -39,10 +42,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chroma_media": chroma_media.media_query,
         "op9_lineblock_html": lineblock_html.pages_query,
         "op10_simhash": simhash.fingerprint_query,
+        "op13_phrase_collocations": phrase_collocations.collocations_query,
         "jaccard_links": jaccard_join.links_query,
         "simhash_within_radius": simhash.near_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_preference_chat": preference_chat.ORACLE_SQL, "op5_jaccard_join": jaccard_join.ORACLE_SQL}
+    return {
+        "op2_preference_chat": preference_chat.ORACLE_SQL,
+        "op5_jaccard_join": jaccard_join.ORACLE_SQL,
+        "op13_phrase_collocations": phrase_collocations.ORACLE_SQL,
+    }
