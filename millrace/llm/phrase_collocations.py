@@ -33,9 +33,9 @@ MOST_RANKS = 2000
 UNKNOWN = "und"
 BREAKS = "[.,;:!?\n-\r]"
 #: Characters whose phrases are counted together before they are emitted.
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 4_000_000
 #: Words of a chunk whose phrases are made at once.
-BLOCK_WORDS = 1_500_000
+BLOCK_WORDS = 500_000
 
 def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """All words of the texts, the piece and the text that each stands in."""
@@ -64,7 +64,7 @@ def _phrase_rows(texts: pa.Array, langs: pa.Array, max_n: int) -> Iterator[pa.Re
     code = spelled.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     totals = np.bincount(lang_of, minlength=len(lang.dictionary))
     some = np.flatnonzero(totals)
-    yield _batch(lang.dictionary.take(pa.array(some)), pa.array([""] * len(some)), totals[some])
+    yield _keyed(lang.dictionary.take(pa.array(some)), [pa.array([""] * len(some))], totals[some])
     for at in range(0, len(code), BLOCK_WORDS):
         stop = min(at + BLOCK_WORDS, len(code))
         number = lang_of[at:stop]  # of the phrase that begins at each word, grown word by word
@@ -79,11 +79,13 @@ def _phrase_rows(texts: pa.Array, langs: pa.Array, max_n: int) -> Iterator[pa.Re
             first, count, number = _counted(number, code[begin + n - 1])
             heads = begin[first]
             parts = [spelled.dictionary.take(pa.array(code[heads + k])) for k in range(n)]
-            yield _batch(lang.dictionary.take(pa.array(lang_of[heads])), pc.binary_join_element_wise(*parts, " ") if n > 1 else parts[0], count)
+            yield _keyed(lang.dictionary.take(pa.array(lang_of[heads])), parts, count)
 
 
-def _batch(lang: pa.Array, phrase: pa.Array, count: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([lang, phrase, pa.array(count, pa.int64())], names=["lang", "phrase", "f"])
+def _keyed(lang: pa.Array, words: list[pa.Array], count: np.ndarray) -> pa.RecordBatch:
+    """Language and phrase as one key: there are very many rows, and one short column is shuffled in fewer bytes than two."""
+    phrase = pc.binary_join_element_wise(*words, " ") if len(words) > 1 else words[0]
+    return pa.RecordBatch.from_arrays([pc.binary_join_element_wise(lang, phrase, "\n"), pa.array(count, pa.int64())], names=["key", "f"])
 
 
 def phrase_counts(docs: DataFrame, max_n: int = MAX_WORDS, least: int = 1, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -113,8 +115,11 @@ def phrase_counts(docs: DataFrame, max_n: int = MAX_WORDS, least: int = 1, text:
             yield from _phrase_rows(texts, langs, max_n)
 
     rows = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    counted = rows.mapInArrow(count, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-    return counted.where((F.col("f") >= least) | (F.col("phrase") == "")) if least > 1 else counted
+    counted = rows.mapInArrow(count, "key string, f long").groupBy("key").agg(F.sum("f").alias("f"))
+    if least > 1:
+        counted = counted.where((F.col("f") >= least) | F.endswith("key", F.lit("\n")))
+    phrase = F.substring_index("key", "\n", -1)  # no word has a line end, a language may
+    return counted.select(F.expr("left(key, length(key) - length(substring_index(key, '\n', -1)) - 1)").alias("lang"), phrase.alias("phrase"), "f")
 
 
 def _score() -> F.Column:
