@@ -27,10 +27,10 @@ COMMON_WORDS = 50
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A histogram of fewer characters or words than these is not judged.
-MIN_JUDGED_CHARS = 200
+MIN_JUDGED_CHARS = 600
 MIN_JUDGED_WORDS = 50
 MAX_CLASS_DISTANCE = 0.2
-MAX_WORD_DISTANCE = 0.4
+MAX_WORD_DISTANCE = 0.42
 SYMBOLS = "#*$%&|<>"
 PUNCTUATION = ".,;:!?'\"()-"
 BLANKS = " \t\n\v\f\r"
@@ -145,13 +145,20 @@ def _shares(counts: str) -> Column:
 
 
 def references(rows: DataFrame) -> DataFrame:
-    """(ref, ref_classes, ref_words): mean shares over the different texts that pass the base rules.
+    """(ref, ref_classes, ref_words): mean shares over the different texts that pass the rules.
 
     ``rows`` are measured rows with a column ``same`` that is equal for equal
     texts: copies count once, so that a text with very many does not become the
-    reference.
+    reference. A first reference is made of what passes the base rules, the
+    second of what the first one lets pass.
     """
-    base = rows.where(~base_failed() & F.col("ref").isNotNull()).dropDuplicates(["ref", "same"])
+    rows = rows.dropDuplicates(["ref", "same"])
+    first = _mean_shares(rows.where(~base_failed()))
+    return _mean_shares(judged(rows, first).where("kept").select(*rows.columns))
+
+
+def _mean_shares(base: DataFrame) -> DataFrame:
+    base = base.where(F.col("ref").isNotNull())
     long = base.select("ref", F.explode(F.array(F.struct(F.lit("c").alias("kind"), _shares("classes").alias("p")), F.struct(F.lit("w").alias("kind"), _shares("words").alias("p")))).alias("h"))
     mean = long.select("ref", "h.kind", F.posexplode("h.p").alias("at", "share")).groupBy("ref", "kind", "at").agg(F.avg("share").alias("share"))
     listed = mean.groupBy("ref").pivot("kind", ["c", "w"]).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "share"))), lambda x: x["share"]))
@@ -181,3 +188,77 @@ def judged(rows: DataFrame, refs: DataFrame) -> DataFrame:
     )
     far = F.coalesce(F.col("class_distance") > MAX_CLASS_DISTANCE, F.lit(False)) | F.coalesce(F.col("word_distance") > MAX_WORD_DISTANCE, F.lit(False))
     return held.withColumn("kept", ~F.col("base_failed") & ~far)
+
+
+def with_rules(docs: DataFrame) -> DataFrame:
+    """Each document with its measures, ``base_failed``, both distances and ``kept``; the other columns stay.
+
+    ``docs`` needs columns text and lang. A null text is empty and fails; a text
+    whose language has no reference is held against the one it resembles. Where
+    there are no references at all, only the base rules judge. Equal texts of one
+    language are judged alike, repeated rows each, texts of any length whole.
+    References come from these documents; an empty table gives none and no rows.
+    """
+    rows = docs.select(F.struct("*").alias("row"), "text", "lang")
+    named = common_words(rows)
+    small = common.stored(measured(rows.select("text", "lang"), named).withColumn("same", F.md5(F.col("text").cast("binary"))).drop("text"), "measures")
+    return judged(measured(rows, named), references(small)).drop("text", "lang", "classes", "words", "ref_classes", "ref_words")
+
+
+def rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules over all documents; their measures are taken once, the texts go no further."""
+    docs = common.plain(common.table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    rows = measured(docs, common_words(docs)).withColumn("same", F.md5(F.col("text").cast("binary"))).drop("text", "lang")
+    rows = common.stored(rows, "measures")
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"]
+    return judged(rows, references(rows)).select(*columns)
+
+
+ORACLE_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(lang, 'und') AS lang,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D.,;:!?]+') AS folded,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+windows AS (SELECT r, unnest(range(len(w) - 2)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS three FROM docs),
+twice AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, three) > 1),
+repeated AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, range(3) t(k) GROUP BY r),
+counted AS (
+  SELECT d.*, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words,
+    [length(regexp_replace(text, c, '', 'g')) for c in ['[^\p{Ll}]', '[^\p{Lu}]', '[^\p{Lt}\p{Lm}\p{Lo}]', '[^\p{Nd}]', '[^.,;:!?''"()-]', '[^#*$%&|<>]']] AS six
+  FROM docs d LEFT JOIN repeated p USING (r)),
+based AS (
+  SELECT *, list_append(six, word_chars - list_sum(six)::BIGINT) AS classes, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+  FROM counted),
+tokens AS (SELECT r, lang, unnest(folded) AS word FROM docs),
+languages AS (SELECT lang, count(*) AS f FROM tokens GROUP BY lang ORDER BY f DESC, lang LIMIT 64),
+frequent AS (SELECT lang, word, count(*) AS f FROM tokens SEMI JOIN languages USING (lang) GROUP BY ALL),
+common AS (SELECT lang AS ref, word, row_number() OVER (PARTITION BY lang ORDER BY f DESC, word) AS slot FROM frequent QUALIFY slot <= 50),
+covered AS (SELECT t.r, c.ref, count(*) AS f FROM tokens t JOIN common c USING (word) GROUP BY ALL),
+chosen AS (
+  SELECT d.r, l.lang AS ref FROM docs d, languages l LEFT JOIN covered c ON c.r = d.r AND c.ref = l.lang
+  QUALIFY row_number() OVER (PARTITION BY d.r ORDER BY (l.lang = d.lang)::INT DESC, coalesce(c.f, 0) DESC, l.lang) = 1),
+places AS (SELECT ref, slot FROM common UNION SELECT lang, 51 FROM languages),
+hits AS (SELECT t.r, coalesce(c.slot, 51) AS slot, count(*) AS f FROM tokens t JOIN chosen x USING (r) LEFT JOIN common c ON c.ref = x.ref AND c.word = t.word GROUP BY ALL),
+shares AS (
+  SELECT x.r, x.ref, 'w' AS kind, p.slot, coalesce(h.f, 0) / len(d.folded) AS p, len(d.folded) >= 50 AS judged
+  FROM chosen x JOIN docs d USING (r) JOIN places p ON p.ref = x.ref LEFT JOIN hits h ON h.r = x.r AND h.slot = p.slot WHERE len(d.folded) > 0
+  UNION ALL SELECT x.r, x.ref, 'c', unnest(range(7)), unnest(b.classes) / b.word_chars, b.word_chars >= 600 FROM chosen x JOIN based b USING (r) WHERE b.word_chars > 0),
+different AS (SELECT min(b.r) AS r FROM based b JOIN chosen x USING (r) WHERE NOT base_failed GROUP BY x.ref, b.text),
+first AS (SELECT ref, kind, slot, avg(p) AS q FROM shares SEMI JOIN different USING (r) GROUP BY ALL),
+far AS (
+  SELECT s.r, s.kind, round(sqrt(greatest(sum(
+    (CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2), 0)), 9) AS distance
+  FROM shares s JOIN first f USING (ref, kind, slot) WHERE judged GROUP BY ALL),
+passing AS (SELECT r FROM different WHERE r NOT IN (SELECT r FROM far WHERE distance > CASE kind WHEN 'c' THEN 0.2 ELSE 0.42 END)),
+second AS (SELECT ref, kind, slot, avg(p) AS q FROM shares SEMI JOIN passing USING (r) GROUP BY ALL),
+judged AS (
+  SELECT s.r, s.kind, round(sqrt(greatest(sum(
+    (CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2), 0)), 9) AS distance
+  FROM shares s JOIN second f USING (ref, kind, slot) WHERE judged GROUP BY ALL)
+SELECT b.doc_id, b.n_words, b.word_chars, b.n_symbols, b.n_dup_lines, b.n_repeat_words, b.base_failed,
+  NOT b.base_failed AND coalesce(c.distance, 0) <= 0.2 AND coalesce(w.distance, 0) <= 0.42 AS kept, c.distance AS class_distance, w.distance AS word_distance
+FROM based b LEFT JOIN judged c ON c.r = b.r AND c.kind = 'c' LEFT JOIN judged w ON w.r = b.r AND w.kind = 'w'
+"""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import (
     bestfit_packing,
     chroma_media,
+    divergence_rules,
     feistel_shards,
     jaccard_join,
     lineblock_html,
@@ -43,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chroma_media": chroma_media.media_query,
         "op9_lineblock_html": lineblock_html.pages_query,
         "op10_simhash": simhash.fingerprint_query,
+        "op11_divergence_rules": divergence_rules.rules_query,
         "op12_lyndon_runs": lyndon_runs.runs_query,
         "op13_phrase_collocations": phrase_collocations.collocations_query,
         "jaccard_links": jaccard_join.links_query,
@@ -54,6 +56,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_preference_chat": preference_chat.ORACLE_SQL,
         "op5_jaccard_join": jaccard_join.ORACLE_SQL,
+        "op11_divergence_rules": divergence_rules.ORACLE_SQL,
         "op12_lyndon_runs": lyndon_runs.ORACLE_SQL,
         "op13_phrase_collocations": phrase_collocations.ORACLE_SQL,
     }
