@@ -92,16 +92,19 @@ def duplicate_lines(text: str) -> int:
 def common_words(docs: DataFrame, languages: int = LANGUAGES, most: int = COMMON_WORDS) -> dict[str, list[str]]:
     """The most frequent words of the ``languages`` languages with most words; A-Z are lower-cased.
 
-    All documents count. Ties go to the first in byte order. At most
-    ``languages`` times ``most`` words reach the driver.
+    All documents count. Ties go to the first in byte order. Documents without a
+    language are one, ``und``, only where there is no other. At most ``languages``
+    times ``most`` words reach the driver.
     """
     counts = common.stored(phrase_counts(common.plain(docs, "text", "lang"), 1), "words")
-    largest = counts.where("phrase = ''").orderBy(F.desc("f"), "lang").limit(languages).select("lang")
+    largest = counts.where("phrase = ''").orderBy(F.col("lang") == UNKNOWN, F.desc("f"), "lang").limit(languages).select("lang")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("f"), "phrase"))
     best = counts.where("phrase <> ''").join(F.broadcast(largest), "lang").withColumn("rank", rank).where(F.col("rank") <= most)
     found: dict[str, list[str]] = {}
     for row in best.orderBy("lang", "rank").collect():
         found.setdefault(row["lang"], []).append(row["phrase"])
+    if len(found) > 1:
+        found.pop(UNKNOWN, None)
     return found
 
 
@@ -233,7 +236,7 @@ based AS (
   SELECT *, list_append(six, word_chars - list_sum(six)::BIGINT) AS classes, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
   FROM counted),
 tokens AS (SELECT r, lang, unnest(folded) AS word FROM docs),
-languages AS (SELECT lang, count(*) AS f FROM tokens GROUP BY lang ORDER BY f DESC, lang LIMIT 64),
+languages AS (SELECT lang, count(*) AS f FROM tokens WHERE lang <> 'und' OR NOT EXISTS (SELECT 1 FROM tokens WHERE lang <> 'und') GROUP BY lang ORDER BY f DESC, lang LIMIT 64),
 frequent AS (SELECT lang, word, count(*) AS f FROM tokens SEMI JOIN languages USING (lang) GROUP BY ALL),
 common AS (SELECT lang AS ref, word, row_number() OVER (PARTITION BY lang ORDER BY f DESC, word) AS slot FROM frequent QUALIFY slot <= 50),
 covered AS (SELECT t.r, c.ref, count(*) AS f FROM tokens t JOIN common c USING (word) GROUP BY ALL),

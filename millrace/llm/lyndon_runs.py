@@ -152,7 +152,7 @@ def _laid(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def find_runs(texts: list[np.ndarray], min_length: int = MIN_LENGTH, min_exponent: int = MIN_EXPONENT) -> list[np.ndarray]:
-    """The runs of each text of numbered words: rows (start, length, period), by start and period.
+    """The runs of each text of words numbered from 1: rows (start, length, period), by start and period.
 
     ``min_exponent`` is 2 at least. No words give no runs.
     """
