@@ -58,25 +58,14 @@ LED_ROWS = 2000
 #: in no more bits than their sets in members.
 BIT_LANES = ["bits0", "bits1", "bits2", "bits3"]
 
-_GOLDEN, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_GOLDEN, _MIX, _MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SEEDS = [np.uint64(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF) for k in range(64)]
 
 
 #: Bytes hashed at once; longer texts are cut between two words.
 BLOCK_BYTES = 1 << 20
-_BASE = 0x9E3779B97F4A7C13
 _LENGTH = np.uint64(0x8CB92BA72F3D8DD7)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]  # of the base and of its inverse modulo 2^64
-
-
-def _powers_to(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        n = max(n, min(2 * n, BLOCK_BYTES))
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers
+_EIGHT = 8  # bytes of a word that are hashed as one number
 
 
 def _is_blank(data: np.ndarray) -> np.ndarray:
@@ -84,26 +73,35 @@ def _is_blank(data: np.ndarray) -> np.ndarray:
     return (data == 0x20) | ((data - np.uint8(0x09)) < 5)
 
 
+def _scattered(x: np.ndarray) -> np.ndarray:
+    """A one-to-one map of 64-bit numbers in which every bit depends on every bit."""
+    x = (x ^ (x >> np.uint64(30))) * _MIX
+    x = (x ^ (x >> np.uint64(27))) * _MIX_B
+    return x ^ (x >> np.uint64(31))
+
+
 def _word_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of each run of bytes that are no ASCII white space: the bytes, weighed by powers of a base that
-    start at each word anew, and the run's length."""
+    """A hash of each run of bytes that are no ASCII white space.
+
+    Every eight bytes of a word, with their place in it, are scattered by a map
+    that is not linear, and these numbers are added: words of up to eight bytes
+    and one length have different hashes, others share one by chance only.
+    """
     gap = np.ones(len(data) + 2, dtype=bool)
     gap[1:-1] = _is_blank(data)
     turns = np.flatnonzero(gap[1:] != gap[:-1])
     begin, end = turns[0::2], turns[1::2]
-    powers, inverse = _powers_to(len(data) + 1)
-    weighed = data.astype(np.uint64)
-    weighed *= powers[: len(data)]
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(weighed, out=sums[1:])
-    h = sums[end]
-    h -= sums[begin]
-    h *= inverse[begin]
-    h += (end - begin).astype(np.uint64) * _LENGTH
-    h ^= h >> np.uint64(32)
-    h *= _MIX
-    h ^= h >> np.uint64(29)
-    return h
+    if not len(begin):
+        return np.empty(0, np.uint64)
+    parts = (end - begin + _EIGHT - 1) // _EIGHT
+    first = np.cumsum(parts) - parts
+    place = np.arange(int(parts.sum())) - np.repeat(first, parts)
+    at = np.repeat(begin, parts) + place * _EIGHT
+    used = np.minimum(np.repeat(end, parts) - at, _EIGHT).astype(np.uint64)
+    eights = np.ndarray(len(data), "<u8", np.concatenate([data, np.zeros(_EIGHT, np.uint8)]).tobytes(), strides=(1,))
+    number = eights[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - used * np.uint64(8)))
+    h = np.add.reduceat(_scattered(number + place.astype(np.uint64) * _GOLDEN), first)
+    return _scattered(h + (end - begin).astype(np.uint64) * _LENGTH)
 
 
 def _words(text: bytes) -> np.ndarray:
@@ -590,7 +588,8 @@ def classes_of(docs: DataFrame, width: int = 5, up: int = 80, down: int = 100) -
     Null and empty texts, and texts without words, have no shingles and link
     with nothing; rows with a null id link with nothing and have a null class.
     Repeated rows, and rows that share an id, share one class. An empty table
-    gives no rows. Extra columns are not looked at.
+    gives no rows. Extra columns are not looked at. Ids are whole numbers; one
+    that is not raises.
     """
     spark = docs.sparkSession
     common.bound_batches(spark)
@@ -619,6 +618,7 @@ def classes_of(docs: DataFrame, width: int = 5, up: int = 80, down: int = 100) -
 
 
 def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all documents by three-word shingles at 0.9; nulls and ties as in ``classes_of``."""
     return classes_of(common.table(spark, sf_dir, "documents"), width=3, up=90, down=100)
 
 
@@ -635,13 +635,19 @@ def one_row_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with words and a column ``key`` (see text_key), one row for each text.
 
     The row kept has the smallest id, null ids last, and then the smallest digest
-    of all columns. Only rows whose text is repeated are moved.
+    of all columns. Only rows whose text is repeated are moved. Texts are told
+    apart by a key and a digest: where different ones share a key, each has a
+    key of its digest instead.
     """
     rest = [F.col(f"`{c}`").cast("string") for c in docs.columns]
     rows = docs.where(has_words(F.col("text"))).withColumn("key", text_key(F.col("text")))
-    repeated = small(common.stored(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "repeated"))
-    first = Window.partitionBy("key").orderBy(F.col("doc_id").asc_nulls_last(), F.sha2(F.to_json(F.array(*rest)), 256))
-    firsts = rows.join(repeated, "key", "left_semi").withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    digest, torn = common.fresh(rows, "digest", "torn")
+    marked = rows.withColumn(digest, F.sha2("text", 256))
+    groups = marked.groupBy("key").agg(F.count("*").alias("c"), (F.min(digest) < F.max(digest)).alias(torn))
+    repeated = small(common.stored(groups.where("c > 1").select("key", torn), "repeated"))
+    first = Window.partitionBy("key", digest).orderBy(F.col("doc_id").asc_nulls_last(), F.sha2(F.to_json(F.array(*rest)), 256))
+    firsts = marked.join(repeated, "key").withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    firsts = firsts.withColumn("key", F.when(F.col(torn), F.xxhash64(digest)).otherwise(F.col("key")))
     firsts = common.stored(firsts.select(*rows.columns), "firsts")
     return rows.join(repeated, "key", "left_anti").select(*rows.columns).union(firsts)
 

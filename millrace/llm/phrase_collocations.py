@@ -64,7 +64,7 @@ def _phrase_rows(texts: pa.Array, langs: pa.Array, max_n: int) -> Iterator[pa.Re
     code = spelled.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     totals = np.bincount(lang_of, minlength=len(lang.dictionary))
     some = np.flatnonzero(totals)
-    yield _keyed(lang.dictionary.take(pa.array(some)), [pa.array([""] * len(some))], totals[some])
+    yield _keyed(lang.dictionary.take(pa.array(some)), [pa.array([""] * len(some), pa.string())], totals[some])
     for at in range(0, len(code), BLOCK_WORDS):
         stop = min(at + BLOCK_WORDS, len(code))
         number = lang_of[at:stop]  # of the phrase that begins at each word, grown word by word

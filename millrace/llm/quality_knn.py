@@ -132,7 +132,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, label: str =
             packed = [term_weights(t).astype("<f2").tobytes() for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "terms": packed})
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(vectors, "doc_id long, label double, terms binary")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    chosen = chosen.withColumn("doc_id", F.col("doc_id").cast(id_type))
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(vectors, f"doc_id {id_type}, label double, terms binary")
     held = texts.orderBy(F.xxhash64("doc_id"), "doc_id", "terms").limit(rows).collect()
     terms = np.array([np.frombuffer(r["terms"], dtype="<f2") for r in held], dtype=np.float32).reshape(len(held), SHAPE_TERMS + WORD_TERMS)
     return Voter(terms, np.array([float(r["label"] >= 0.5) for r in held]))

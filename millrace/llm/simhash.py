@@ -201,7 +201,8 @@ def with_next(frame: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 def compare_with_edits(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of each text, of its edit (the last half taken from the next text's start)
-    and their likenesses. Repeated rows are compared each; an empty table gives no rows."""
+    and their likenesses. A null text is empty, null ids come last; repeated rows are compared each; texts of any
+    length are read whole; an empty table gives no rows. Ids are whole numbers."""
     common.bound_batches(frame.sparkSession)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,16 +220,18 @@ def compare_with_edits(frame: DataFrame, key: str = "doc_id", text: str = "text"
                     edited_mark = fingerprint(edited)
                     out.append((old_id, len(old), edited, old_mark.tobytes().hex(), edited_mark.tobytes().hex(), likeness(old_mark, edited_mark), likeness(old_mark, mark)))
                 held = None if copy else (row_id, body, mark, bucket)
-            frame_out = pd.DataFrame(out, columns=["id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-            frame_out["id"] = frame_out["id"].astype("Int64")
-            yield frame_out
+            yield pd.DataFrame(out, columns=["id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    return with_next(frame, key, text).mapInPandas(
-        walk, "id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    # ids travel as text: a null among them must not turn the others into floating-point numbers
+    rows = with_next(frame, key, text)
+    done = rows.withColumn("id", F.col("id").cast("string")).mapInPandas(
+        walk, "id string, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
+    return done.withColumn("id", F.col("id").cast("long"))
 
 
 def fingerprint_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``compare_with_edits`` of all documents, the edited texts as digests."""
     docs = common.plain(common.table(spark, sf_dir, "documents"), "doc_id", "text")
     return compare_with_edits(docs).select(
         F.col("id").alias("doc_id"),

@@ -308,3 +308,28 @@ def test_edited_digest(spark, tmp_path):
     spark.createDataFrame([(1, "ab"), (2, "cdé")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r["edited_sha256"] for r in simhash.fingerprint_query(spark, str(tmp_path)).collect()}
     assert got == {2: hashlib.sha256("cda".encode()).hexdigest(), 1: hashlib.sha256("ac".encode()).hexdigest()}
+
+
+def test_words_that_powers_modulo_two_to_the_64_cannot_tell_apart(spark):
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.classes_of(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    words = [a, b, a[:8], a[:8] + "\0", "\0", "\0\0", a[:16], a[8:16] + a[:8], "x"]
+    assert len(set(jaccard_join._words(" ".join(words).encode()).tolist())) == len(words)
+
+
+def test_ids_beyond_doubles_beside_nulls(spark):
+    rows = [(9007199254740993, "one two three four"), (None, "five six"), (9007199254740995, None), (9007199254740994, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = [r["id"] for r in simhash.compare_with_edits(docs).collect()]
+    assert sorted(i for i in got if i is not None) == sorted(i for i, _ in rows if i is not None) and got.count(None) == 1
+
+
+def test_different_texts_with_one_key_are_both_kept(spark, monkeypatch):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "pqr")
+    docs = spark.createDataFrame([(1, a), (2, a), (3, b), (4, c + " z"), (5, c + " y")], "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "text_key", lambda text: F.length(text).cast("long"))
+    got = jaccard_join.one_of_each_class(spark, docs, "")
+    assert sorted(r["doc_id"] for r in got.collect()) == [1, 3, 4]

@@ -1,6 +1,8 @@
 """The pipeline's stages against what the operators' plain versions say."""
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from millrace.llm import quality_knn, rank_langid
 from test_duplicates import classes
 
@@ -52,3 +54,13 @@ def test_one_row_of_each_class_stays(spark):
     got = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, docs, "")
     assert got.columns == docs.columns
     assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[4], rows[6], *rows[7:]], key=str)
+
+
+def test_stages_take_ids_that_are_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    docs = docs.withColumn("doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string")))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, SF).cache()
+        assert after.columns == docs.columns and after.count()
+        docs = after
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).select("doc_id").distinct().count() == docs.count()
