@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from .functions import numbers, text
 from .operators import catalog, etl, evaluation, history, ordering, quiz, selection, validation, vision
-from .streaming import history_stream
+from .streaming import history_stream, quiz_runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -693,6 +693,43 @@ def live_scores(spark, sf_dir):
     return history_stream.live_scores(e)
 
 
+@query("""
+WITH RECURSIVE e AS (
+  SELECT user_id, epoch_us(ts) AS moment, CASE event_type WHEN 'signup' THEN 'start' WHEN 'view' THEN 'shown' WHEN 'purchase' THEN 'next' ELSE 'answer' END AS kind,
+    CASE WHEN value > 90 THEN event_id % 3 END AS named, value > 15 AS is_right, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, max(epoch_us(ts)) OVER () AS now
+  FROM events),
+s AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS rn, 0 AS run, false AS playing, 0 AS q, false AS shown, false AS answered, 0 AS answers, 0 AS rights, 0::BIGINT AS started, 0::BIGINT AS seen,
+    NULL::VARCHAR AS status, 0 AS e_run, 0 AS e_answers, 0 AS e_rights, 0::BIGINT AS e_started, 0::BIGINT AS ended FROM e
+  UNION ALL
+  SELECT user_id, rn, run + begins::INT, begins OR (live AND NOT done), CASE WHEN begins THEN 0 WHEN moves AND NOT done THEN q + 1 ELSE q END,
+    NOT begins AND NOT moves AND (shown OR (fits AND kind = 'shown')), NOT begins AND NOT moves AND (answered OR counts),
+    CASE WHEN begins THEN 0 ELSE answers + counts::INT END, CASE WHEN begins THEN 0 ELSE rights + (counts AND is_right)::INT END,
+    CASE WHEN begins THEN moment ELSE started END, CASE WHEN begins OR live THEN moment ELSE seen END,
+    CASE WHEN stale THEN 'expired' WHEN done THEN 'complete' END, run, answers + counts::INT, rights + (counts AND is_right)::INT, started, CASE WHEN stale THEN seen + 172800000000 ELSE moment END
+  FROM (
+    SELECT *, moves AND q = 2 AS done FROM (
+      SELECT *, fits AND ((kind = 'next' AND answered) OR (counts AND is_right)) AS moves FROM (
+        SELECT *, fits AND kind = 'answer' AND shown AND NOT answered AS counts FROM (
+          SELECT *, live AND (named IS NULL OR named = q) AS fits, NOT live AND kind = 'start' AS begins FROM (
+            SELECT *, playing AND NOT stale AS live FROM (
+              SELECT s.* EXCLUDE (rn, status, e_run, e_answers, e_rights, e_started, ended), e.* EXCLUDE (user_id), playing AND e.moment - seen > 172800000000 AS stale
+              FROM s JOIN e ON e.user_id = s.user_id AND e.rn = s.rn + 1))))))),
+last AS (SELECT *, (SELECT max(now) FROM e) AS now FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) = 1),
+ended AS (
+  SELECT user_id, e_run AS run, status, e_answers AS answered, e_rights AS correct, e_started AS started, ended FROM s WHERE status IS NOT NULL
+  UNION ALL SELECT user_id, run, 'expired', answers, rights, started, seen + 172800000000 FROM last WHERE playing AND now - seen > 172800000000)
+SELECT user_id::VARCHAR AS player, run, status, answered, correct, correct * 5 AS score, epoch_us(make_timestamp(started)) AS started_us, epoch_us(make_timestamp(ended)) AS ended_us FROM ended""")
+def quiz_runs_of_players(spark, sf_dir):
+    """Runs of three questions: the state machine of the stream, over the whole table of events."""
+    kind = F.element_at(F.create_map(*[F.lit(x) for x in ("signup", "start", "view", "shown", "click", "answer", "error", "answer", "purchase", "next")]), F.col("event_type"))
+    e = table(spark, sf_dir, "events").select(
+        "ts", F.col("user_id").alias("player"), F.col("event_id").alias("ordinal"), kind.alias("kind"), F.when(F.col("value") > 90, F.col("event_id") % 3).alias("question"), (F.col("value") > 15).alias("correct")
+    )
+    runs = quiz_runs.runs_of(e, questions=3, idle_seconds=172_800)
+    return runs.select("player", "run", "status", "answered", "correct", "score", F.unix_micros("started").alias("started_us"), F.unix_micros("ended").alias("ended_us"))
+
+
 @query("""
 SELECT l_orderkey, l_linenumber, l_partkey, floor((l_partkey % 300) * (960 / 480.0::DOUBLE) + 0.5)::INT AS x, floor((l_suppkey % 200) * (540 / 360.0::DOUBLE) + 0.5)::INT AS y,
   floor(l_quantity * (960 / 480.0::DOUBLE) + 0.5)::INT AS width, floor(l_quantity * (540 / 360.0::DOUBLE) + 0.5)::INT AS height FROM lineitem""")
