@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import config_value
 from ..operators.history import RECORD_SCHEMA, valid_records
 from ..operators.validation import InvalidData, require_valid
+from . import commit_log
 
 _SOURCES = "sources ARRAY<STRUCT<id:STRING,title:STRING,url:STRING,checkedAt:STRING>>"
 _ENTRY = "ARRAY<STRUCT<name:STRING,reason:STRING,description:STRING>>"
@@ -90,37 +91,48 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return valid_records(rows)
 
 
-def replace_tables(tables: dict[str, DataFrame], root: str) -> str:
-    """Write all tables of one version beside each other, then name the version: readers see all or none.
+def replace_tables(tables: dict[str, DataFrame], root: str, after: int | None = None) -> str:
+    """Write all tables of one version beside each other, then publish the version: readers see all or none.
 
-    Returns the version. Names are only ever added, with a number above the last;
-    the highest number is in force, so a writer that fails leaves the old version.
+    Returns the version. The highest number is in force, and no two writers have
+    one number: a writer that fails leaves the old version. With ``after``, the
+    version is published only if that number is still the last (``last_version``),
+    else the error is ``commit_log.Conflict``.
     """
     spark = next(iter(tables.values())).sparkSession
     version = uuid.uuid4().hex
     for name, frame in tables.items():
         frame.write.parquet(f"{root}/{version}/{name}")
-    last = _versions(spark, root).agg(F.max("number")).head()[0] or 0
-    spark.createDataFrame([(last + 1, version)], "number long, version string").coalesce(1).write.mode("append").parquet(f"{root}/versions")
+    if after is None:
+        commit_log.publish_next(spark, root, {"version": version})
+    else:
+        commit_log.publish(spark, root, {"version": version}, after)
     return version
 
 
-def _versions(spark: SparkSession, root: str) -> DataFrame:
-    """The named versions; none before the first."""
+def last_version(spark: SparkSession, root: str) -> int:
+    """The number in force, for a conditional ``replace_tables``; 0 before the first."""
+    return commit_log.last_number(spark, root)
+
+
+def _earlier_version(spark: SparkSession, root: str) -> str | None:
+    """The version in force of a folder that was written before there was a log."""
     try:
-        return spark.read.parquet(f"{root}/versions")
+        newest = spark.read.parquet(f"{root}/versions").agg(F.max(F.struct("number", "version")).alias("v")).head()["v"]
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], "number long, version string")
+        return None
+    return newest and newest["version"]
 
 
 def current_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A table of the version in force; without one that is an error."""
-    newest = _versions(spark, root).agg(F.max(F.struct("number", "version")).alias("v")).head()["v"]
-    if newest is None:
+    number = last_version(spark, root)
+    version = commit_log.read(spark, root, number)["version"] if number else _earlier_version(spark, root)
+    if version is None:
         raise InvalidData(f"no version is named in {root}")
-    return spark.read.parquet(f"{root}/{newest['version']}/{name}")
+    return spark.read.parquet(f"{root}/{version}/{name}")
 
 
 def clear_tables(spark: SparkSession, root: str, schemas: dict[str, str]) -> str:
