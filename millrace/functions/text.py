@@ -117,10 +117,19 @@ def _compatible(text: str) -> str:
     return unicodedata.normalize("NFKC", text)
 
 
+def _spelled(x: Column, left_out: str) -> Column:
+    folded = F.when(x.rlike(r"[^\x00-\x7f]"), _mapped(x, _compatible)).otherwise(x)
+    return F.lower(F.regexp_replace(F.coalesce(folded, F.lit("")), left_out, ""))
+
+
 def ocr_line(x: Column) -> Column:
     """Compatibility form without white space, punctuation and symbols, lower case; ASCII stays in the JVM."""
-    folded = F.when(x.rlike(r"[^\x00-\x7f]"), _mapped(x, _compatible)).otherwise(x)
-    return F.lower(F.regexp_replace(F.coalesce(folded, F.lit("")), r"(?U)[\s\p{P}\p{S}]+", ""))
+    return _spelled(x, r"(?U)[\s\p{P}\p{S}]+")
+
+
+def ocr_lines(x: Column) -> Column:
+    """``ocr_line`` of each line of a text; the line ends stay."""
+    return _spelled(x, r"(?U)[[\s\p{P}\p{S}]&&[^\n]]+")
 
 
 def grid_position(x: Column, rows: int = 4, columns: int = 7) -> Column:

@@ -47,6 +47,12 @@ def feed_order() -> list[Column]:
     return [F.col("quality") != "S", F.col("sortID").try_cast("double").desc_nulls_last(), F.collate("id", "UNICODE")]
 
 
+def feed_keys() -> list[Column]:
+    """``feed_order`` as ascending keys."""
+    number = F.col("sortID").try_cast("double")
+    return [F.col("quality") != "S", number.isNull(), -number, F.collate("id", "UNICODE")]
+
+
 def base_roster(units: DataFrame) -> DataFrame:
     return units.where((F.col("showHeroTag") == "1") & t.matches(F.col("id"), r"^1[0-9]+$"))
 

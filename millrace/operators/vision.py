@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate, product, repeat, takewhile
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import box_overlap, fixed_decimals, round_half_up
 from ..functions.text import ocr_line
-from .ordering import first_per_key, top_per_key
+from . import matching
+from .matching import nearest_descriptors  # noqa: F401  (callers look for it here)
+from .ordering import top_per_key
 
 #: Cells, coefficients and limits of a signature and of decisions.
 READ_CHARS = 10_000  # of a recognised text
@@ -24,6 +26,8 @@ HASH_WEIGHT, COLOUR_WEIGHT = 0.78, 0.22
 LEAST_WIDTH, LEAST_SHARE, GROWTH, ASPECT_STEP, OWN_ASPECT = 48, 0.07, 1.32, 1.13, 0.16
 STRIDE, REACH, LEAST_STRIDE = 0.26, 0.13, 10
 LEADERS = 12
+#: Least scores of a match: found by keypoints; by signature, with and without keypoints available.
+THRESHOLDS = (0.89, 0.96, 0.88)
 SIGNATURE = "hash bigint, color array<float>, deviation double"
 
 
@@ -46,26 +50,42 @@ def integral_images(pixels: np.ndarray) -> np.ndarray:
     return out
 
 
-def _cell_means(sums: np.ndarray, x: int, y: int, width: int, height: int, cells: int, channels: slice) -> np.ndarray:
+def _cell_means(sums: np.ndarray, boxes: np.ndarray, cells: int, channels: slice) -> np.ndarray:
+    """Means over the cells of boxes (x, y, width, height): boxes x cells x cells x channels."""
+    x, y, width, height = (boxes[:, k, None] for k in range(4))
     k = np.arange(cells)
-    y0, x0 = k * height // cells, k * width // cells
-    y1, x1 = np.maximum((k + 1) * height // cells, y0 + 1), np.maximum((k + 1) * width // cells, x0 + 1)
-    at = lambda r, c: sums[(y + r)[:, None], (x + c)[None, :], channels]
-    total = at(y1, x1) - at(y0, x1) - at(y1, x0) + at(y0, x0)
-    return total / ((y1 - y0)[:, None] * (x1 - x0)[None, :])[..., None]
+
+    def edges(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begin = k * side // cells
+        return begin, np.maximum((k + 1) * side // cells, begin + 1)
+
+    (y0, y1), (x0, x1) = edges(height), edges(width)
+    corner = lambda r, c: sums[(y + r)[:, :, None], (x + c)[:, None, :], channels]
+    total = corner(y1, x1) - corner(y0, x1) - corner(y1, x0) + corner(y0, x0)
+    return total / ((y1 - y0)[:, :, None] * (x1 - x0)[:, None, :])[..., None]
 
 
 _ANGLES = np.cos((2 * np.arange(GRID)[None, :] + 1) * np.arange(COEFFICIENTS)[:, None] * np.pi / (2 * GRID))
 
 
+def box_signatures(sums: np.ndarray, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each box: 63 flags (cosine coefficients above their median, the constant one left out), 4x4 colour means, luma deviation."""
+    luma = _cell_means(sums, boxes, GRID, slice(3, 4))[..., 0]
+    coefficients = (_ANGLES @ luma @ _ANGLES.T).reshape(len(boxes), -1)[:, 1:]
+    median = np.sort(coefficients, axis=1)[:, coefficients.shape[1] // 2, None]
+    colour = _cell_means(sums, boxes, COLOUR_GRID, slice(0, 3)).astype(np.float32).reshape(len(boxes), -1)
+    spread = (luma**2).mean(axis=(1, 2)) - luma.mean(axis=(1, 2)) ** 2
+    return coefficients > median, colour, np.sqrt(np.maximum(0.0, spread))
+
+
+def _number(flags: np.ndarray) -> int:
+    return sum(1 << int(i) for i in np.flatnonzero(flags))
+
+
 def signature(sums: np.ndarray, x: int, y: int, width: int, height: int) -> tuple[int, list[float], float]:
-    """63 bits (cosine coefficients above their median, the constant one left out), 4x4 colour means, luma deviation."""
-    luma = _cell_means(sums, x, y, width, height, GRID, slice(3, 4))[..., 0]
-    coefficients = (_ANGLES @ luma @ _ANGLES.T).ravel()[1:]
-    median = np.sort(coefficients)[len(coefficients) // 2]
-    bits = sum(1 << int(i) for i in np.flatnonzero(coefficients > median))
-    colour = _cell_means(sums, x, y, width, height, COLOUR_GRID, slice(0, 3)).astype(np.float32).ravel()
-    return bits, colour.tolist(), float(np.sqrt(max(0.0, (luma**2).mean() - luma.mean() ** 2)))
+    """The signature of one box: its flags as a number, colours and deviation."""
+    flags, colour, deviation = box_signatures(sums, np.array([[x, y, width, height]]))
+    return _number(flags[0]), colour[0].tolist(), float(deviation[0])
 
 
 def _decoded(width: int, height: int, rgba: bytes, most: int) -> np.ndarray | None:
@@ -114,16 +134,21 @@ def similarity(a: Column, b: Column) -> Column:
     return HASH_WEIGHT * (1 - hamming(a["hash"], b["hash"]) / 63.0) + COLOUR_WEIGHT * colour
 
 
-def may_reach(a: Column, b: Column, floor: Column | float) -> Column:
-    """An upper bound: even equal colours would leave the pair at or below the floor if this is false."""
-    return HASH_WEIGHT * (1 - hamming(a["hash"], b["hash"]) / 63.0) + COLOUR_WEIGHT > floor
+def reach(floor: float) -> int:
+    """The most hash bits in which a pair of equal colours may differ and still score above the floor; -1: none."""
+    return max((d for d in range(matching.HASH_BITS + 1) if HASH_WEIGHT * (1 - d / 63.0) + COLOUR_WEIGHT > floor), default=-1)
 
 
 def compare(candidates: DataFrame, references: DataFrame, floor: float = LEAST_SCORE) -> DataFrame:
-    """Scores above the floor of candidate windows and references in the same aspect bucket."""
-    c, r = candidates.alias("c"), references.alias("r")
-    near = c.join(r, F.col("c.aspect_bucket") == F.col("r.aspect_bucket")).where(may_reach(F.col("c.signature"), F.col("r.signature"), floor))
-    return near.withColumn("score", similarity(F.col("c.signature"), F.col("r.signature"))).where(F.col("score") > floor)
+    """Scores above the floor of candidate windows and references in the same aspect bucket.
+
+    The floor is a Hamming radius of the hashes, so only pairs that an index of
+    hash blocks lets meet are scored. The reference's columns are named ``ref_...``.
+    """
+    asked = candidates.withColumn("q_hash", F.col("signature.hash"))
+    known = references.select(F.col("aspect_bucket"), *[F.col(c).alias(f"ref_{c}") for c in references.columns if c != "aspect_bucket"], F.col("signature.hash").alias("hash"))
+    near = matching.within_hamming(asked, known, reach(floor), ["aspect_bucket"]).drop("q_hash", "hash", "distance")
+    return near.withColumn("score", similarity(F.col("signature"), F.col("ref_signature"))).where(F.col("score") > floor)
 
 
 def best_windows(windows: DataFrame, references: DataFrame) -> DataFrame:
@@ -146,14 +171,27 @@ def best_windows(windows: DataFrame, references: DataFrame) -> DataFrame:
 
 
 def window_sizes(width: int, height: int, aspect: float) -> list[tuple[int, int]]:
-    """Window sizes of one aspect: about a third wider each time, the widest always included, no size twice."""
-    half_up = lambda v: int(np.floor(v + 0.5))
-    least = max(LEAST_WIDTH, int(np.ceil(LEAST_WIDTH * aspect)), int(min(width, height) * LEAST_SHARE))
+    """Window sizes (width, height) of one aspect, ascending and each once.
+
+    Widths grow by ``GROWTH``, rounded at each step, from the least useful width
+    to the widest that fits; the widest is always there, and the whole image's
+    width where the image has nearly that aspect itself.
+    """
     widest = int(min(width, height * aspect))
-    series = takewhile(widest.__ge__, accumulate(repeat(GROWTH), lambda w, by: max(w + 1, half_up(w * by)), initial=least))
-    wanted = [*series, *[widest] * (widest >= least), *[width] * (abs(width / height - aspect) < OWN_ASPECT * aspect)]
-    sizes = ((w, min(height, half_up(w / aspect))) for w in (min(width, w) for w in wanted))
-    return list(dict.fromkeys(s for s in sizes if min(s) >= 16))
+    smallest = max(LEAST_WIDTH, int(np.ceil(LEAST_WIDTH * aspect)), int(min(width, height) * LEAST_SHARE))
+    widths = set()
+    if smallest <= widest:
+        widths.add(widest)
+        w = smallest
+        while w < widest:
+            widths.add(w)
+            w = max(w + 1, int(w * GROWTH + 0.5))
+    if abs(width / height - aspect) < OWN_ASPECT * aspect:
+        widths.add(width)
+    w = np.array(sorted(widths), np.int64)
+    h = np.minimum(height, np.floor(w / aspect + 0.5).astype(np.int64))
+    kept = (w >= 16) & (h >= 16)
+    return [(int(a), int(b)) for a, b in zip(w[kept], h[kept], strict=True)]
 
 
 def _starts(span: int, window: int, step: int) -> list[int]:
@@ -180,11 +218,12 @@ def scan_windows(images: DataFrame, aspect_buckets: list[int], most: int = 960)
                 for bucket in aspect_buckets:
                     for ww, wh in window_sizes(w, h, ASPECT_STEP**bucket):
                         step = lambda side: max(LEAST_STRIDE, int(side * STRIDE + 0.5))
-                        for y, x in product(_starts(h, wh, step(wh)), _starts(w, ww, step(ww))):
-                            seen += 1
-                            s = signature(sums, x, y, ww, wh)
-                            if s[2] >= LEAST_DEVIATION:
-                                out.append((row.id, bucket, seen, x, y, ww, wh, {"hash": s[0], "color": s[1], "deviation": s[2]}))
+                        boxes = np.array([(x, y, ww, wh) for y, x in product(_starts(h, wh, step(wh)), _starts(w, ww, step(ww)))])
+                        flags, colours, deviation = box_signatures(sums, boxes)
+                        for k in np.flatnonzero(deviation >= LEAST_DEVIATION):
+                            made = {"hash": _number(flags[k]), "color": colours[k].tolist(), "deviation": float(deviation[k])}
+                            out.append((row.id, bucket, seen + int(k) + 1, *(int(v) for v in boxes[k]), made))
+                        seen += len(boxes)
                 yield pd.DataFrame(out, columns=["id", "aspect_bucket", "seen", "x", "y", "width", "height", "signature"])
 
     return images.select("id", "width", "height", "rgba").where("width IS NOT NULL AND height IS NOT NULL").mapInPandas(
@@ -197,31 +236,47 @@ def leaders(best: DataFrame, count: int = LEADERS) -> DataFrame:
     return top_per_key(best, ["case", "aspect_bucket"], count, F.desc("score"), "ordinal").drop("rank")
 
 
-def _likeness(bits: int, colour: np.ndarray, reference) -> float:
-    apart = np.abs(np.asarray(colour, np.float64) - np.asarray(reference["color"], np.float64)).sum()
-    return HASH_WEIGHT * (1 - (bits ^ int(reference["hash"])).bit_count() / 63.0) + COLOUR_WEIGHT * (1 - apart / (len(colour) * 255.0))
+def _likeness(flags: np.ndarray, colours: np.ndarray, reference) -> np.ndarray:
+    """``similarity`` of the signatures of boxes to one reference's."""
+    wanted = np.array([int(reference["hash"]) >> k & 1 for k in range(matching.HASH_BITS)], bool)
+    apart = np.abs(colours.astype(np.float64) - np.asarray(reference["color"], np.float64)).sum(axis=1)
+    return HASH_WEIGHT * (1 - (flags != wanted).sum(axis=1) / 63.0) + COLOUR_WEIGHT * (1 - apart / (colours.shape[1] * 255.0))
+
+
+def _places(at: int, by: int, step: int, side: int, span: int) -> np.ndarray:
+    """Starts within ``by`` of ``at`` that keep a window of ``side`` inside ``span``."""
+    return np.arange(max(0, at - by), min(span - side, at + by) + 1, step)
+
+
+def _moved(box: tuple, by: tuple[int, int], step: int, shape: tuple[int, int]) -> np.ndarray:
+    """The box moved to all places within reach, row by row."""
+    x, y, width, height = box
+    ys, xs = np.meshgrid(_places(y, by[1], step, height, shape[0]), _places(x, by[0], step, width, shape[1]), indexing="ij")
+    return np.stack([xs.ravel(), ys.ravel(), np.full(xs.size, width), np.full(xs.size, height)], axis=1)
 
 
 def _settle(sums: np.ndarray, lead, shape: tuple[int, int]) -> tuple[float, tuple[int, int, int, int]]:
-    """A reference's best window near its coarse one: moved by up to ``REACH``, then resized and moved by a few pixels."""
-    (h, w), box = shape, lead["box"]
-    best, at = lead["score"], (box["x"], box["y"], box["width"], box["height"])
+    """A reference's best window near its coarse one: moved by up to ``REACH``, then resized and moved by a few pixels.
+
+    All boxes of a step are judged at once; the first of the best ones stays, and none that is not better than before.
+    """
+    best, at = lead["score"], tuple(lead["box"][k] for k in ("x", "y", "width", "height"))
 
-    def look(boxes) -> None:
+    def better(boxes: np.ndarray) -> None:
         nonlocal best, at
-        for x, y, ww, wh in boxes:
-            bits, colour, deviation = signature(sums, x, y, ww, wh)
-            if deviation >= LEAST_DEVIATION and (score := _likeness(bits, colour, lead["signature"])) > best:
-                best, at = score, (x, y, ww, wh)
-
-    x0, y0, ww, wh = at
-    dx, dy = int(ww * REACH + 0.5), int(wh * REACH + 0.5)
-    look((x, y, ww, wh) for y, x in product(range(max(0, y0 - dy), min(h - wh, y0 + dy) + 1, 2), range(max(0, x0 - dx), min(w - ww, x0 + dx) + 1, 2)))
-    x0, y0, ww, _ = at
-    sizes = [(v, int(v / lead["aspect"] + 0.5)) for v in range(max(16, ww - 3), min(w, ww + 3) + 1)]
-    for v, u in sizes:
-        if 16 <= u <= h:
-            look((x, y, v, u) for y, x in product(range(max(0, y0 - 2), min(h - u, y0 + 2) + 1), range(max(0, x0 - 2), min(w - v, x0 + 2) + 1)))
+        if len(boxes):
+            flags, colours, deviation = box_signatures(sums, boxes)
+            scores = np.where(deviation >= LEAST_DEVIATION, _likeness(flags, colours, lead["signature"]), -np.inf)
+            top = int(np.argmax(scores))
+            if scores[top] > best:
+                best, at = float(scores[top]), tuple(int(v) for v in boxes[top])
+
+    better(_moved(at, (int(at[2] * REACH + 0.5), int(at[3] * REACH + 0.5)), 2, shape))
+    x, y, width, _ = at
+    sizes = [(w, int(w / lead["aspect"] + 0.5)) for w in range(max(16, width - 3), min(shape[1], width + 3) + 1)]
+    moved = [_moved((x, y, w, h), (2, 2), 1, shape) for w, h in sizes if 16 <= h <= shape[0]]
+    if moved:
+        better(np.concatenate(moved))
     return best, at
 
 
@@ -267,19 +322,6 @@ def enough_inliers(inliers: Column, matches: Column, least: int = 12, share: flo
     return F.coalesce((inliers >= least) & (F.try_divide(inliers, matches) >= share), F.lit(False))
 
 
-def nearest_descriptors(queries: DataFrame, train: DataFrame, most: int = 70, ratio: float = 0.75) -> DataFrame:
-    """Nearest descriptors (group, q|t, words array<bigint>): near enough, clearly nearer than the second, each train row used once.
-
-    Descriptors of one image pair (``group``) meet; the first query in order keeps a train row.
-    """
-    pairs = queries.join(train, "group")
-    distance = F.aggregate(F.zip_with("q_words", "t_words", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, n: acc + n)
-    two = top_per_key(pairs.withColumn("distance", distance).select("group", "q", "t", "distance"), ["group", "q"], 2, "distance", "t")
-    two = two.groupBy("group", "q").agg(F.array_sort(F.collect_list(F.struct("distance", "t"))).alias("near"))
-    good = two.where((F.size("near") == 2) & (F.col("near")[0]["distance"] <= most) & (F.col("near")[0]["distance"] < ratio * F.col("near")[1]["distance"]))
-    return first_per_key(good.select("group", "q", F.col("near")[0]["t"].alias("t"), F.col("near")[0]["distance"].alias("distance")), ["group", "t"], "q")
-
-
 def best_per_hero(candidates: DataFrame, keys: list[str], *carried: str) -> DataFrame:
     """Best variant of each hero in input order: a raw score replaces the kept one if above its value rounded to four places.
 
@@ -300,7 +342,7 @@ def best_per_hero(candidates: DataFrame, keys: list[str], *carried: str) -> Data
 
 def decide(
     best: DataFrame, keys: list[str], orb_available: bool = False, floor: float = LEAST_SCORE,
-    thresholds: tuple[float, float, float] = (0.89, 0.96, 0.88), margins: tuple[float, float] = (0.045, 0.06), most: int = 3,
+    thresholds: tuple[float, float, float] = THRESHOLDS, margins: tuple[float, float] = (0.045, 0.06), most: int = 3,
 ) -> DataFrame:
     """Status and up to ``most`` matches of each case from its heroes' best scores (heroId, score, method; ordinal, box, evidence).
 
@@ -328,10 +370,10 @@ def decide(
     )
 
 
-def tie_eligible(status: Column, matches: Column, orb_available: Column, most_gap: float = 0.045) -> Column:
-    """Two strong candidates too close to call."""
+def tie_eligible(status: Column, matches: Column, orb_available: Column, most_gap: float = 0.045, thresholds: tuple[float, float, float] = THRESHOLDS) -> Column:
+    """Two strong candidates too close to call; ``thresholds`` as in ``decide``."""
     first, second = F.try_element_at(matches, F.lit(1)), F.try_element_at(matches, F.lit(2))
-    threshold = lambda m: F.when(m["evidence"]["method"] == "orb", 0.89).when(F.coalesce(orb_available, F.lit(True)), 0.96).otherwise(0.88)
+    threshold = lambda m: F.when(m["evidence"]["method"] == "orb", thresholds[0]).when(F.coalesce(orb_available, F.lit(True)), thresholds[1]).otherwise(thresholds[2])
     return F.coalesce(
         (status == "uncertain")
         & (first["score"] >= second["score"])

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.numbers import aspect_bucket
 from ..functions.text import image_mime, listed
 from ..operators import catalog as cat
-from ..operators import etl, evaluation, validation, vision
+from ..operators import etl, evaluation, ordering, validation, vision
 from ..sources import archives, feeds
 
 
@@ -58,7 +57,7 @@ def content_version(catalog: DataFrame, lineups: DataFrame) -> DataFrame:
 
 def recommendation_slots(lineups: DataFrame, roster: DataFrame, items: DataFrame) -> DataFrame:
     """Parsed lineups in feed order to the slots the greedy selection takes; units outside the roster are left out."""
-    ranked = lineups.withColumn("lineup_rank", F.row_number().over(Window.orderBy(*etl.feed_order())))  # a few hundred lineups
+    ranked = ordering.numbered(lineups, etl.feed_keys(), into="lineup_rank").withColumn("lineup_rank", F.col("lineup_rank").cast("int"))
     slots = ranked.select("lineup_rank", F.col("d.line_name").alias("line_name"), F.posexplode("d.hero_location").alias("slot", "s")).where("s.chess_type = 'hero'")
     slots = slots.select("lineup_rank", "slot", F.col("s.hero_id").alias("hero"), "line_name", F.slice(listed(F.col("s.equipment_id")), 1, 3).alias("item_ids"))
     known = name_map(items, "key", "name")

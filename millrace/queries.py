@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import numbers, text
-from .operators import catalog, etl, evaluation, history, ordering, quiz, selection, validation, vision
+from .operators import catalog, etl, evaluation, history, matching, ordering, quiz, selection, validation, vision
 from .streaming import history_stream, quiz_runs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,7 +81,7 @@ def evaluation_summary(spark, sf_dir):
 SELECT event_type, quantile_disc(value, 0.5) AS median, quantile_disc(value, 0.95) AS p95, max(value) AS most FROM events GROUP BY event_type""")
 def nearest_rank_percentiles(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(evaluation.nearest_rank("value", 0.5).alias("median"), evaluation.nearest_rank("value", 0.95).alias("p95"), F.max("value").alias("most"))
+    return evaluation.nearest_ranks(e, ["event_type"], "value", {"median": 0.5, "p95": 0.95, "most": 1.0})
 
 
 @query("""
@@ -555,8 +555,8 @@ def hamming_neighbours(spark, sf_dir):
     """The three nearest hashes of the same label for every twentieth vector, against all vectors."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", vision.median_hash(F.col("embedding")).alias("hash"))
     q = e.where("vec_id % 20 = 0").select("vec_id", "label", F.col("hash").alias("q_hash"))
-    near = q.join(e.select(F.col("vec_id").alias("near"), "label", "hash"), "label").where("vec_id <> near").withColumn("distance", vision.hamming(F.col("q_hash"), F.col("hash")))
-    return ordering.top_per_key(near, "vec_id", 3, "distance", "near").select("vec_id", "near", F.col("distance").cast("int").alias("distance"))
+    rows = e.select(F.col("vec_id").alias("near"), "label", "hash")
+    return matching.nearest_hashes(q, rows, 3, "near", "vec_id", ["label"]).select("vec_id", "near", "distance")
 
 
 @query(r"""
@@ -569,20 +569,21 @@ def named_lines(spark, sf_dir):
     return _named(table(spark, sf_dir, "documents").where("lang = 'en'"), table(spark, sf_dir, "benchmark"))
 
 
-@query()
+@query(r"""
+WITH lines AS (SELECT doc_id, regexp_replace(lower(unnest(string_split(text, chr(10)))), '[\s\p{P}\p{S}]+', '', 'g') AS line FROM documents),
+names AS (SELECT item_id, lower(regexp_extract(text, '[A-Za-z]{9,}')) AS name FROM benchmark),
+hits AS (SELECT DISTINCT doc_id, item_id FROM lines JOIN names ON name <> '' AND contains(line, name))
+SELECT doc_id, min(item_id) AS item_id FROM hits GROUP BY doc_id HAVING count(*) = 1""")
 def named_lines_all(spark, sf_dir):
     """Documents of any language in whose lines exactly one name stands."""
     return _named(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def _named(documents, benchmark):
-    """A name is one long word of a benchmark item. Lines and names meet in the name's first nine letters, the least a name has, and are then held against each other."""
-    lines = documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", text.ocr_line(F.col("line")).alias("line")).withColumn("at", F.xxhash64("line"))
-    names = benchmark.select("item_id", F.lower(F.regexp_extract("text", "[A-Za-z]{9,}", 0)).alias("name")).where("name <> ''").withColumn("gram", F.left("name", F.lit(9)))
-    grams = lines.select("doc_id", "at", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit("(?=([a-z]{9}))"), F.lit(1)))).alias("gram"))
-    met = grams.join(names, "gram").select("doc_id", "at", "item_id", "name").distinct()
-    hits = lines.join(met, ["doc_id", "at"]).where(F.contains("line", "name")).select("doc_id", "item_id").distinct()
-    return hits.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("item_id").alias("item_id")).where("n = 1").drop("n")
+    """A name is one long word of a benchmark item; all names are looked for in one walk along each text."""
+    names = benchmark.select(F.col("item_id").alias("name_id"), F.lower(F.regexp_extract("text", "[A-Za-z]{9,}", 0)).alias("name"))
+    hits = matching.names_in_lines(documents.select("doc_id", text.ocr_lines(F.col("text")).alias("text")), names).distinct()
+    return hits.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("name_id").alias("item_id")).where("n = 1").drop("n")
 
 
 @query("""
@@ -645,21 +646,14 @@ def lineups_of_each_hero(spark, sf_dir):
 SELECT o_orderkey::VARCHAR AS id, row_number() OVER (ORDER BY o_orderpriority <> '1-URGENT', o_custkey DESC, o_orderkey::VARCHAR) AS place
 FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus = 'O'""")
 def published_feed(spark, sf_dir):
-    """A feed's published lineups, numbered in feed order by a sort over ranges and the ranges' sizes."""
+    """A feed's published lineups, numbered in feed order."""
     o = table(spark, sf_dir, "orders")
     feed = o.select(
         F.col("o_orderkey").cast("string").alias("id"), F.when(F.col("o_orderpriority") == "1-URGENT", "S").when(F.col("o_orderpriority") == "2-HIGH", "A").otherwise("B").alias("quality"),
         F.col("o_custkey").cast("string").alias("sortID"), F.when(F.col("o_orderstatus") == "O", etl.PUBLISHED_STATUS).otherwise("0").alias("status"),
         F.lit(etl.PUBLISHED_MODE).alias("mode"), F.lit("e").alias("simulator_edition"), F.lit("s").alias("simulator_season"),
     )
-    kept = etl.published(feed, "e", "s")
-    grade = Window.partitionBy("quality", "sortID").orderBy(F.collate("id", "UNICODE"))
-    # numbers within one grade and sort number, and before it the sizes of all earlier ones
-    sizes = kept.groupBy("quality", "sortID").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("quality").orderBy(F.col("sortID").cast("double").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    first = sizes.where("quality = 'S'").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("s_rows"))
-    at = sizes.withColumn("before", before).crossJoin(F.broadcast(first)).withColumn("before", F.col("before") + F.when(F.col("quality") == "S", 0).otherwise(F.col("s_rows")))
-    return kept.withColumn("nth", F.row_number().over(grade)).join(at.select("quality", "sortID", "before"), ["quality", "sortID"]).select("id", (F.col("before") + F.col("nth")).alias("place"))
+    return ordering.numbered(etl.published(feed, "e", "s"), etl.feed_keys()).select("id", "place")
 
 
 @query("""SELECT 'line ' || l_orderkey || ' ' || l_partkey AS path, 'key occurs more than once' AS reason FROM (SELECT l_orderkey, l_partkey FROM lineitem GROUP BY ALL HAVING count(*) > 1)
@@ -739,10 +733,13 @@ def scaled_boxes(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", to.alias("b")).select("l_orderkey", "l_linenumber", "l_partkey", "b.*")
 
 
-@query("""SELECT (i // 7 + 1)::INT AS "row", (i % 7 + 1)::INT AS "column", (i % 7) * 40.0::DOUBLE + CASE WHEN (i // 7 + 1) % 2 = 0 THEN 20 ELSE 0 END AS "left", (i // 7) * 40.0::DOUBLE AS top FROM range(28) t(i)""")
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey, "row", "column", ("column" - 1) * 40.0::DOUBLE + CASE WHEN "row" % 2 = 0 THEN 20 ELSE 0 END AS "left", ("row" - 1) * 40.0::DOUBLE AS top
+FROM (SELECT l_orderkey, l_linenumber, l_partkey, (l_partkey % 4 + 1)::INT AS "row", (l_suppkey % 7 + 1)::INT AS "column" FROM lineitem)""")
 def cell_offsets(spark, sf_dir):
-    """Places of the 28 cells; even rows are shifted."""
-    return selection.cell_offsets(selection.board(spark), 40.0)
+    """The places of order lines that stand on cells of the board; even rows are shifted."""
+    cell = ((F.col("l_partkey") % 4 + 1).cast("int").alias("row"), (F.col("l_suppkey") % 7 + 1).cast("int").alias("column"))
+    return selection.cell_offsets(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", *cell), 40.0)
 
 
 @query("""
