@@ -1,12 +1,16 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one for each block of the page. A line's weight is
-its text length; links and marked boilerplate weigh nothing. Sums of weights
-over a sliding window of lines rise at a surge point, where running text
-begins, and fall to nothing at a dive point; the text between them is kept.
-An article tag raises the weight of its lines, so that any of them is a surge
-and short paragraphs are not lost. Where the articles hold most of a page's
-text, the other lines weigh less, so that only long ones among them count.
+its length, more for a line in a paragraph, heading or list, less for loose text
+where a page has enough of the other; lines that are mostly links weigh nothing.
+Sums of weights over a sliding window of lines rise at a surge point, where
+running text begins, and fall to nothing at a dive point; the text between them
+is kept. This is one law for all pages, whether they name an article or not.
+
+Menus, footers, forms and hidden parts are no lines. Nor is an element whose
+class or id says that it is boilerplate, unless it holds the page's own text: its
+main part, its largest article, its headline, or, where it names none of these,
+most of its text.
 """
 
 from __future__ import annotations
@@ -24,14 +28,16 @@ from . import common
 #: Lines in a window, and the weight in it that makes a surge.
 WINDOW_LINES = 3
 SURGE_CHARS = 86
-#: What a line outside the articles weighs less, where these hold most of the text.
-OUTSIDE_LESS = SURGE_CHARS // 2
+#: What a line in a paragraph, heading or list weighs more: a window of short ones is running text too.
+ROLE_CHARS = 24
+#: What loose text weighs less on pages that have at least as much text in such elements.
+LOOSE_LESS = SURGE_CHARS // 2
 #: Above this share of link text a line weighs nothing.
 LINK_SHARE = 0.5
 
 _SKIPPED = frozenset("head nav footer aside form noscript template button select textarea iframe object svg canvas audio video dialog menu".split())
-_MAIN = frozenset(("article", "main"))
 _NEVER = frozenset("html body article main".split())
+_ROLE_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th figcaption caption summary".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -40,14 +46,14 @@ _BLOCKS = frozenset(
 #: Words of a class or id that mark boilerplate.
 _WORDS = frozenset(
     "ad ads advert advertisement adverts sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal "
-    "newsletter subscribe subscription signup sidebar side widget widgets related recommended recommendations menu nav navbar navigation "
+    "newsletter subscribe subscription signup sidebar widget widgets related recommended recommendations menu nav navbar navigation "
     "breadcrumb breadcrumbs pagination pager toolbar share sharing social footer copyright masthead topbar header comment comments respond "
     "reply replies disqus discussion reactions search login".split()
 )
 #: Words that may stand beside such a word in a class or id; any other tells of a subject (social-science).
 _LAYOUT = frozenset(
     "site page main top bottom left right item items box wrap wrapper container content section block area list inner outer bar panel unit slot links link form "
-    "thread user users reader readers author posts articles stories story more latest popular email mail google native tag tags has is no with col row grid fixed sticky small large primary secondary global post article entry blog news the by on the my js".split()
+    "thread user users reader readers author posts articles stories story more latest popular email mail google native tag tags col row grid fixed sticky small large primary secondary global post article entry blog news my js".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 #: A start of one of these ends an open element of the same kind.
@@ -64,65 +70,57 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*
 _WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+|\d+")
 
 
-def _boilerplate(tag: str, attributes: str, in_main: bool) -> bool:
+def _attributes(text: str) -> list[tuple[str, str]]:
+    if not text or "=" not in text and "hidden" not in text:
+        return []
+    return [(name.lower(), a or b or c) for name, a, b, c in _ATTRIBUTE.findall(text)]
+
+
+def _never_shown(tag: str, attributes: list[tuple[str, str]]) -> bool:
+    """Tags and attributes that say themselves that this is no part of the text."""
     if tag in _NEVER and tag != "article":
         return False
-    if tag in _SKIPPED or (tag == "header" and not in_main):
+    return tag in _SKIPPED or any(
+        name == "hidden"
+        or (name == "aria-hidden" and value.lower() == "true")
+        or (name == "style" and "display:none" in value.replace(" ", "").lower())
+        or (name == "role" and value.lower() in _ROLES)
+        for name, value in attributes
+    )
+
+
+def _says_boilerplate(tag: str, attributes: list[tuple[str, str]]) -> bool:
+    """A page's header, or an element whose class or id has words of boilerplate and none of another subject."""
+    if tag == "header":
         return True
-    if not attributes or "=" not in attributes and "hidden" not in attributes:
+    if tag in _NEVER and tag != "article":
         return False
-    for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), a or b or c
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-        if name == "role" and value.lower() in _ROLES:
-            return True
-        if name in ("class", "id"):
-            # an article's other words tell of its subject or layout (category-social, has-sidebar)
-            for token in value.split():
-                words = [w.lower() for w in _WORD.findall(token)]
-                if tag == "article":
-                    words = words[:1]
-                if any(w in _WORDS for w in words) and all(w in _WORDS or w in _LAYOUT or len(w) < 3 or w.isdigit() for w in words):
-                    return True
+    for name, value in attributes:
+        for token in value.split() if name in ("class", "id") else ():
+            words = [w.lower() for w in _WORD.findall(token)]
+            if tag == "article":
+                words = words[:1]  # its other words tell of its subject or layout (category-social, has-sidebar)
+            if any(w in _WORDS for w in words) and all(w in _WORDS or w in _LAYOUT or len(w) < 3 or w.isdigit() for w in words):
+                return True
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """Each block's text, its weight, and whether it stands in a marked article."""
-    lines: list[tuple[str, int, bool]] = []
-    stack: list[str] = []
-    skipping, main_depth, links = -1, 0, 0
-    parts: list[str] = []
-    linked = 0
+_TEXT, _OPEN, _CLOSE, _BREAK = range(4)
 
-    def flush() -> None:
-        nonlocal linked
-        if parts:
-            text = " ".join("".join(parts).split())
-            if text:
-                lines.append((text, 0 if linked > LINK_SHARE * len(text) else len(text), main_depth > 0))
-            parts.clear()
-        linked = 0
 
-    def pop_to(depth: int) -> None:
-        nonlocal skipping, main_depth, links
-        for tag in stack[depth:]:
-            main_depth -= tag in _MAIN
-            links -= tag == "a"
-        del stack[depth:]
-        if skipping >= len(stack):
-            skipping = -1
+def _events(page: str) -> list[tuple]:
+    """A page as texts, opened and closed elements (tag, attributes, place) and ends of blocks."""
+    out: list[tuple] = []
+    stack: list[tuple[str, int]] = []
 
     def take(text: str) -> None:
-        nonlocal linked
-        if skipping < 0 and text:
-            text = html.unescape(text) if "&" in text else text
-            parts.append(text)
-            if links > 0:
-                linked += len(text)
+        if text:
+            out.append((_TEXT, html.unescape(text) if "&" in text else text))
+
+    def pop_to(depth: int) -> None:
+        for tag, place in reversed(stack[depth:]):
+            out.append((_CLOSE, tag, place))
+        del stack[depth:]
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -133,39 +131,108 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             continue
         tag = tag.lower()
         if tag in _BLOCKS:
-            flush()
+            out.append((_BREAK,))
         elif tag == "br":
             take(" ")
         if tag in _VOID:
             continue
+        names = [t for t, _ in stack]
         if m[2]:
-            if tag in stack:
-                pop_to(len(stack) - 1 - stack[::-1].index(tag))
+            if tag in names:
+                pop_to(len(stack) - 1 - names[::-1].index(tag))
             continue
-        if tag in _BLOCKS and stack and stack[-1] == "p":
+        if tag in _BLOCKS and names and names[-1] == "p":
             pop_to(len(stack) - 1)
-        if tag in _SIBLINGS and stack and stack[-1] in _SIBLINGS[tag].split():
+        if tag in _SIBLINGS and stack and stack[-1][0] in _SIBLINGS[tag].split():
             pop_to(len(stack) - 1)
-        if tag == "body" and "head" in stack:
-            pop_to(stack.index("head"))
+        if tag == "body" and "head" in names:
+            pop_to(names.index("head"))
         if m[4].endswith("/") and tag not in _BLOCKS:
             continue
-        if skipping < 0 and _boilerplate(tag, m[4], main_depth > 0):
-            flush()
-            skipping = len(stack)
-        stack.append(tag)
-        main_depth += tag in _MAIN
-        links += tag == "a"
+        stack.append((tag, m.start()))
+        out.append((_OPEN, tag, _attributes(m[4]), m.start()))
     take(page[at:])
-    flush()
+    out.append((_BREAK,))
+    pop_to(0)
+    return out
+
+
+def _left_out(events: list[tuple]) -> set[int]:
+    """The places of the elements that are no part of the text."""
+    gone: set[int] = set()
+    named: dict[int, str] = {}
+    opened: dict[int, tuple[int, int, int]] = {}  # where an element begins: event, characters and headlines before it
+    spans: dict[int, tuple[int, int, int, int]] = {}  # its first and last event, its characters and headlines
+    articles: list[int] = []
+    mains: list[int] = []
+    hidden = chars = headlines = 0
+    for k, event in enumerate(events):
+        if event[0] == _TEXT and not hidden:
+            chars += len(event[1])
+        elif event[0] == _OPEN:
+            _, tag, attributes, place = event
+            opened[place] = (k, chars, headlines)
+            if _never_shown(tag, attributes):
+                gone.add(place)
+                hidden += 1
+            elif _says_boilerplate(tag, attributes):
+                named[place] = tag
+            elif tag == "article":
+                articles.append(place)
+            elif tag == "main":
+                mains.append(place)
+            headlines += tag == "h1" and not hidden
+        elif event[0] == _CLOSE:
+            _, tag, place = event
+            first, before, heads = opened[place]
+            spans[place] = (first, k, chars - before, headlines - heads)
+            hidden -= place in gone
+    within = lambda inner, outer: outer[0] < inner[0] and inner[1] < outer[1]
+    core = spans[mains[0]] if mains else max((spans[a] for a in articles), key=lambda s: (s[2], -s[0]), default=None)
+    for place, tag in named.items():
+        own = spans[place]
+        in_core = core is not None and within(own, core)
+        holds = within(core, own) if core else 2 * own[2] > chars
+        headline = own[3] > 0 and (in_core or own[3] == headlines)
+        if not (holds or headline or (in_core and tag in ("header", "h1", "h2", "h3", "h4", "h5", "h6"))):
+            gone.add(place)
+    return gone
+
+
+def lines_of(page: str) -> list[tuple[str, int, bool]]:
+    """Each block's text, how many of its characters are links, and whether it stands in an element of running text."""
+    events = _events(page)
+    gone = _left_out(events)
+    lines: list[tuple[str, int, bool]] = []
+    parts: list[str] = []
+    skipping = links = roles = linked = 0
+    for event in events:
+        if event[0] == _TEXT:
+            if not skipping:
+                parts.append(event[1])
+                linked += len(event[1]) if links else 0
+            continue
+        # an element's block ends with it, and where a left out part begins
+        if parts and (event[0] == _BREAK or event[-1] in gone):
+            text = " ".join("".join(parts).split())
+            if text:
+                lines.append((text, linked, roles > 0))
+            parts, linked = [], 0
+        if event[0] != _BREAK:
+            step = 1 if event[0] == _OPEN else -1
+            skipping += step * (event[-1] in gone)
+            links += step * (event[1] == "a")
+            roles += step * (event[1] in _ROLE_TAGS)
     return lines
 
 
 def main_text(page: str | None) -> str:
+    """The main text of one page; null, empty and textless pages have none, broken markup is read as far as it goes."""
     lines = lines_of(page or "")
-    marked = sum(len(text) for text, _, in_main in lines if in_main)
-    less = OUTSIDE_LESS if marked >= sum(weight for _, weight, in_main in lines if not in_main) else 0
-    weights = [len(text) + SURGE_CHARS if in_main else max(0, weight - less) for text, weight, in_main in lines]
+    sized = [(len(text) if linked <= LINK_SHARE * len(text) else 0, role) for text, linked, role in lines]
+    loose = sum(n for n, role in sized if not role)
+    less = LOOSE_LESS if sum(n for n, role in sized if role) >= loose else 0
+    weights = [0 if not n else n + ROLE_CHARS if role else max(0, n - less) for n, role in sized]
     window = [sum(weights[i : i + WINDOW_LINES]) for i in range(len(weights))] + [0]
     surge = min(SURGE_CHARS, max(window) - 1)  # on a page with little text, its fullest window
     kept: list[str] = []

@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 import zlib
@@ -291,6 +292,61 @@ def test_pages_operator(spark):
     assert lineblock_html.extract(rows.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize(
+    ("page", "more"),
+    [
+        ('<div id="page" class="has-sidebar"><article>{}</article></div>', []),
+        ('<div class="content-with-sidebar">{}</div>', []),
+        ('<div class="sidebar-page"><div class=sidebar><p>no</p></div><article>{}</article></div>', []),
+        ('<article><div class="entry-header"><h1>T</h1></div>{}</article>', ["T"]),
+        ('<div class="page-header"><h1>T</h1></div><div>{}</div>', ["T"]),
+        ('<article><h2 class="section-header">T</h2>{}</article>', ["T"]),
+        ('<article><p class="side-by-side">T</p>{}</article>', ["T"]),
+        ('<header><h1>Site</h1></header><main><h1>T</h1>{}</main>', ["T"]),
+        ('<div class=widget>{}</div><footer><p>no</p></footer>', []),
+    ],
+)
+def test_a_name_never_drops_the_text(page, more):
+    body = paragraphs("body")
+    assert lineblock_html.main_text(page.format(marked_up(body))) == "\n".join([*more, *body])
+
+
+def plain_article(page):
+    """What stands in the generated pages' article, by another way: cut it out, drop what is not shown, split at tags."""
+    import html
+    import re
+
+    start = page.index("<article>") + len("<article>")
+    end = page.find("</article>", start)
+    body = re.sub(r"(?s)<!--.*?-->|<(script|style|form|aside|nav|footer)\b.*?</\1>", "", page[start : end if end >= 0 else len(page)])
+    body = re.sub(r'(?s)<(div|section|ul)[^>]*class="[^"]*"[^>]*>.*?</\1>', "", body)
+    body = re.sub(r"<(?:br|/?[bi]|/?em|/?strong|/?a|/?span)\b[^>]*>", lambda m: " " if m[0].startswith("<br") else "", body)
+    lines = (" ".join(html.unescape(x).split()) for x in re.split(r"<[a-zA-Z/][^>]*>", body))
+    return "\n".join(x for x in lines if x)
+
+
+def sample_pages():
+    return [r["html"] for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()]
+
+
+def test_pages_equal_a_plain_second_way():
+    pages = [p for p in sample_pages() if "<article>" in p]
+    assert len(pages) > 200
+    assert [lineblock_html.main_text(p) for p in pages] == [plain_article(p) for p in pages]
+
+
+def test_surge_and_window_decide_on_whole_pages(monkeypatch):
+    pages = sample_pages()
+    kept = [lineblock_html.main_text(p) for p in pages]
+    for name, value in (("SURGE_CHARS", 400), ("SURGE_CHARS", 100_000), ("WINDOW_LINES", 1)):
+        with monkeypatch.context() as m:
+            m.setattr(lineblock_html, name, value)
+            assert sum(lineblock_html.main_text(p) != k for p, k in zip(pages, kept, strict=True)) > 0.05 * len(pages)
+    # the article's tag plays no part: as a plain element it has the same text
+    as_div = [lineblock_html.main_text(p.replace("<article>", "<div>").replace("</article>", "</div>")) for p in pages]
+    assert sum(a == b for a, b in zip(as_div, kept, strict=True)) > 0.98 * len(pages)
+
+
 # --- recordings
 
 
