@@ -113,6 +113,42 @@ def test_near_copies_never_share_a_bin(spark, tmp_path):
     assert len(got) == len(rows) and len(bins) == len(set(bins)) == 6
 
 
+def test_classes_among_a_groups_texts_equal_brute_force():
+    from test_duplicates import sets_of
+
+    rng = random.Random(11)
+    base = [[rng.choice("abcdefgh") for _ in range(60)] for _ in range(5)]
+    texts = [None, "", " ", "one two", "one two"]
+    for words in base:
+        for _ in range(8):
+            new = list(words)
+            for _ in range(rng.randrange(4)):
+                new[rng.randrange(len(new))] = "x"
+            texts.append(" ".join(new[rng.randrange(6) :]))
+    rng.shuffle(texts)
+    sets = sets_of(texts, 5)
+    parent = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and sets[j] and len(sets[i] & sets[j]) * 100 >= 80 * len(sets[i] | sets[j]):
+                old, new = parent[i], parent[j]
+                parent = [new if x == old else x for x in parent]
+    got = bestfit_packing.near_classes(texts)
+    assert all((got[i] < 0) == (not sets[i]) for i in range(len(texts)))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and sets[j]]
+    assert all((got[i] == got[j]) == (parent[i] == parent[j]) for i, j in pairs) and len(set(got)) < 40
+    assert bestfit_packing.near_classes([]).tolist() == []
+
+
+def test_repeated_rows_and_ids_are_dealt_to_all_groups(spark):
+    rows = [(None, f"text {i} of many words", "s") for i in range(120)] + [(5, "the same row again", "t")] * 120 + [(6, None, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"size": F.lit(4), "cluster": F.lit(None).cast("string")})
+    got = bestfit_packing.packed(docs, group_items=20, text="text").collect()
+    groups = [r["bin_id"] >> 32 for r in got]
+    assert len(got) == len(rows) and len(set(groups)) > 8 and max(groups.count(g) for g in set(groups)) < 60
+    assert bestfit_packing.packed(docs.limit(0), text="text").collect() == []
+
+
 # --- sharding
 
 
