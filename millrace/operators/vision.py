@@ -127,11 +127,15 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def colour_nearness(a: Column, b: Column) -> Column:
+    """1 for equal colour means, 0 for the farthest."""
+    apart = F.aggregate(F.zip_with(a["color"], b["color"], lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda acc, d: acc + d)
+    return 1 - apart / (F.size(a["color"]) * 255.0)
+
+
 def similarity(a: Column, b: Column) -> Column:
     """0.78 of equal hash bits and 0.22 of colour nearness."""
-    apart = F.aggregate(F.zip_with(a["color"], b["color"], lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda acc, d: acc + d)
-    colour = 1 - apart / (F.size(a["color"]) * 255.0)
-    return HASH_WEIGHT * (1 - hamming(a["hash"], b["hash"]) / 63.0) + COLOUR_WEIGHT * colour
+    return HASH_WEIGHT * (1 - hamming(a["hash"], b["hash"]) / 63.0) + COLOUR_WEIGHT * colour_nearness(a, b)
 
 
 def reach(floor: float) -> int:
@@ -165,8 +169,9 @@ def best_windows(windows: DataFrame, references: DataFrame) -> DataFrame:
     scored = open_ones.select(
         "case", "ordinal", "heroId", "variantId", F.col("r.aspect_bucket").alias("aspect_bucket"), F.col("r.aspect").alias("aspect"), F.col("r.signature").alias("signature"),
         "seen", F.struct("x", "y", F.col("c.width").alias("width"), F.col("c.height").alias("height")).alias("box"), similarity(F.col("c.signature"), F.col("r.signature")).alias("score"),
+        hamming(F.col("c.signature.hash"), F.col("r.signature.hash")).cast("int").alias("hashDistance"), colour_nearness(F.col("c.signature"), F.col("r.signature")).alias("colorScore"),
     )
-    kept = F.max_by(F.struct("heroId", "variantId", "aspect_bucket", "aspect", "signature", "box", "score"), F.struct("score", -F.col("seen")))
+    kept = F.max_by(F.struct("heroId", "variantId", "aspect_bucket", "aspect", "signature", "box", "score", "hashDistance", "colorScore"), F.struct("score", -F.col("seen")))
     return scored.where("score > 0").groupBy("case", "ordinal").agg(kept.alias("b")).select("case", "ordinal", "b.*")
 
 
@@ -236,11 +241,12 @@ def leaders(best: DataFrame, count: int = LEADERS) -> DataFrame:
     return top_per_key(best, ["case", "aspect_bucket"], count, F.desc("score"), "ordinal").drop("rank")
 
 
-def _likeness(flags: np.ndarray, colours: np.ndarray, reference) -> np.ndarray:
-    """``similarity`` of the signatures of boxes to one reference's."""
+def _likeness(flags: np.ndarray, colours: np.ndarray, reference) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``similarity`` of the signatures of boxes to one reference's, the hash bits that differ and the colour nearness."""
     wanted = np.array([int(reference["hash"]) >> k & 1 for k in range(matching.HASH_BITS)], bool)
     apart = np.abs(colours.astype(np.float64) - np.asarray(reference["color"], np.float64)).sum(axis=1)
-    return HASH_WEIGHT * (1 - (flags != wanted).sum(axis=1) / 63.0) + COLOUR_WEIGHT * (1 - apart / (colours.shape[1] * 255.0))
+    bits, near = (flags != wanted).sum(axis=1), 1 - apart / (colours.shape[1] * 255.0)
+    return HASH_WEIGHT * (1 - bits / 63.0) + COLOUR_WEIGHT * near, bits, near
 
 
 def _places(at: int, by: int, step: int, side: int, span: int) -> np.ndarray:
@@ -255,21 +261,25 @@ def _moved(box: tuple, by: tuple[int, int], step: int, shape: tuple[int, int]) -
     return np.stack([xs.ravel(), ys.ravel(), np.full(xs.size, width), np.full(xs.size, height)], axis=1)
 
 
-def _settle(sums: np.ndarray, lead, shape: tuple[int, int]) -> tuple[float, tuple[int, int, int, int]]:
+def _settle(sums: np.ndarray, lead, shape: tuple[int, int]) -> tuple[float, tuple[int, int, int, int], int, float]:
     """A reference's best window near its coarse one: moved by up to ``REACH``, then resized and moved by a few pixels.
 
     All boxes of a step are judged at once; the first of the best ones stays, and none that is not better than before.
+    Gives its score, box, differing hash bits and colour nearness.
     """
     best, at = lead["score"], tuple(lead["box"][k] for k in ("x", "y", "width", "height"))
+    bits, near = lead["hashDistance"], lead["colorScore"]
 
     def better(boxes: np.ndarray) -> None:
-        nonlocal best, at
+        nonlocal best, at, bits, near
         if len(boxes):
             flags, colours, deviation = box_signatures(sums, boxes)
-            scores = np.where(deviation >= LEAST_DEVIATION, _likeness(flags, colours, lead["signature"]), -np.inf)
+            scores, apart, alike = _likeness(flags, colours, lead["signature"])
+            scores = np.where(deviation >= LEAST_DEVIATION, scores, -np.inf)
             top = int(np.argmax(scores))
             if scores[top] > best:
                 best, at = float(scores[top]), tuple(int(v) for v in boxes[top])
+                bits, near = int(apart[top]), float(alike[top])
 
     better(_moved(at, (int(at[2] * REACH + 0.5), int(at[3] * REACH + 0.5)), 2, shape))
     x, y, width, _ = at
@@ -277,15 +287,15 @@ def _settle(sums: np.ndarray, lead, shape: tuple[int, int]) -> tuple[float, tupl
     moved = [_moved((x, y, w, h), (2, 2), 1, shape) for w, h in sizes if 16 <= h <= shape[0]]
     if moved:
         better(np.concatenate(moved))
-    return best, at
+    return best, at, bits, near
 
 
 def refine(images: DataFrame, led: DataFrame, most: int = 960) -> DataFrame:
-    """(case, ordinal, score, box) of the leaders after a search at the precision of pixels, so that a small card between strides is found.
+    """(case, ordinal, score, box, hashDistance, colorScore) of the leaders after a search at the precision of pixels, so that a small card between strides is found.
 
     An image meets at most ``LEADERS`` references for each aspect bucket.
     """
-    given = led.groupBy(F.col("case").alias("id")).agg(F.collect_list(F.struct("ordinal", "aspect", "signature", "box", "score")).alias("led"))
+    given = led.groupBy(F.col("case").alias("id")).agg(F.collect_list(F.struct("ordinal", "aspect", "signature", "box", "score", "hashDistance", "colorScore")).alias("led"))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -295,10 +305,10 @@ def refine(images: DataFrame, led: DataFrame, most: int = 960) -> DataFrame:
                     continue
                 sums = integral_images(pixels)
                 out = [(row.id, lead["ordinal"], *_settle(sums, lead, pixels.shape[:2])) for lead in row.led]
-                boxes = [dict(zip(("x", "y", "width", "height"), b, strict=True)) for *_, b in out]
-                yield pd.DataFrame({"case": [o[0] for o in out], "ordinal": [o[1] for o in out], "score": [o[2] for o in out], "box": boxes})
+                boxes = [dict(zip(("x", "y", "width", "height"), o[3], strict=True)) for o in out]
+                yield pd.DataFrame({"case": [o[0] for o in out], "ordinal": [o[1] for o in out], "score": [o[2] for o in out], "box": boxes, "hashDistance": [o[4] for o in out], "colorScore": [o[5] for o in out]})
 
-    return images.select("id", "width", "height", "rgba").join(given, "id").mapInPandas(search, "case string, ordinal long, score double, box struct<x:int,y:int,width:int,height:int>")
+    return images.select("id", "width", "height", "rgba").join(given, "id").mapInPandas(search, "case string, ordinal long, score double, box struct<x:int,y:int,width:int,height:int>, hashDistance int, colorScore double")
 
 
 def scaled_box(box: Column, from_width: Column, to_width: Column, from_height: Column, to_height: Column) -> Column:
@@ -344,14 +354,15 @@ def decide(
     best: DataFrame, keys: list[str], orb_available: bool = False, floor: float = LEAST_SCORE,
     thresholds: tuple[float, float, float] = THRESHOLDS, margins: tuple[float, float] = (0.045, 0.06), most: int = 3,
 ) -> DataFrame:
-    """Status and up to ``most`` matches of each case from its heroes' best scores (heroId, score, method; ordinal, box, evidence).
+    """Status and up to ``most`` matches of each case from its heroes' best scores (heroId, score, method; ordinal, box,
+    evidence, hashDistance, colorScore).
 
     Equal scores keep the order of ``ordinal``; without such a column the higher
     hero id is first. The margin is taken before the floor is applied: a runner-up
     below it still counts. Thresholds: of keypoints, with and without keypoints
     available; margins: usual, and where keypoints were available but not used.
     """
-    shown = F.struct("score", "heroId", "method", *[c for c in ("box", "evidence") if c in best.columns])
+    shown = F.struct("score", "heroId", "method", *[c for c in ("box", "evidence", "hashDistance", "colorScore") if c in best.columns])
     if "ordinal" in best.columns:
         in_order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("below"), "ordinal", shown.alias("m"))))
     else:
@@ -400,32 +411,52 @@ def ocr_box(matches: Column, least_overlap: float = 0.5) -> Column:
     return F.when(sound(a) & sound(b) & (box_overlap(a, b) >= least_overlap), crop)
 
 
+def clamped_confidence(x: Column) -> Column:
+    """A reader's confidence within 0 and 100; 0 for none and for what is no number."""
+    number = x.cast("double")
+    finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < F.lit(float("inf")))
+    return F.when(finite, F.greatest(F.lit(0.0), F.least(F.lit(100.0), number))).otherwise(0.0)
+
+
 def named_candidate(ocr: DataFrame, candidates: DataFrame, least_confidence: float = 35.0) -> DataFrame:
-    """(case, heroId, matched): the one hero whose whole name stands in a line; none or several give no row.
+    """(case, heroId, matched, confidence): the one hero whose whole name stands in a line; none or several give no row.
 
     ``ocr``: case, status, text, confidence. ``candidates``: case, heroId, name, aliases.
     """
-    sure = ocr.where((F.col("status") == "ok") & (F.col("confidence") >= least_confidence) & ~F.isnan(F.col("confidence").cast("double")))
-    lines = sure.select("case", F.explode(F.split(F.left(F.coalesce("text", F.lit("")), F.lit(READ_CHARS)), "\r?\n")).alias("line")).select("case", ocr_line(F.col("line")).alias("line")).where("line <> ''")
+    sure = ocr.withColumn("confidence", clamped_confidence(F.col("confidence"))).where((F.col("status") == "ok") & (F.col("confidence") >= least_confidence))
+    lines = sure.select("case", "confidence", F.explode(F.split(F.left(F.coalesce("text", F.lit("")), F.lit(READ_CHARS)), "\r?\n")).alias("line")).select("case", "confidence", ocr_line(F.col("line")).alias("line")).where("line <> ''")
     names = candidates.where("heroId IS NOT NULL").select(
         "case", "heroId", F.posexplode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("at", "name")
     )
     names = names.select("case", "heroId", "at", ocr_line(F.col("name")).alias("name")).where(F.char_length("name") >= 2)
-    hits = names.join(lines, "case").where(F.contains("line", "name")).groupBy("case", "heroId").agg(F.min_by("name", "at").alias("matched"))
-    only = hits.groupBy("case").agg(F.count("*").alias("n"), F.first("heroId").alias("heroId"), F.first("matched").alias("matched"))
+    hits = names.join(lines, "case").where(F.contains("line", "name")).groupBy("case", "heroId").agg(F.min_by("name", "at").alias("matched"), F.max("confidence").alias("confidence"))
+    only = hits.groupBy("case").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("heroId", "matched", "confidence")])
     return only.where("n = 1").drop("n")
 
 
 def break_ties(results: DataFrame, hits: DataFrame) -> DataFrame:
-    """Promote the named one of the first two candidates of an eligible case; scores stay as they are."""
-    joined = results.join(hits.select("case", F.col("heroId").alias("_hit")), "case", "left")
+    """Promote the named one of the first two candidates of an eligible case; scores stay as they are.
+
+    Every match gets ``visualScore``, ``visualRank`` and ``ocr`` (method, matchedName,
+    confidence): what it was by sight and what was read, for the promoted one, else null.
+    """
+    read = [F.col(c).cast(t).alias(f"_{c}") if c in hits.columns else F.lit(None).cast(t).alias(f"_{c}") for c, t in (("matched", "string"), ("confidence", "double"))]
+    joined = results.join(hits.select("case", F.col("heroId").alias("_hit"), *read), "case", "left")
     at = F.array_position(F.transform(F.slice("matches", 1, 2), lambda m: m["heroId"]), F.col("_hit"))
     promote = F.coalesce((at > 0) & tie_eligible(F.col("status"), F.col("matches"), F.col("orb_available")) & ocr_box(F.col("matches")).isNotNull(), F.lit(False))
+    reading = F.struct(F.lit("ocr_name").alias("method"), F.col("_matched").alias("matchedName"), F.col("_confidence").alias("confidence"))
+
+    def told(m: Column, i: Column) -> Column:
+        chosen = F.col("_go") & (i == at - 1)
+        rank = (i + 1).cast("int")
+        return m.withField("visualScore", F.when(chosen, m["score"])).withField("visualRank", F.when(chosen, rank)).withField("ocr", F.when(chosen, reading))
+
     moved = F.concat(F.array(F.element_at("matches", F.greatest(at, F.lit(1)).cast("int"))), F.filter("matches", lambda m, i: i != at - 1))
     return (
         joined.withColumn("_go", promote)
+        .withColumn("matches", F.transform("matches", told))
         .withColumn("matches", F.when(F.col("_go"), moved).otherwise(F.col("matches")))
         .withColumn("status", F.when(F.col("_go"), "match").otherwise(F.col("status")))
         .withColumn("reason", F.when(F.col("_go"), "ocr_tiebreak").otherwise(F.col("reason")))
-        .drop("_go", "_hit")
+        .drop("_go", "_hit", "_matched", "_confidence")
     )

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numbers import aspect_bucket
+from ..functions.numbers import aspect_bucket, fixed_decimals
 from ..functions.text import image_mime, listed
 from ..operators import catalog as cat
 from ..operators import etl, evaluation, ordering, validation, vision
+from ..session import once
 from ..sources import archives, feeds
 
 
@@ -75,7 +76,10 @@ def load_pack(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     if bad := entries.where("problem IS NOT NULL").head():
         raise validation.InvalidData(bad["problem"])
     schema = f"schemaVersion INT, seasonId STRING, patch STRING, catalog STRUCT<{_struct(feeds.CATALOG_SCHEMA)}>, references ARRAY<STRUCT<heroId:STRING,variantId:STRING,path:STRING>>"
-    manifest = entries.where("path = 'manifest.json'").select(F.from_json(F.col("content").cast("string"), schema).alias("m"), F.is_valid_utf8(F.col("content").cast("string")).alias("utf8"))
+    root = entries.where("path = 'manifest.json'")
+    if root.where(F.octet_length("content") > feeds.MANIFEST_BYTES).head(1):
+        raise validation.InvalidData("manifest.json is over 1 MB")
+    manifest = root.select(F.from_json(F.col("content").cast("string"), schema).alias("m"), F.is_valid_utf8(F.col("content").cast("string")).alias("utf8"))
     manifest = manifest.where("utf8").select("m.*")
     if not manifest.where("schemaVersion = 1").head(1):
         raise validation.InvalidData("a pack needs a root manifest.json of version 1")
@@ -107,7 +111,8 @@ def recognize(images: DataFrame, references: DataFrame, most: int = 960) -> Data
     Signatures of references are made once; windows meet references of their
     aspect bucket only; each bucket's best references are searched for again at
     the precision of pixels; every stage before the decision is partitioned by
-    image. Matches carry their box in the case's own pixels and their evidence.
+    image. Matches carry their box in the case's own pixels, their evidence, the hash
+    bits in which they differ from the reference and how near their colours are.
     Without references, without a usable one, or without a readable image of at
     least 16 by 16 a case is unavailable.
     """
@@ -118,18 +123,21 @@ def recognize(images: DataFrame, references: DataFrame, most: int = 960) -> Data
     cases = images.select(F.col("id").alias("case"), "width", "height", side("width").alias("w"), side("height").alias("h"), readable.alias("readable"))
     given = references.where("heroId IS NOT NULL AND heroId <> '' AND rgba IS NOT NULL")
     known = vision.usable(vision.signatures(given)).withColumn("aspect", F.col("width") / F.col("height")).withColumn("aspect_bucket", aspect_bucket(F.col("aspect")))
-    known = known.select("heroId", "variantId", "ordinal", "aspect", "aspect_bucket", "signature")
+    known = once(known.select("heroId", "variantId", "ordinal", "aspect", "aspect_bucket", "signature"))
     buckets = [r["aspect_bucket"] for r in known.groupBy("aspect_bucket").agg(F.min("ordinal").alias("o")).orderBy("o").collect()]  # a few dozen possible values
     absent = None if buckets else "no_usable_references" if references.head(1) else "no_references"
-    windows = vision.scan_windows(images.where(readable), buckets, most).withColumnRenamed("id", "case")
-    coarse = vision.best_windows(windows, known)
-    settled = vision.refine(images.where(readable), vision.leaders(coarse), most).select("case", "ordinal", F.col("score").alias("settled_score"), F.col("box").alias("settled_box"))
-    best = coarse.join(settled, ["case", "ordinal"], "left").withColumns({"score": F.coalesce("settled_score", "score"), "box": F.coalesce("settled_box", "box")})
+    windows = once(vision.scan_windows(images.where(readable), buckets, most).withColumnRenamed("id", "case"))
+    coarse = once(vision.best_windows(windows, known))
+    settled = vision.refine(images.where(readable), vision.leaders(coarse), most)
+    found = ["score", "box", "hashDistance", "colorScore"]
+    settled = settled.select("case", "ordinal", *[F.col(c).alias(f"settled_{c}") for c in found])
+    best = coarse.join(settled, ["case", "ordinal"], "left").withColumns({c: F.coalesce(f"settled_{c}", c) for c in found})
     placed = best.join(cases, "case").withColumns({
         "box": vision.scaled_box(F.col("box"), F.col("w"), F.col("width"), F.col("h"), F.col("height")),
         "evidence": F.struct(F.lit("phash").alias("method"), "variantId"),
+        "colorScore": fixed_decimals(F.col("colorScore"), 3),
     })
-    heroes = vision.best_per_hero(placed, ["case"], "box", "evidence").withColumn("method", F.col("evidence.method"))
+    heroes = vision.best_per_hero(placed, ["case"], "box", "evidence", "hashDistance", "colorScore").withColumn("method", F.col("evidence.method"))
     reason = F.when(F.lit(absent == "no_references"), "no_references").when(~F.coalesce("readable", F.lit(False)), "image_decode_failed").when(F.lit(absent is not None), absent)
     return cases.join(vision.decide(heroes, ["case"]), "case", "left").select(
         "case",

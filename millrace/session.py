@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -18,3 +19,12 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str)
     for key, value in conf.items():
         builder = builder.config(key.replace("_", "."), value)
     return builder.getOrCreate()
+
+
+def once(frame: DataFrame) -> DataFrame:
+    """A frame with several readers, computed once: a checkpoint where ``spark.checkpoint.dir`` names a folder for it,
+    else kept on the executors' disks, from where a lost part is computed again."""
+    context = frame.sparkSession.sparkContext
+    if context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir():
+        return frame.checkpoint()
+    return frame.persist(StorageLevel.DISK_ONLY)

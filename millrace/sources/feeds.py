@@ -34,6 +34,8 @@ MANIFEST_SCHEMA = (
     "cases ARRAY<STRUCT<id:STRING,category:STRING,sourceId:STRING,expectedHeroId:STRING,path:STRING>>, "
     "references ARRAY<STRUCT<heroId:STRING,variantId:STRING,path:STRING>>"
 )
+#: Fixed value: the most bytes of a manifest.
+MANIFEST_BYTES = 1024 * 1024
 FEED_SCHEMA = "version STRING, season STRING, setId STRING, data MAP<STRING,{row}>"
 
 
@@ -42,6 +44,13 @@ def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def case_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest of labelled cases; one over ``MANIFEST_BYTES`` is an error before it is read."""
+    if spark.read.format("binaryFile").load(path).where(F.col("length") > MANIFEST_BYTES).select("path").head(1):
+        raise InvalidData(f"{path} is over 1 MB")
+    return json_documents(spark, path, MANIFEST_SCHEMA)
+
+
 def feed(spark: SparkSession, path: str, row_schema: str) -> DataFrame:
     """A feed of the form {version, season, setId, data: {id: row}}."""
     return json_documents(spark, path, FEED_SCHEMA.format(row=row_schema))
