@@ -167,7 +167,8 @@ def aligned(queries: DataFrame, index: DataFrame, most_bit_error: float = MOST_B
     begins), votes, bit_error, n_copies. The bit error is computed at every offset
     that has a vote; of those within ``most_bit_error`` the one with the most votes
     is taken, ties going to the smallest offset. Equal recordings are one class,
-    never multiplied out. Recordings and queries of any length that has codes are
+    never multiplied out. Null and empty code lists meet nothing, empty tables give no
+    rows. Recordings and queries of any length that has codes are
     found: up to KEY_STEP codes by their single codes.
     """
     votes = (

@@ -112,6 +112,8 @@ def sharded(frame: DataFrame, keys: list[str], shards: int, seed: int = 20) -> D
 
 
 def shards_query(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFrame:
+    """All documents by all three laws; a null text has no bytes, null ids and repeated rows are places of their own, an
+    empty table has none."""
     docs = common.plain(common.table(spark, sf_dir, "documents"), "doc_id", "text")
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     thin = docs.select(

@@ -49,8 +49,7 @@ from .components import components
 #: sharper; any number gives the same links.
 COUNTER_BITS = 20
 COUNTER_BLOCK = 4096
-#: Tables of ids of at most so many rows are broadcast (below 200 MB with six columns, by what 220,000 rows took);
-#: larger ones are joined by shuffle, with the same result.
+#: Tables of ids of at most so many rows are broadcast (some MB); larger ones are joined by shuffle, with the same result.
 BROADCAST_ROWS = 400_000
 #: Followers of a leader that meet a copy of it in one place.
 LED_ROWS = 2000
@@ -709,3 +708,9 @@ reach AS (
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
 """
+
+#: The same with the number of links of each document.
+LINKS_SQL = (
+    ORACLE_SQL.replace("c.component_id\n", "c.component_id, coalesce(k.n_links, 0)::BIGINT AS n_links\n")
+    + "LEFT JOIN (SELECT a, count(*) AS n_links FROM both_ways GROUP BY a) k ON k.a = w.doc_id\n"
+)

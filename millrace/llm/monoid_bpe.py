@@ -279,6 +279,8 @@ class ByteBpe:
 
 
 def digest_query(spark: SparkSession, sf_dir: str, rank_file: str, pattern: str) -> DataFrame:
+    """Ids and decoded bytes of every document as digests; null and empty texts have no ids, texts are read whole, repeated
+    rows each."""
     coder = ByteBpe(spark, rank_file, pattern)
     docs = common.plain(common.table(spark, sf_dir, "documents"), "doc_id", "text")
     both = coder.decode(coder.encode(docs))

@@ -119,6 +119,8 @@ def _spans_text(spans: Column) -> Column:
 
 
 def preference_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation against the next one, as pairs with digests; ids are whole numbers, nulls, ties and empty tables are
+    as in ``preference_pairs``."""
     turns = common.plain(common.table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
     return preference_pairs(*next_answer_pairs(turns)).select(
         F.col("pair_id").alias("conv_id"),

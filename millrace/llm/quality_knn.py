@@ -169,6 +169,7 @@ def _learnable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learnt from labelled rows that are not held out; nulls, empty and long texts as in ``scored``."""
     docs = common.plain(common.table(spark, sf_dir, "documents"), "doc_id", "text")
     voter = fit(docs, _learnable(spark, sf_dir))
     return scored(docs, voter).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

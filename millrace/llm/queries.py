@@ -56,6 +56,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_preference_chat": preference_chat.ORACLE_SQL,
         "op5_jaccard_join": jaccard_join.ORACLE_SQL,
+        "jaccard_links": jaccard_join.LINKS_SQL,
         "op11_divergence_rules": divergence_rules.ORACLE_SQL,
         "op12_lyndon_runs": lyndon_runs.ORACLE_SQL,
         "op13_phrase_collocations": phrase_collocations.ORACLE_SQL,

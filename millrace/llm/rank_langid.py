@@ -24,6 +24,8 @@ PROFILE_SIZE = 300
 #: whose hashed id falls below the language's share. A profile of 300 n-grams is
 #: settled long before.
 TRAIN_DOCS_A_LANGUAGE = 4000
+#: Languages that are learnt, those with most documents: a column of stray values must not become as many profiles.
+LANGUAGES = 500
 #: Code points counted at once; longer texts are counted piece by piece.
 BLOCK_CHARS = 500_000
 UNKNOWN = "und"
@@ -120,14 +122,15 @@ def learn_profiles(train: DataFrame, text: str = "text", lang: str = "lang", siz
 
     Documents of a language count equally; each task sums the n-grams of its
     documents before anything is shuffled. What reaches the driver is
-    ``size`` n-grams for each language.
+    ``size`` n-grams for each of at most ``LANGUAGES`` languages, those with most documents.
     """
     spark = train.sparkSession
     common.bound_batches(spark)
     rows = train.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where("lang IS NOT NULL")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not sizes:
         return {}
+    rows = rows.where(F.col("lang").isin(*sizes))
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, most / n))]), F.col("lang"))
     chosen = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < share * (1 << 30))
 
@@ -189,6 +192,7 @@ def held_out(key: Column) -> Column:
 
 
 def langid_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learnt from rows that are not held out; nulls, empty and long texts as in ``identify``."""
     docs = common.plain(common.table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
     profiles = learn_profiles(docs.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))))
     thin = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))

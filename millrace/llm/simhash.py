@@ -99,6 +99,8 @@ def fingerprints(frame: DataFrame, text: str = "text", into: str = "fingerprint"
 def within_radius(queries: DataFrame, index: DataFrame, radius: int, blocks: int | None = None, bits: int = LANES * 64) -> DataFrame:
     """All (query, fingerprint, distance) of two tables of fingerprints, distance <= radius.
 
+    Null fingerprints meet nothing, repeated ones count once, an empty side gives no rows.
+
     Fingerprints are cut into ``blocks`` > radius blocks; two within the radius
     agree on blocks - radius of them at least, so one table for each choice of so
     many blocks, keyed by their bits, meets every pair. Both sides are reduced to
