@@ -155,15 +155,30 @@ def config_value(x: Column, name: str) -> Column:
 
 def image_mime(content: Column, path: Column) -> Column:
     """The media type that both the first bytes and the extension show, else null."""
-    extension = F.lower(F.element_at(F.split(path, r"\."), -1))
+    kind = extension(path)
     head = F.hex(F.substring(content, 1, 12))
     return (
-        F.when(head.startswith("89504E470D0A1A0A") & (extension == "png"), "image/png")
-        .when(head.startswith("FFD8FF") & extension.isin("jpg", "jpeg"), "image/jpeg")
-        .when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250") & (extension == "webp"), "image/webp")
+        F.when(head.startswith("89504E470D0A1A0A") & (kind == "png"), "image/png")
+        .when(head.startswith("FFD8FF") & kind.isin("jpg", "jpeg"), "image/jpeg")
+        .when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250") & (kind == "webp"), "image/webp")
     )
 
 
+def initial(x: Column) -> Column:
+    """The first character of a name, which stands for a missing picture; empty for none."""
+    return F.left(F.coalesce(x, F.lit("")), F.lit(1))
+
+
+def extension(path: Column) -> Column:
+    """What follows the last dot of a path, in lower case; the whole path where it has none."""
+    return F.lower(F.element_at(F.split(path, r"\."), -1))
+
+
+def without_prefix(x: Column, prefix: str) -> Column:
+    """An id without the prefix of its kind; others stay."""
+    return F.when(F.startswith(x, F.lit(prefix)), F.substring(x, len(prefix) + 1, 1 << 30)).otherwise(x)
+
+
 def short_date(x: Column) -> Column:
     """Month/day hour:minute."""
     return F.date_format(x, "M/d HH:mm")

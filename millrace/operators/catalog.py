@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import composite_key
 from .ordering import first_per_key
 from .validation import InvalidData
 
@@ -22,6 +23,17 @@ def with_precedence(preferred: DataFrame, fallback: DataFrame, keys: list[str])
     return preferred.unionByName(fallback.join(preferred.select(*keys).distinct(), keys, "left_anti"))
 
 
+def of_catalogue(references: DataFrame, variants: DataFrame) -> DataFrame:
+    """The stored references (key, ...) whose key a hero's variant (heroId, variantId) of the catalogue has."""
+    return references.join(variants.select(composite_key("heroId", "variantId").alias("key")), "key", "left_semi")
+
+
+def library_counts(heroes: DataFrame, references: DataFrame, installed: DataFrame) -> DataFrame:
+    """One row: heroes of the catalogue, reference images at hand, and images of the installed pack; zeros where there are none."""
+    counted = heroes.agg(F.count("*").alias("heroes")).crossJoin(F.broadcast(references.agg(F.count("*").alias("references"))))
+    return counted.crossJoin(F.broadcast(active_pack(installed).select(F.col("referenceCount").cast("long").alias("pack_images"), "present")))  # one row each
+
+
 def gated(rows: DataFrame, meta: DataFrame, keys: list[str]) -> DataFrame:
     """The rows if the one-row ``meta`` agrees in all keys, else none."""
     return rows.join(F.broadcast(meta.select(*keys).limit(1)), keys, "left_semi")

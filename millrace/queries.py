@@ -800,6 +800,85 @@ def gated_rows(spark, sf_dir):
     return catalog.gated(o, meta, ["o_orderstatus", "o_orderpriority"]).select("o_orderkey", "o_totalprice")
 
 
+@query("""
+WITH r AS (SELECT ps.c_custkey // 3 || '/' || ps.c_custkey % 3 AS key FROM customer ps),
+v AS (SELECT s_suppkey AS h, unnest(range(2)) AS k FROM supplier)
+SELECT key FROM r WHERE key IN (SELECT h || '/' || k FROM v)""")
+def catalogue_references(spark, sf_dir):
+    """Stored references that a catalogue's variants name."""
+    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    stored = c.select(F.concat_ws("/", F.floor(F.col("c_custkey") / 3).cast("string"), (F.col("c_custkey") % 3).cast("string")).alias("key"))
+    variants = s.select(F.col("s_suppkey").cast("string").alias("heroId"), F.explode(F.array(F.lit("0"), F.lit("1"))).alias("variantId"))
+    return catalog.of_catalogue(stored, variants)
+
+
+@query("""SELECT (SELECT count(*) FROM supplier) AS heroes, (SELECT count(*) FROM customer) AS "references", (SELECT max(n_nationkey) FROM nation) AS pack_images, true AS present""")
+def library_counts(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.lit("s").alias("seasonId"), F.lit("p").alias("patch"), F.col("n_nationkey").alias("referenceCount"))
+    return catalog.library_counts(table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer"), n)
+
+
+@query("""SELECT p_partkey, left(p_name, 1) AS initial, lower(string_split(p_type, ' ')[-1]) AS extension, CASE WHEN starts_with(p_brand, 'Brand#1') THEN substr(p_brand, 8) ELSE p_brand END AS brand,
+  p_brand || '/' || p_size AS key, strftime(make_timestamp(p_partkey * 3600000000), '%-m/%-d %H:%M') AS shown FROM part""")
+def name_pieces(spark, sf_dir):
+    """First letters, extensions, ids without their prefix, joined keys and short dates."""
+    p = table(spark, sf_dir, "part").withColumn("size", F.col("p_size").cast("string"))
+    return p.select(
+        "p_partkey", text.initial(F.col("p_name")).alias("initial"), text.extension(F.replace(F.col("p_type"), F.lit(" "), F.lit("."))).alias("extension"),
+        text.without_prefix(F.col("p_brand"), "Brand#1").alias("brand"), text.composite_key("p_brand", "size").alias("key"), text.short_date(F.timestamp_seconds(F.col("p_partkey") * 3600)).alias("shown"),
+    )
+
+
+@query("""SELECT p_partkey, list_filter(string_split(p_type, ' '), lambda x: x <> '')[1] AS first_part, len(list_filter(string_split(p_name || ',,' || p_brand || ',', ','), lambda x: x <> ''))::INT AS parts FROM part""")
+def split_lists(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", F.get(text.listed(F.col("p_type"), " "), F.lit(0)).alias("first_part"), F.size(text.listed(F.concat("p_name", F.lit(",,"), "p_brand", F.lit(",")))).alias("parts"))
+
+
+@query("""
+WITH p AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS x, list(l_suppkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS y FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, abs(list_sum(list_transform(range(1, len(x) + 1), lambda i: x[i] * y[i % len(x) + 1] - x[i % len(x) + 1] * y[i]))) / 2.0::DOUBLE AS area FROM p""")
+def polygon_areas(spark, sf_dir):
+    """Areas of the outlines that the lines of an order draw."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_partkey").alias("x"), F.col("l_suppkey").alias("y")))).alias("points"))
+    return li.select("l_orderkey", numbers.polygon_area(F.col("points")).alias("area"))  # a few lines an order
+
+
+@query("""
+WITH f AS (SELECT event_id, ['89504E470D0A1A0A', 'FFD8FF', '524946460000000057454250', '47494638'][event_id % 4 + 1] AS head, ['png', 'JPG', 'webp', 'jpeg', 'gif'][event_id % 5 + 1] AS kind FROM events)
+SELECT event_id, CASE WHEN head[1:4] = '8950' AND kind = 'png' THEN 'image/png' WHEN head = 'FFD8FF' AND kind IN ('JPG', 'jpeg') THEN 'image/jpeg' WHEN head[1:4] = '5249' AND kind = 'webp' THEN 'image/webp' END AS mime FROM f""")
+def image_types(spark, sf_dir):
+    """The type that a file's first bytes and its name agree on."""
+    pick = lambda values, by: F.get(F.array(*[F.lit(v) for v in values]), (F.col("event_id") % by).cast("int"))
+    content = F.unhex(pick(["89504E470D0A1A0A", "FFD8FF", "524946460000000057454250", "47494638"], 4))
+    path = F.concat(F.lit("a.b/c."), pick(["png", "JPG", "webp", "jpeg", "gif"], 5))
+    return table(spark, sf_dir, "events").select("event_id", text.image_mime(content, path).alias("mime"))
+
+
+@query(_HASH_SQL + """,
+d AS (SELECT vec_id, label, [hash, hash // 3, hash // 7, hash // 11] AS w, (vec_id * 2654435761) & 1048575 AS noise FROM h),
+p AS (SELECT q.label, q.vec_id AS q, t.vec_id AS t, list_sum(list_transform(range(1, 5), lambda i: bit_count(xor(xor(q.w[i], q.noise), t.w[i]))))::INT AS distance FROM d q JOIN d t USING (label) WHERE q.vec_id % 20 = 0),
+two AS (SELECT *, lead(distance) OVER w AS second, row_number() OVER w AS rn FROM p WINDOW w AS (PARTITION BY label, q ORDER BY distance, t)),
+good AS (SELECT label, q, t, distance FROM two WHERE rn = 1 AND distance <= 70 AND distance < 0.75 * second)
+SELECT label AS "group", q, t, distance FROM good QUALIFY row_number() OVER (PARTITION BY label, t ORDER BY q) = 1""")
+def descriptor_matches(spark, sf_dir):
+    """Every twentieth vector's descriptor with some bits changed, against the descriptors of its label."""
+    h = table(spark, sf_dir, "embeddings").select(F.col("label").alias("group"), "vec_id", vision.median_hash(F.col("embedding")).alias("hash"))
+    words = F.array(F.col("hash"), F.expr("hash div 3"), F.expr("hash div 7"), F.expr("hash div 11"))
+    noise = (F.col("vec_id") * 2654435761).bitwiseAND(1048575)
+    asked = h.where("vec_id % 20 = 0").select("group", F.col("vec_id").alias("q"), F.transform(words, lambda w: w.bitwiseXOR(noise)).alias("q_words"))
+    train = h.select("group", F.col("vec_id").alias("t"), words.alias("t_words"))
+    return matching.nearest_descriptors(asked, train)
+
+
+@query(_LINEUP_SQL + """
+SELECT l.id, row_number() OVER (ORDER BY bool_or(carry) DESC, quality = 'A', l."order" DESC, l.id) AS place FROM l JOIN m ON m.id = l.id AND hero = 7 WHERE quality IN ('S', 'A') GROUP BY l.id, quality, l."order" """)
+def lineups_in_order(spark, sf_dir):
+    """The graded lineups of one hero, numbered in the order in which they are shown."""
+    chosen = selection.select_lineups(_lineups(spark, sf_dir), "7", "name 7")
+    return ordering.numbered(chosen, [~F.col("carry"), F.col("quality") == "A", -F.col("sortOrder"), F.col("ordinal")]).select("id", "place")
+
+
 @query()
 def question_set(spark, sf_dir):
     """Twenty questions; the order is a function of the seed, so it is tested by its properties."""
