@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import once
 from .ordering import first_per_key, top_per_key
 
 #: Names in one automaton, which is broadcast; more names take more passes over the texts.
@@ -131,14 +132,15 @@ def nearest_hashes(queries: DataFrame, rows: DataFrame, count: int, tie: str, qu
 
     The radius grows: a query that has found ``count`` rows within it is settled,
     as no other row is nearer. Only the others are asked again, the last of them
-    against every row of their keys.
+    against every row of their keys, as soon as blocks would save nothing.
     """
-    open_ones, settled = queries, None
-    for radius in (*radii, bits):
-        blocks = 0 if radius == bits else None
-        near = within_hamming(open_ones, rows, radius, keys, bits, blocks).where(F.col(query) != F.col(tie))
+    open_ones, settled, total = queries, None, rows.count()
+    useful = [r for r in radii if blocks_for(r, total, bits)]
+    for radius in (*useful, bits):
+        near = within_hamming(open_ones, rows, radius, keys, bits, blocks_for(radius, total, bits) if radius < bits else 0).where(F.col(query) != F.col(tie))
         best = top_per_key(near, query, count, "distance", tie)
         if radius < bits:
+            best = once(best)  # at most ``count`` rows a query; the next rounds ask who is settled
             done = best.where(F.col("rank") == count).select(query)
             best = best.join(done, query, "left_semi")
             open_ones = open_ones.join(done, query, "left_anti")
@@ -183,6 +185,7 @@ def nearest_descriptors(queries: DataFrame, train: DataFrame, most: int = 70, ra
         else:
             pairs, bound = descriptor_pairs(left, train, step, blocks), blocks * (step + 1)
         two = top_per_key(pairs, ["group", "q"], 2, "distance", "t").groupBy("group", "q").agg(F.array_sort(F.collect_list(F.struct("distance", "t"))).alias("near"))
+        two = two if step is None else once(two)  # one row a query; the next rounds ask who is settled
         first, second = F.get("near", F.lit(0)), F.get("near", F.lit(1))
         if bound is None:
             done = two
