@@ -49,7 +49,8 @@ from .components import components
 #: sharper; any number gives the same links.
 COUNTER_BITS = 20
 COUNTER_BLOCK = 4096
-#: Tables of ids of at most so many rows are broadcast (some MB); larger ones are joined by shuffle, with the same result.
+#: Tables of ids of at most so many rows are broadcast (below 200 MB with six columns, by what 220,000 rows took);
+#: larger ones are joined by shuffle, with the same result.
 BROADCAST_ROWS = 400_000
 #: Followers of a leader that meet a copy of it in one place.
 LED_ROWS = 2000
@@ -489,21 +490,29 @@ def links(table: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -
     classes, lists = entries(table, threshold)
     star = followers(lists, classes, docs, width, threshold)
     first = star.where(_is_link(threshold)).select("a", "b")
-    bits = common.stored(table.join(classes.select("s1", "s2", F.col("rep").alias("doc_id")), ["s1", "s2", "doc_id"]).select(F.col("doc_id").alias("id"), *BIT_LANES).dropDuplicates(["id"]), "bits")
+    bits = parity_maps(table, classes)
     second = derived_links(star, components(first), bits, threshold)
     third = cross_links(lists, star, components(first.union(second)), bits, docs, width, threshold)
     return classes, [first, second, third]
 
 
-def all_links(lists: DataFrame, classes: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -> DataFrame:
+def parity_maps(table: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, bits): the parity map of each different set."""
+    reps = classes.select("s1", "s2", F.col("rep").alias("doc_id"))
+    return common.stored(table.join(reps, ["s1", "s2", "doc_id"]).select(F.col("doc_id").alias("id"), *BIT_LANES).dropDuplicates(["id"]), "bits")
+
+
+def all_links(lists: DataFrame, classes: DataFrame, bits: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -> DataFrame:
     """Every link (a, b), a < b, between the sets of ``lists``, which ``entries`` gives; ids of ``docs`` are distinct.
 
+    Pairs whose parity maps differ in more bits than a link allows are not kept.
     With d(a, leader of a), d(b, leader of b) and the leaders' distance D known, the
     distance of a and b lies between D less both and D plus both. The rows grow with
     the links: with the square of a group's size, if all its members link.
     """
     star = followers(lists, classes, docs, width, threshold).where(_is_link(threshold))
-    p, q = _blocks(lists).alias("p"), _blocks(lists).alias("q")
+    at = _blocks(lists.join(bits, "id"))
+    p, q = at.alias("p"), at.alias("q")
     met = (
         p.join(
             q,
@@ -511,6 +520,7 @@ def all_links(lists: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
             & (F.col("p.home") == F.col("q.home"))
             & (F.col("p.id") < F.col("q.id"))
             & (F.col("p.home") == F.greatest("p.block", "q.block"))
+            & threshold.bits_allow(F.col("p.n") + F.col("q.n"))
             # a pair meets once for each run of members that both sets have one after the other
             & F.coalesce(F.col("p.prev") != F.col("q.prev"), F.lit(True))
             & threshold.may_link(F.col("p.n"), F.col("p.pos"), F.col("q.n"), F.col("q.pos")),
@@ -555,7 +565,7 @@ def linked_documents(docs: DataFrame, width: int = 5, up: int = 80, down: int =
     texts = one_row_each(rows).select(F.col("key").alias("doc_id"), "text")
     table = common.stored(indexed(texts, width, threshold, member_levels(texts, width)), "sets")
     classes, lists = entries(table, threshold)
-    found = all_links(lists, classes, texts, width, threshold)
+    found = all_links(lists, classes, parity_maps(table, classes), texts, width, threshold)
     sets = table.join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).select(F.col("doc_id").alias("key"), F.col("n").alias("n_shingles"), "rep")
     held = rows.where(has_words(F.col("text"))).select("doc_id", text_key(F.col("text")).alias("key"))
     held = common.stored(held.join(sets, "key").select("doc_id", "n_shingles", "rep"), "held")

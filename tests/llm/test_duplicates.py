@@ -333,3 +333,25 @@ def test_different_texts_with_one_key_are_both_kept(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "text_key", lambda text: F.length(text).cast("long"))
     got = jaccard_join.one_of_each_class(spark, docs, "")
     assert sorted(r["doc_id"] for r in got.collect()) == [1, 3, 4]
+
+
+def test_near_unlinked_copies_meet_hardly_any(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for k in rng.sample(range(200), 16):
+            words[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(words)))
+    met, stored = {}, jaccard_join.common.stored
+
+    def counted(frame, label):
+        kept = stored(frame, label)
+        met[label] = kept.count()
+        return kept
+
+    monkeypatch.setattr(jaccard_join.common, "stored", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.linked_documents(docs).agg(F.sum("n_links")).first()[0]
+    assert got == 0 and met["met"] < 0.1 * 120 * 119 / 2
