@@ -108,3 +108,49 @@ def test_language_edges(spark):
     assert rank_langid.identify(docs, {}).where("lang_pred <> 'und'").count() == 0
     kept = rank_langid.language_stage(spark, docs, "")
     assert kept.columns == docs.columns
+
+
+def plain_grams(text):
+    from collections import Counter
+
+    padded = " " + " ".join("".join(c if c.isalpha() else " " for c in (text or "").lower()).split(" ")) + " "
+    while "  " in padded:
+        padded = padded.replace("  ", " ")
+    return Counter(padded[i : i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1) if padded[i : i + n] != " ")
+
+
+def code(gram):
+    return sum(ord(c) << (21 * k) for k, c in enumerate(reversed(gram)))
+
+
+def test_profiles_and_predictions_equal_plain_ones(spark):
+    """Every document weighs the same; a profile's order and a document's distances are those of plain lists."""
+    rng = np.random.default_rng(8)
+    words = {"a": ["ana", "bana", "cab", "da"], "b": ["xyx", "zyz", "yx", "da"], "c": ["mno", "nom", "omo", "ana"]}
+    rows = [(i, " ".join(rng.choice(words[g], 1 + i % 9)), g) for i, g in enumerate("abc" * 20)] + [(99, None, "a"), (98, "1 2", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    size = 25
+    got = rank_langid.learn_profiles(docs, size=size)
+    want = {}
+    for lang in words:
+        weight = {}
+        for _, text, g in rows:
+            grams = plain_grams(text) if g == lang else {}
+            for gram, n in grams.items():
+                weight[gram] = weight.get(gram, 0.0) + n / sum(grams.values())
+        rounded = {gram: round(w, 6) for gram, w in weight.items()}
+        want[lang] = sorted(rounded, key=lambda gram: (-rounded[gram], code(gram)))[:size]
+        weights = [rounded[next(g for g in rounded if code(g) == c)] for c in got[lang]]
+        assert weights == sorted(weights, reverse=True) and weights[-1] >= rounded[want[lang][-1]] - 2e-6
+        assert len(set(got[lang])) == len(want[lang])  # ties at the end may fall either way
+
+    profiles = rank_langid.Profiles(got, size)
+    for _, text, _ in rows:
+        grams = plain_grams(text)
+        top = sorted(grams, key=lambda gram: (-grams[gram], code(gram)))[:size]
+        if not top:
+            assert profiles.predict(text) == ("und", 0.0)
+            continue
+        apart = {g: sum(abs(i - got[g].index(code(gram))) if code(gram) in got[g] else size for i, gram in enumerate(top)) for g in sorted(got)}
+        best = min(apart, key=lambda g: (apart[g], g))
+        assert profiles.predict(text) == (best, pytest.approx(1 - apart[best] / (size * len(top))))
