@@ -54,9 +54,9 @@ COUNTER_BLOCK = 4096
 BROADCAST_ROWS = 400_000
 #: Followers of a leader that meet a copy of it in one place.
 LED_ROWS = 2000
-#: A set's 256-bit parity map: bit k says whether an odd number of its members fall on k. Two maps differ
+#: A set's 512-bit parity map: bit k says whether an odd number of its members fall on k. Two maps differ
 #: in no more bits than their sets in members.
-BIT_LANES = ["bits0", "bits1", "bits2", "bits3"]
+BIT_LANES = [f"bits{k}" for k in range(8)]
 
 _GOLDEN, _MIX, _MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SEEDS = [np.uint64(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF) for k in range(64)]
@@ -177,7 +177,8 @@ def digest_of(members: np.ndarray) -> tuple[int, int]:
 
 def parity_map(members: np.ndarray) -> np.ndarray:
     """The set's ``BIT_LANES``."""
-    counts = np.bincount((members >> np.uint64(40)).astype(np.int64) & 255, minlength=256)
+    bits = 64 * len(BIT_LANES)
+    counts = np.bincount((members >> np.uint64(40)).astype(np.int64) & (bits - 1), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8)).view("<i8")
 
 
