@@ -27,7 +27,7 @@ COMMON_WORDS = 50
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A histogram of fewer characters or words than these is not judged.
-MIN_JUDGED_CHARS = 600
+MIN_JUDGED_CHARS = 400
 MIN_JUDGED_WORDS = 50
 MAX_CLASS_DISTANCE = 0.2
 MAX_WORD_DISTANCE = 0.42
@@ -248,7 +248,7 @@ hits AS (SELECT t.r, coalesce(c.slot, 51) AS slot, count(*) AS f FROM tokens t J
 shares AS (
   SELECT x.r, x.ref, 'w' AS kind, p.slot, coalesce(h.f, 0) / len(d.folded) AS p, len(d.folded) >= 50 AS judged
   FROM chosen x JOIN docs d USING (r) JOIN places p ON p.ref = x.ref LEFT JOIN hits h ON h.r = x.r AND h.slot = p.slot WHERE len(d.folded) > 0
-  UNION ALL SELECT x.r, x.ref, 'c', unnest(range(7)), unnest(b.classes) / b.word_chars, b.word_chars >= 600 FROM chosen x JOIN based b USING (r) WHERE b.word_chars > 0),
+  UNION ALL SELECT x.r, x.ref, 'c', unnest(range(7)), unnest(b.classes) / b.word_chars, b.word_chars >= 400 FROM chosen x JOIN based b USING (r) WHERE b.word_chars > 0),
 different AS (SELECT min(b.r) AS r FROM based b JOIN chosen x USING (r) WHERE NOT base_failed GROUP BY x.ref, b.text),
 first AS (SELECT ref, kind, slot, avg(p) AS q FROM shares SEMI JOIN different USING (r) GROUP BY ALL),
 far AS (
