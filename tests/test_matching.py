@@ -98,6 +98,28 @@ def test_two_nearest_descriptors_equal_brute_force(spark):
     assert near.count() == near.select("group", "q", "t").distinct().count()
 
 
+def test_nearest_rows_in_tiles(spark, monkeypatch):
+    for name, size in (("TILE_QUERIES", 3), ("TILE_ROWS", 5), ("TILE_PAIRS", 10)):
+        monkeypatch.setattr(matching, name, size)
+    rng = random.Random(4)
+    h = hashes(rng, 40)
+    rows = [(i % 30, i % 2, h[i % 40 if i % 3 else 0]) for i in range(90)] + [(50, 0, None), (None, 0, h[0]), (51, None, h[0])]  # repeated ids, hashes and rows
+    held = spark.createDataFrame(rows, "near long, k int, hash long")
+    asked = held.where("near % 5 = 0 OR near IS NULL").select(F.col("near").alias("q"), "k", F.col("hash").alias("q_hash"))
+    found = matching.nearest_hashes(asked, held, 3, "near", "q", ["k"])
+    sound = [r for r in rows if None not in r]
+    want = []
+    for q in {i for i, _, _ in sound if i % 5 == 0}:
+        pairs = sorted(((x ^ y).bit_count(), j) for i, k, x in sound if i == q for j, m, y in sound if m == k and j != q)
+        want += [(q, j, d) for d, j in pairs[:3]]
+    assert sorted((r["q"], r["near"], r["distance"]) for r in found.collect()) == sorted(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "bit_count" not in plan  # a pair is no row of a plan
+    assert matching.nearest_hashes(asked, held.limit(0), 3, "near", "q", ["k"]).collect() == []
+    whole = matching.nearest_hashes(asked.drop("k"), held.drop("k"), 1, "near", "q")
+    assert {r["q"] for r in whole.collect()} == {q for q, _, _ in want}
+
+
 @pytest.mark.parametrize("limit", [10**9, 10])
 def test_ranks_equal_sorted_lists(spark, monkeypatch, limit):
     monkeypatch.setattr(evaluation, "ONE_GRID_ROWS", limit)
