@@ -118,6 +118,20 @@ def test_nearest_rows_in_tiles(spark, monkeypatch):
     assert matching.nearest_hashes(asked, held.limit(0), 3, "near", "q", ["k"]).collect() == []
     whole = matching.nearest_hashes(asked.drop("k"), held.drop("k"), 1, "near", "q")
     assert {r["q"] for r in whole.collect()} == {q for q, _, _ in want}
+    words = lambda c, x: F.array(F.col(x), F.col(x).bitwiseXOR(F.lit(5))).alias(f"{c}_words")
+    matches = matching.nearest_descriptors(asked.select(F.col("k").alias("group"), "q", words("q", "q_hash")), held.select(F.col("k").alias("group"), F.col("near").alias("t"), words("t", "hash")), ratio=2.0)
+    plan = matches._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "bit_count" not in plan
+    met = {}
+    for q, k, x in sound:
+        if q % 5 == 0:
+            met.setdefault((k, q), []).extend((2 * (x ^ y).bit_count(), t) for t, m, y in sound if m == k)
+    taken = {}
+    for (k, q), pairs in sorted(met.items()):
+        (d, t), (second, _) = sorted(pairs)[:2]
+        if d <= 70 and d < 2.0 * second:
+            taken.setdefault((k, t), (q, d))
+    assert sorted((r["group"], r["t"], r["q"], r["distance"]) for r in matches.collect()) == sorted((*at, *v) for at, v in taken.items())
 
 
 @pytest.mark.parametrize("limit", [10**9, 10])
