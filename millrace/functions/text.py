@@ -7,10 +7,12 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import bound_batches
+
 #: Identifier patterns.
 ID_PATTERN = r"^[a-z0-9][a-z0-9_-]{0,63}$"
 UNIT_PATTERN = r"^[0-9]{1,12}$"
@@ -91,7 +93,8 @@ def _numeric_references(text: str) -> str:
 
 
 def _mapped(x: Column, rule: Callable[[str], str]) -> Column:
-    """A text rule that Spark has no function for, on Arrow batches; null stays null."""
+    """A text rule that Spark has no function for, on small Arrow batches; null stays null."""
+    bound_batches(SparkSession.active())
 
     def batches(batch: pd.Series) -> pd.Series:
         return batch.map(rule, na_action="ignore")
@@ -118,7 +121,8 @@ def _compatible(text: str) -> str:
 
 
 def _spelled(x: Column, left_out: str) -> Column:
-    folded = F.when(x.rlike(r"[^\x00-\x7f]"), _mapped(x, _compatible)).otherwise(x)
+    # only what is not ASCII travels: a condition around a Python function does not keep the other texts from it
+    folded = F.coalesce(_mapped(F.when(x.rlike(r"[^\x00-\x7f]"), x), _compatible), x)
     return F.lower(F.regexp_replace(F.coalesce(folded, F.lit("")), left_out, ""))
 
 

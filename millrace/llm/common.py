@@ -9,8 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch. With whole texts of a few kB, a batch is a few MB.
-BATCH_ROWS = 128
+from ..session import bound_batches  # noqa: F401  (the operators look for it here)
 
 _own_folders: dict[str, str] = {}
 
@@ -19,17 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for whole texts in a Python worker.
-
-    Plans run later than they are made, so there is one bound for all operators;
-    a session whose own bound is smaller keeps it.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 def fresh(frame: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that the frame doesn't have."""
     taken = {c.lower() for c in frame.columns}

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import numbers, text
-from millrace.operators import catalog, etl, evaluation, history, ordering, quiz, selection, validation, vision
+from millrace.operators import catalog, etl, evaluation, history, matching, ordering, quiz, selection, validation, vision
 from millrace.plans import jobs
 from millrace.sources import archives, feeds
 from millrace.streaming import history_stream
@@ -69,6 +69,22 @@ def test_plain_text(spark, raw, plain):
     assert got == plain
 
 
+def test_names_are_looked_for_in_small_batches(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(key), spark.sparkContext.accumulator(0)
+    spark.conf.set(key, "10000")
+    try:
+        docs = spark.range(300).select(F.col("id").alias("doc_id"), text.ocr_lines(F.concat(F.lit("a name "), "id")).alias("text")).coalesce(1)
+        assert matching.names_in_lines(docs, spark.createDataFrame([(1, "aname")], "name_id long, name string")).count() == 300
+        assert int(spark.conf.get(key)) <= 128
+        batch = F.pandas_udf(lambda x: seen.add(int(x.notna().sum())) or x, "string")
+        monkeypatch.setattr(text, "_mapped", lambda x, rule: batch(x))
+        assert [r["y"] for r in spark.createDataFrame([("plain",), ("é",)], "x string").select(text.ocr_lines(F.col("x")).alias("y")).collect()] == ["plain", "é"]
+        assert seen.value == 1  # only what is not ASCII goes through Python
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_dates_and_stamps(spark):
     values = ["2024-02-29", "2024-02-31", "tomorrow", "2024-01-01T00:00:00Z", "2024-01-01T00:00:00.5+02:00", " 2024-01-01T00:00:00Z ", None]
     got = spark.createDataFrame([(v,) for v in values], "x string").select(text.is_day(F.col("x")).alias("d"), text.stamp(F.col("x")).isNotNull().alias("s")).collect()
