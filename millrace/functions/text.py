@@ -84,12 +84,26 @@ def without_tags(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, r"(?i)<br\s*/?\s*>", "\n"), r"<[^>]*>", "")
 
 
-def _numeric_references(text: str) -> str:
-    def one(m: re.Match) -> str:
-        code = int(m[1], 16) if m[1] else int(m[2])
-        return chr(code) if 0 < code <= 0x10FFFF and not 0xD800 <= code <= 0xDFFF else m[0]
+def _bound(x: Column, rule: Callable[[Column], Column]) -> Column:
+    """A rule that names its argument several times, which is evaluated once."""
+    return F.get(F.transform(F.array(x), rule), F.lit(0))
 
-    return re.sub(r"&#(?:[xX]([0-9a-fA-F]+)|([0-9]+));", one, text)
+
+def _numeric_references(x: Column) -> Column:
+    """Numeric references as characters; those of no character stay."""
+    pattern = r"&#(?:[xX][0-9a-fA-F]+|[0-9]+);"
+
+    def one(reference: Column) -> Column:
+        base16, digits = F.substring(reference, 3, 1).isin("x", "X"), F.regexp_replace(reference, "^&#[xX]?0*|;$", "")
+        short = F.length(digits).between(F.lit(1), F.when(base16, 6).otherwise(7))
+        code = F.when(short, F.when(base16, F.conv(digits, 16, 10)).otherwise(digits).cast("int"))
+        sound = (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        # a mark of the byte order in front, so that the character itself is not taken for one
+        sign = F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(code), 8, "0"))), "UTF-32")
+        return F.when(sound, sign).otherwise(reference)
+
+    between, references = F.split(x, pattern, -1), F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
+    return F.array_join(F.zip_with(between, references, lambda a, r: F.concat(a, F.coalesce(one(r), F.lit("")))), "")
 
 
 def _mapped(x: Column, rule: Callable[[str], str]) -> Column:
@@ -106,13 +120,16 @@ def plain_text(x: Column) -> Column:
     """Markup to plain text: tags, six named references in one pass, then numeric ones, line ends, trim.
 
     Named references are decoded before numeric ones, so '&amp;#65;' becomes 'A',
-    and each once, so '&amp;lt;' becomes '&lt;'. Null becomes empty. Only texts
-    with a numeric reference go through Python.
+    and each once, so '&amp;lt;' becomes '&lt;'. Null becomes empty. No text
+    goes through Python.
     """
-    out = without_tags(F.coalesce(x, F.lit("")))
-    for name, sign in ENTITIES.items():  # '&' last: what it makes is not decoded again
-        out = F.regexp_replace(out, f"(?i)&{name};", sign)
-    out = F.when(out.rlike(r"&#"), _mapped(out, _numeric_references)).otherwise(out)
+
+    def decoded(out: Column) -> Column:
+        for name, sign in ENTITIES.items():  # '&' last: what it makes is not decoded again
+            out = F.regexp_replace(out, f"(?i)&{name};", sign)
+        return _bound(out, lambda o: F.when(F.contains(o, F.lit("&#")), _numeric_references(o)).otherwise(o))
+
+    out = _bound(without_tags(F.coalesce(x, F.lit(""))), lambda o: F.when(F.contains(o, F.lit("&")), decoded(o)).otherwise(o))
     return trimmed(F.regexp_replace(out, "\r\n?", "\n"))
 
 

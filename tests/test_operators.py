@@ -69,6 +69,13 @@ def test_plain_text(spark, raw, plain):
     assert got == plain
 
 
+def test_plain_text_stays_in_the_jvm(spark):
+    raw = ["&#x1F600;&#65279;x&#0000000000000000000065;", "&#99999999999999999999;&#x;&#;&#1114111;&#1114112;", "&#57343;a&amp;#x41;&#65", "&#38;lt;", "&#" + "0" * 5000 + "65;"]
+    frame = spark.createDataFrame([(x,) for x in raw], "x string").select(text.plain_text(F.col("x")).alias("y"))
+    assert [r["y"] for r in frame.collect()] == ["\U0001f600\ufeffxA", "&#99999999999999999999;&#x;&#;\U0010ffff&#1114112;", "&#57343;aA&#65", "&lt;", "A"]
+    assert "EvalPython" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
 def test_names_are_looked_for_in_small_batches(spark, monkeypatch):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before, seen = spark.conf.get(key), spark.sparkContext.accumulator(0)
