@@ -7,7 +7,10 @@ members only: two sets that link share one of those.
 
 Index level. A member's list is cut into blocks by set size, and entries carry
 the member's position: an entry is held only against blocks whose sizes allow a
-link, and only where the two positions do.
+link, and only where the two positions do. Entries that no other of their block
+can meet are not kept: most sets that share a first member by chance differ in
+size, or share it too late. What is kept thus follows the near texts, also where
+the order says little about rarity.
 
 Answer level. Each set is compared with one leader, the set that most of its
 lists name, and its difference to the leader is kept. What the followers of one
@@ -17,7 +20,8 @@ changed by the few members in which they differ. Two followers can only link
 beyond what the leader says if their differences share members, and those are
 indexed within the leader's group like the sets were, rarest first. Sets already
 joined are not compared again. Sets of different leaders that meet in a list are
-held against each other's parity map first and then member by member.
+held against each other's parity maps first, which grow with the sets, and then
+member by member. A leader whose map is far from a set's is not followed.
 The classes are those of all links.
 
 ``all_links`` is the join itself: every link between different sets, also within
@@ -163,10 +167,17 @@ class Threshold:
         )
 
 
+    def excess(self, n: Column, pos: Column) -> Column:
+        """Two entries' positions allow a link only if these numbers of theirs add up to no more than 0 (see ``may_link``)."""
+        return pos * (self.up + self.down) - n * (self.down - self.up)
+
+    def apart_allows(self, apart: Column, sizes: Column) -> Column:
+        """Linked sets may differ in so many members."""
+        return apart * (self.up + self.down) <= sizes * (self.down - self.up)
+
     def bits_allow(self, sizes: Column) -> Column:
         """The parity maps of p and q differ in no more bits than the sets of a linked pair may in members."""
-        apart = sum((F.bit_count(F.col(f"p.{c}").bitwiseXOR(F.col(f"q.{c}"))) for c in BIT_LANES), F.lit(0))
-        return apart * (self.up + self.down) <= sizes * (self.down - self.up)
+        return self.apart_allows(sum((F.bit_count(F.col(f"p.{c}").bitwiseXOR(F.col(f"q.{c}"))) for c in BIT_LANES), F.lit(0)), sizes)
 
 
 def digest_of(members: np.ndarray) -> tuple[int, int]:
@@ -176,10 +187,44 @@ def digest_of(members: np.ndarray) -> tuple[int, int]:
 
 
 def parity_map(members: np.ndarray) -> np.ndarray:
-    """The set's ``BIT_LANES``."""
+    """The set's parity map, as bytes, of at least as many bits as it has members (up to 2^24) and as ``BIT_LANES`` hold."""
     bits = 64 * len(BIT_LANES)
+    while bits < min(len(members), 1 << 24):
+        bits *= 2
     counts = np.bincount((members >> np.uint64(40)).astype(np.int64) & (bits - 1), minlength=bits)
-    return np.packbits((counts & 1).astype(np.uint8)).view("<i8")
+    return np.packbits((counts & 1).astype(np.uint8))
+
+
+def folded(wide: np.ndarray, size: int) -> np.ndarray:
+    """The parity map of the same set in ``size`` bytes."""
+    while len(wide) > size:
+        wide = wide[: len(wide) // 2] ^ wide[len(wide) // 2 :]
+    return wide
+
+
+def apart(a: bytes, b: bytes) -> tuple[int, float]:
+    """In how many members two sets differ, by their parity maps: at least, and likely."""
+    size = min(len(a), len(b))
+    p, q = (folded(np.frombuffer(x, np.uint8), size) for x in (a, b))
+    least = int(np.bitwise_count(p ^ q).sum())
+    alike = 1 - least / (4 * size)
+    return least, -4 * size * float(np.log(alike)) if alike > 0 else float("inf")
+
+
+def measured(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """``pairs`` of ids (a, b, ...) with their sets' sizes n_a and n_b and in how many members those differ: ``least``, ``likely``.
+
+    ``maps`` is what ``parity_maps`` gives.
+    """
+
+    def compare(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([apart(a, b) for a, b in zip(left, right, strict=True)], columns=["least", "likely"])
+
+    found = pairs
+    for end in "ab":
+        found = found.join(maps.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("wide").alias(f"wide_{end}")), end)
+    found = found.withColumn("apart", F.pandas_udf(compare, "least long, likely double")("wide_a", "wide_b"))
+    return found.select(*pairs.columns, "n_a", "n_b", "apart.*")
 
 
 def member_levels(docs: DataFrame, width: int) -> np.ndarray:
@@ -231,7 +276,7 @@ def member_levels(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def indexed(docs: DataFrame, width: int, threshold: Threshold, levels: np.ndarray) -> DataFrame:
-    """(doc_id, n, s1, s2, prefix, bits): size of the set, a 128-bit digest of it, its first members in global order, its parity map."""
+    """(doc_id, n, s1, s2, prefix, bits, wide): size of the set, a 128-bit digest of it, its first members in global order, its parity map of 512 bits and whole."""
     shipped = docs.sparkSession.sparkContext.broadcast(levels)
     mask = np.uint64((1 << COUNTER_BITS) - 1)
 
@@ -244,13 +289,14 @@ def indexed(docs: DataFrame, width: int, threshold: Threshold, levels: np.ndarra
                 n = len(members)
                 order = np.argsort(rank[(members & mask).astype(np.int64)], kind="stable") if n else np.empty(0, np.int64)
                 prefix = members[order[: threshold.prefix(n)]].view(np.int64) if n else np.empty(0, np.int64)
-                out.append((row_id, n, *digest_of(members), prefix, *parity_map(members)))
-            yield pd.DataFrame(out, columns=["row_id", "n", "s1", "s2", "prefix", *BIT_LANES])
+                wide = parity_map(members)
+                out.append((row_id, n, *digest_of(members), prefix, *folded(wide, 8 * len(BIT_LANES)).view("<i8"), wide.tobytes()))
+            yield pd.DataFrame(out, columns=["row_id", "n", "s1", "s2", "prefix", *BIT_LANES, "wide"])
 
     # ids travel as text: a null among them must not turn the others into floating-point numbers
     rows = docs.select(F.col("doc_id").cast("string").alias("row_id"), "text")
-    done = rows.mapInPandas(index, "row_id string, n long, s1 long, s2 long, prefix array<long>, " + ", ".join(f"{c} long" for c in BIT_LANES))
-    return done.select(F.col("row_id").cast("long").alias("doc_id"), "n", "s1", "s2", "prefix", *BIT_LANES)
+    done = rows.mapInPandas(index, "row_id string, n long, s1 long, s2 long, prefix array<long>, " + ", ".join(f"{c} long" for c in BIT_LANES) + ", wide binary")
+    return done.select(F.col("row_id").cast("long").alias("doc_id"), "n", "s1", "s2", "prefix", *BIT_LANES, "wide")
 
 
 def small(frame: DataFrame) -> DataFrame:
@@ -303,34 +349,48 @@ def _blocks(frame: DataFrame) -> DataFrame:
 
 
 def entries(table: DataFrame, threshold: Threshold) -> tuple[DataFrame, DataFrame]:
-    """(s1, s2, rep, n) of the distinct sets, and the entries under members that several of them share."""
+    """(s1, s2, rep, n) of the distinct sets, and the entries of the members' lists, each in the blocks (``home``) where
+    others may link with it.
+
+    Two sets are held against each other in the larger one's block. An entry stays
+    there only if another's size is near enough, if the least position among the
+    others allows a link, and if there is an entry whose own block it is. The
+    postings are moved once, and all of this is judged where they then lie.
+    """
     classes = table.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     classes = common.stored(classes, "classes")
     reps = classes.select(F.col("rep").alias("doc_id"), "s1", "s2")
-    first = table.join(small(reps), ["doc_id", "s1", "s2"], "left_semi")
+    first = table.select("doc_id", "s1", "s2", "n", "prefix").join(small(reps), ["doc_id", "s1", "s2"], "left_semi")
     # each entry also knows the member before it in its set
     steps = F.transform("prefix", lambda m, i: F.struct(m.alias("member"), F.get("prefix", i - 1).alias("prev")))
     postings = first.select(F.col("doc_id").alias("id"), "n", F.posexplode(steps).alias("pos", "step")).select("id", "n", "pos", "step.*")
 
     # Members under which only one set is indexed lead to no pair.
-    shared = common.stored(postings.groupBy("member").agg(F.count("*").alias("c")).where("c > 1").select("member"), "shared")
-    lists = common.stored(
-        postings.join(small(shared), "member").select("member", "id", "n", "pos", "prev", threshold.size_block(F.col("n")).alias("block")), "lists"
-    )
-    return classes, lists
+    shared = postings.withColumn("c", F.count("*").over(Window.partitionBy("member"))).where("c > 1").drop("c")
+    placed = _blocks(shared.withColumns({"block": threshold.size_block(F.col("n")), "x": threshold.excess(F.col("n"), F.col("pos"))}))
+    here = Window.partitionBy("member", "home")
+    by_size = here.orderBy("n")
+    below, above = F.lag("n").over(by_size), F.lead("n").over(by_size)
+    near = placed.withColumns({"below": below, "above": above}).where((F.col("below") * threshold.down >= F.col("n") * threshold.up) | (F.col("n") * threshold.down >= F.col("above") * threshold.up))
+    least = near.drop("below", "above").withColumn("least", F.min("x").over(here))
+    early = least.where(F.col("x") + F.col("least") <= 0)
+    some = early.withColumns({"c": F.count("*").over(here), "own": F.max(F.col("block") == F.col("home")).over(here)}).where("c > 1 AND own")
+    return classes, common.stored(some.select("member", "home", "id", "n", "pos", "prev", "block"), "lists")
 
 
 def named_leaders(lists: DataFrame, threshold: Threshold) -> DataFrame:
     """(id, lead): for every set the one that most of its lists' blocks name as their leader.
 
-    A block's leader is the entry with the fewest prefix members that no other
-    set is indexed under, so the text that the others are copies of; ties go to
+    A block's leader is the entry with the fewest early prefix members that no
+    other set is indexed under, so the text that the others are copies of; ties go to
     the smaller id. Blocks overlap (see ``_blocks``), so a group of copies whose
     sizes stand in two blocks names one leader.
     """
-    sizes = lists.groupBy("id").agg(F.first("n").alias("n"), F.count("*").alias("shared"))
-    alone = sizes.select("id", (F.col("n") - F.ceil(F.col("n") * threshold.up / threshold.down) + 1 - F.col("shared")).alias("alone"))
-    at = _blocks(lists.join(small(common.stored(alone, "alone")), "id")).select("member", "home", "id", "n", "pos", "alone")
+    # of the positions at which a set of the same size may be met; an entry may stand in two blocks
+    early = F.when(threshold.excess(F.col("n"), F.col("pos")) <= 0, F.col("pos"))
+    sizes = lists.groupBy("id").agg(F.first("n").alias("n"), F.count_distinct(early).alias("shared"))
+    alone = sizes.select("id", (F.floor(F.col("n") * (threshold.down - threshold.up) / (threshold.down + threshold.up)) + 1 - F.col("shared")).alias("alone"))
+    at = lists.join(small(common.stored(alone, "alone")), "id").select("member", "home", "id", "n", "pos", "alone")
     leaders = at.groupBy("member", "home").agg(F.min(F.struct("alone", "id", "n", "pos")).alias("lead"))
     return (
         at.join(leaders, ["member", "home"])
@@ -342,14 +402,18 @@ def named_leaders(lists: DataFrame, threshold: Threshold) -> DataFrame:
     )
 
 
-def followers(lists: DataFrame, classes: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -> DataFrame:
+def followers(lists: DataFrame, classes: DataFrame, maps: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -> DataFrame:
     """(a, b, n_a, n_b, inter, distance, diff): every set a with its named leader b.
 
+    Sets that by their parity maps differ from it in more than two fifths of their
+    sizes' sum follow nobody: they are met like leaders, and no text is moved.
     ``diff`` is the symmetric difference of the two, where it is at most a third of
     their sizes' sum, else null. Texts are moved to their leader once; a leader
     with many followers is copied to several places, LED_ROWS followers each.
     """
-    named = common.stored(named_leaders(lists, threshold), "named")
+    named = measured(named_leaders(lists, threshold).select(F.col("id").alias("a"), F.col("lead").alias("b")), maps)
+    named = named.where(5 * F.col("likely") <= 2 * (F.col("n_a") + F.col("n_b"))).select(F.col("a").alias("id"), F.col("b").alias("lead"))
+    named = common.stored(named, "named")
     counts = named.groupBy("lead").agg(F.ceil(F.count("*") / LED_ROWS).cast("int").alias("places"))
     led = named.join(counts, "lead").select("id", "lead", F.pmod(F.xxhash64("id"), F.col("places")).cast("int").alias("place"), F.lit(1).alias("role"))
     lead = counts.select(F.col("lead").alias("id"), "lead", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.lit(0).alias("role"))
@@ -383,7 +447,7 @@ def followers(lists: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     return common.stored(pairs.withColumn("distance", _distance()), "star")
 
 
-def derived_links(star: DataFrame, component: DataFrame, bits: DataFrame, threshold: Threshold) -> DataFrame:
+def derived_links(star: DataFrame, component: DataFrame, maps: DataFrame, threshold: Threshold) -> DataFrame:
     """Links (a, b) between followers of one leader that stand in different components, from their differences to it.
 
     With D the difference to the leader, sets a and b differ in |D_a| + |D_b| -
@@ -422,7 +486,7 @@ def derived_links(star: DataFrame, component: DataFrame, bits: DataFrame, thresh
         ranked.join(led.drop("leader", "diff"), "id")
         .withColumn("left", F.col("many") - F.col("nth") + 1)  # members from here on, this one included
         .where("left >= needed")
-        .join(bits, "id")
+        .join(maps.select("id", *BIT_LANES), "id")
     )
     index = common.stored(index.select("leader", "member", "id", "component", "n", "x", "left", *BIT_LANES), "differences")
     p, q = index.alias("p"), index.alias("q")
@@ -448,15 +512,15 @@ def derived_links(star: DataFrame, component: DataFrame, bits: DataFrame, thresh
     return common.stored(judged.select("a", "b"), "derived")
 
 
-def cross_links(lists: DataFrame, star: DataFrame, component: DataFrame, bits: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -> DataFrame:
+def cross_links(lists: DataFrame, star: DataFrame, component: DataFrame, maps: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -> DataFrame:
     """Links (a, b) between sets of different leaders and components, which meet in a block of a list."""
     followed = star.where("diff IS NOT NULL").select(F.col("a").alias("id"), F.col("b").alias("leader"))
     marks = common.stored(component.join(followed, "id", "full"), "marks")
     placed = lists.join(small(marks), "id", "left").withColumns({"leader": F.coalesce("leader", "id"), "component": F.coalesce("component", "id")})
-    at = common.stored(_blocks(placed), "placed")
+    at = common.stored(placed, "placed")
     ends = [f(c).alias(f"{e}_{c}") for c in ("leader", "component") for e, f in (("lo", F.min), ("hi", F.max))]
     several = at.groupBy("member", "home").agg(*ends).where("lo_leader < hi_leader AND lo_component < hi_component")
-    at = common.stored(at.join(several.select("member", "home"), ["member", "home"], "left_semi").join(bits, "id"), "open")
+    at = common.stored(at.join(several.select("member", "home"), ["member", "home"], "left_semi").join(maps.select("id", *BIT_LANES), "id"), "open")
     p, q = at.alias("p"), at.alias("q")
     met = (
         p.join(
@@ -477,7 +541,8 @@ def cross_links(lists: DataFrame, star: DataFrame, component: DataFrame, bits: D
         .select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
         .distinct()
     )
-    met = common.stored(met, "met")
+    met = measured(met, maps).where(threshold.apart_allows(F.col("least"), F.col("n_a") + F.col("n_b")))
+    met = common.stored(met.select("a", "b"), "met")
     return common.stored(verified(met, docs, width).where(_is_link(threshold)).select("a", "b"), "crossed")
 
 
@@ -489,21 +554,22 @@ def links(table: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -
     between leaders. ``all_links`` gives every link.
     """
     classes, lists = entries(table, threshold)
-    star = followers(lists, classes, docs, width, threshold)
+    maps = parity_maps(table, classes, lists)
+    star = followers(lists, classes, maps, docs, width, threshold)
     first = star.where(_is_link(threshold)).select("a", "b")
-    bits = parity_maps(table, classes)
-    second = derived_links(star, components(first), bits, threshold)
-    third = cross_links(lists, star, components(first.union(second)), bits, docs, width, threshold)
+    second = derived_links(star, components(first), maps, threshold)
+    third = cross_links(lists, star, components(first.union(second)), maps, docs, width, threshold)
     return classes, [first, second, third]
 
 
-def parity_maps(table: DataFrame, classes: DataFrame) -> DataFrame:
-    """(id, bits): the parity map of each different set."""
-    reps = classes.select("s1", "s2", F.col("rep").alias("doc_id"))
-    return common.stored(table.join(reps, ["s1", "s2", "doc_id"]).select(F.col("doc_id").alias("id"), *BIT_LANES).dropDuplicates(["id"]), "bits")
+def parity_maps(table: DataFrame, classes: DataFrame, lists: DataFrame) -> DataFrame:
+    """(id, n, bits, wide): size and parity map of each different set with an entry in the lists."""
+    listed = common.stored(lists.select(F.col("id").alias("rep")).distinct().join(classes, "rep").select(F.col("rep").alias("doc_id"), "s1", "s2"), "listed")
+    found = table.select("doc_id", "s1", "s2", "n", *BIT_LANES, "wide").join(small(listed), ["doc_id", "s1", "s2"], "left_semi")
+    return common.stored(found.select(F.col("doc_id").alias("id"), "n", *BIT_LANES, "wide").dropDuplicates(["id"]), "maps")
 
 
-def all_links(lists: DataFrame, classes: DataFrame, bits: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -> DataFrame:
+def all_links(lists: DataFrame, classes: DataFrame, maps: DataFrame, docs: DataFrame, width: int, threshold: Threshold) -> DataFrame:
     """Every link (a, b), a < b, between the sets of ``lists``, which ``entries`` gives; ids of ``docs`` are distinct.
 
     Pairs whose parity maps differ in more bits than a link allows are not kept.
@@ -511,8 +577,8 @@ def all_links(lists: DataFrame, classes: DataFrame, bits: DataFrame, docs: DataF
     distance of a and b lies between D less both and D plus both. The rows grow with
     the links: with the square of a group's size, if all its members link.
     """
-    star = followers(lists, classes, docs, width, threshold).where(_is_link(threshold))
-    at = _blocks(lists.join(bits, "id"))
+    star = followers(lists, classes, maps, docs, width, threshold).where(_is_link(threshold))
+    at = lists.join(maps.select("id", *BIT_LANES), "id")
     p, q = at.alias("p"), at.alias("q")
     met = (
         p.join(
@@ -526,9 +592,14 @@ def all_links(lists: DataFrame, classes: DataFrame, bits: DataFrame, docs: DataF
             & F.coalesce(F.col("p.prev") != F.col("q.prev"), F.lit(True))
             & threshold.may_link(F.col("p.n"), F.col("p.pos"), F.col("q.n"), F.col("q.pos")),
         )
-        .select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
+        .select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), (F.col("p.n") + F.col("q.n")).alias("sizes"))
         .distinct()
     )
+    met = common.stored(met, "candidates")
+    # the maps of 512 bits say little of sets beyond some times that size
+    large = F.col("sizes") > 128 * len(BIT_LANES)
+    wide = measured(met.where(large), maps).where(threshold.apart_allows(F.col("least"), F.col("sizes")))
+    met = met.where(~large).union(wide.select(*met.columns)).drop("sizes")
     followed = small(star.select(F.col("a").alias("id"), F.col("b").alias("leader"), "distance"))
 
     def led(frame: DataFrame, side: str) -> DataFrame:
@@ -566,7 +637,7 @@ def linked_documents(docs: DataFrame, width: int = 5, up: int = 80, down: int =
     texts = one_row_each(rows).select(F.col("key").alias("doc_id"), "text")
     table = common.stored(indexed(texts, width, threshold, member_levels(texts, width)), "sets")
     classes, lists = entries(table, threshold)
-    found = all_links(lists, classes, parity_maps(table, classes), texts, width, threshold)
+    found = all_links(lists, classes, parity_maps(table, classes, lists), texts, width, threshold)
     sets = table.join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).select(F.col("doc_id").alias("key"), F.col("n").alias("n_shingles"), "rep")
     held = rows.where(has_words(F.col("text"))).select("doc_id", text_key(F.col("text")).alias("key"))
     held = common.stored(held.join(sets, "key").select("doc_id", "n_shingles", "rep"), "held")

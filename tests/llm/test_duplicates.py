@@ -355,3 +355,27 @@ def test_near_unlinked_copies_meet_hardly_any(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = jaccard_join.linked_documents(docs).agg(F.sum("n_links")).first()[0]
     assert got == 0 and met["met"] < 0.1 * 120 * 119 / 2
+
+
+def test_entries_that_nobody_can_meet_are_not_kept(spark):
+    """Members 7 and 8 are shared by sets of far sizes and too late in both; member 9 may lead to a link."""
+    own = iter(range(1000, 2000))
+    fill = lambda known: [known.get(k) or next(own) for k in range(11)]
+    rows = [(1, 100, 1, 1, fill({0: 9, 1: 7, 9: 8})), (2, 101, 2, 2, fill({0: 9, 9: 8})), (3, 200, 3, 3, fill({0: 7}))]
+    table = spark.createDataFrame(rows, "doc_id long, n long, s1 long, s2 long, prefix array<long>")
+    classes, lists = jaccard_join.entries(table, jaccard_join.Threshold(90, 100))
+    assert classes.count() == 3
+    assert {(r["member"], r["id"]) for r in lists.collect()} == {(9, 1), (9, 2)}
+
+
+def test_parity_maps_tell_large_sets_apart():
+    rng = np.random.default_rng(3)
+    a, b = (np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (6000, 4000))
+    near = np.sort(np.concatenate([a[:-50], b[:30]]))
+    maps = {k: jaccard_join.parity_map(x).tobytes() for k, x in (("a", a), ("b", b), ("near", near), ("few", a[:100]))}
+    assert [len(m) for m in maps.values()] == [1024, 512, 1024, 64]
+    # a linked pair of these sizes differs in at most 526 members
+    assert 526 < jaccard_join.apart(maps["a"], maps["b"])[0] <= 10000
+    least, likely = jaccard_join.apart(maps["a"], maps["near"])
+    assert least <= 80 and 60 <= likely <= 100
+    assert jaccard_join.apart(maps["few"], maps["a"])[0] <= 5900 and jaccard_join.apart(maps["b"], maps["b"]) == (0, 0.0)
